@@ -30,6 +30,8 @@ WINDOW, STRIDE = 32, 16
 TOXIC, CLEAN, CLEAN_WINDOWS = 800, 2000, 3
 VOCABULARY, TRIGRAMS, D_WORD, D_CHAR, HIDDEN = 20000, 4096, 12, 8, 8
 EPOCHS, BATCH, RATE, DECAY, SEED = 9, 512, 0.02, 0.1, 11
+#: Steps of training at least.
+STEPS = 120
 #: Texts, and share of all texts, that must hold a word before it is in the vocabulary.
 LEAST, LEAST_SHARE = 4, 1 / 400
 #: Windows scored at a time.
@@ -190,9 +192,23 @@ class Network:
 
 
 def train(texts: list[bytes], toxic: np.ndarray) -> Network | None:
-    """A network for texts with labels (0, 1); None without both labels."""
+    """A network for texts with labels (0, 1); None without both labels. A fifth of them sets where 0.5 lies."""
     if not 0 < toxic.sum() < len(toxic):
         return None
+    aside = np.arange(len(texts)) % 5 == 4
+    if not (0 < toxic[aside].sum() < aside.sum() and 0 < toxic[~aside].sum() < (~aside).sum()):
+        return _train(texts, toxic)
+    net = _train([t for t, x in zip(texts, aside) if not x], toxic[~aside])
+    s = np.clip(net.scores([t for t, x in zip(texts, aside) if x]), -30, 30)
+    cuts = np.sort(s)
+    cuts = (cuts[1:] + cuts[:-1]) / 2
+    # rightly found less wrongly found; the middle of the best cuts
+    gain = np.array([((s > c) * np.where(toxic[aside] == 1, 1, -1)).sum() for c in cuts])
+    net.p["z"] -= np.float32(cuts[gain == gain.max()].mean())
+    return net
+
+
+def _train(texts: list[bytes], toxic: np.ndarray) -> Network:
     rng, w = np.random.default_rng(SEED), Words(texts)
     text_of = np.repeat(np.arange(len(texts)), np.diff(w.at))
     seen = np.unique(np.stack((w.of, text_of)), axis=1)
@@ -223,8 +239,9 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Network | None:
     clean = clean[rank < CLEAN_WINDOWS]
     hard = clean[:0]
     m, v, step = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
-    for epoch in range(EPOCHS):
-        if epoch and epoch % 3 == 0:  # the windows that the network takes for the reason of the label
+    epochs = max(EPOCHS, STEPS * BATCH // max(1, len(clean)))
+    for epoch in range(epochs):
+        if epoch and epoch % (epochs // 3) == 0:  # the windows that the network takes for the reason of the label
             x = net.project(net.inputs(w))
             parts = np.array_split(np.arange(len(text)), max(1, len(text) // BLOCK))
             s = np.concatenate([net.forward({k: a[w.of[span[:, i]]] for k, a in x.items()}, inside[:, i])[0] for i in parts])
