@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from recallgrid.plans import aggregates, graphs, lifecycle, reads, recall, streams, texts  # noqa: F401
+from recallgrid.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
