@@ -106,3 +106,13 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     q = episode_stream(s, "6 hours").writeStream.format("memory").queryName("ep").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("ep").collect())) == sorted(map(tuple, episodes(w, "6 hours").collect()))
+
+
+def test_greedy_dedupe_and_clusters(spark):
+    from recallgrid.operators.cluster import greedy_clusters, greedy_dedupe
+
+    rows = [(i, "u", datetime(2024, 1, 1 + i), v) for i, v in enumerate([[1.0, 0.0], [1.0, 0.05], [0.0, 1.0], [1.0, 0.02]])] + [(9, "v", datetime(2024, 1, 9), [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, user_id string, ts timestamp, embedding array<double>")
+    assert {(r["id"], r["superseded_by"]) for r in greedy_dedupe(df, 0.92).collect()} == {(0, 3), (1, 3)}
+    got = {(r["user_id"], r["id"]): r["cluster"] for r in greedy_clusters(df, 0.9, small=2).collect()}
+    assert got[("u", 0)] == got[("u", 1)] == got[("u", 3)] != got[("u", 2)] and ("v", 9) in got

@@ -33,6 +33,10 @@ def test_same_rows(name, spark, sf, duck):
     assert got == sorted((tuple(norm(r[i]) for i in at) for r in rel.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
+#: No facts are similar enough in the smallest tables; test_functions.py has rows of its own for it.
+EMPTY_HERE = {"dedupe_facts"}
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql()) - EMPTY_HERE))
 def test_rows_only(name, spark, sf):
     assert catalog.queries()[name](spark, sf).count() > 0
