@@ -121,6 +121,25 @@ def test_licenses(spark, none):
     assert licenses.license_scan(none).count() == 0
 
 
+def test_license_anchors_lose_nothing(spark):
+    rng = random.Random(3)
+    lines = []
+    for t in [t for ts in licenses.TEMPLATES.values() for t in ts]:
+        for n in range(25):
+            w = t.split()
+            for _ in range(rng.randrange(1 + len(w) // 4)):
+                k = rng.randrange(len(w))
+                w[k : k + 1] = rng.choice([[], ["other"], [w[k], "other"], [w[k].upper()]])
+            lines.append(" ".join(w))
+    sets = [(name, set(licenses.bigrams(t))) for name, ts in licenses.TEMPLATES.items() for t in ts]
+    want = set()
+    for i, line in enumerate(lines):
+        own = set(licenses.bigrams(line))
+        want |= {(i, name) for name, b in sets if own and 2 * len(own & b) >= licenses.DICE * (len(own) + len(b))}
+    got = {(r["doc_id"], r["license"]) for r in licenses.license_scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == want and 0 < len({i for i, _ in want}) < len(lines)
+
+
 def test_mixing(docs, none, rows):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows)
