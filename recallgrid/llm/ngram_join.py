@@ -4,7 +4,9 @@ Each document is the set of its 5-word shingles, kept in one global order (rare
 Two sets with a Jaccard similarity of 3/4 share a shingle among the first n - ceil(3n/4) + 1 of
 each, so only those prefixes are dealt out. Texts that meet are verified by whole sets: the sets of
 a block form a trie, and one probe walks it, counting each shared path once and leaving subtrees
-that the remaining lengths can't bring to the needed overlap.
+that the remaining lengths can't bring to the needed overlap. Before that, parities of the hashes of
+a set (PARITY_BITS of them) bound from below how many shingles two texts don't share, which spares
+most texts that aren't similar.
 
 Order of the work: (1) a fixed-size counter sketch over all shingles gives the order; (2) equal sets
 become one class; (3) prefixes are dealt by shingle, those alone in a shingle go; (4) each class is
@@ -35,6 +37,7 @@ WORDS = 5
 SKETCH_BITS, SKETCH_BLOCKS = 21, 64
 #: Stored sets in one trie; larger groups are split over several tries, each with the same probe.
 TRIE_SETS = 256
+PARITY_BITS = 2048
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -66,6 +69,12 @@ def _ordered(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[np.argsort(counts[_cells(s)], kind="stable")]
 
 
+def _parities(s: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits: how many of the hashes fall on each, modulo 2."""
+    odd = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def shingle_counts(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     """How many documents hold a shingle of each of 2**SKETCH_BITS cells; the array is the same size for any corpus."""
 
@@ -145,9 +154,20 @@ class Trie:
         return found
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, counts, words: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar, as links (u, v)."""
+def _close(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) but those whose parities differ in more places than similar sets can."""
     pairs = stage(pairs, "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    bits = rows.select(F.col("doc_id").alias("id"), "n", "bits").join(asked, "id", "left_semi").dropDuplicates(["id"])
+    x, y = (bits.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
+    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
+    # n + m - 2 i >= differ and 7 i >= 3 (n + m)
+    return pairs.join(x, "a").join(y, "b").filter(7 * differ <= F.col("na") + F.col("nb")).select("a", "b")
+
+
+def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, counts, words: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar, as links (u, v)."""
+    pairs = stage(_close(rows, pairs), "close")
     bitmap = pairs.sparkSession.sparkContext.broadcast(id_filter(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), "id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +182,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, counts, words: int) -> DataFram
     paths = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 22)).alias("bit")).mapInArrow(sets, "id long, path array<long>").join(asked, "id", "left_semi").dropDuplicates(["id"])
     blocks = F.ceil(F.count("*").over(Window.partitionBy("b")) / TRIE_SETS)
     dealt = stage(pairs.withColumn("blk", F.pmod(F.xxhash64("a"), blocks).cast("int")), "dealt")
-    paths = stage(paths, "paths")
-    rows = dealt.join(paths, dealt.a == paths.id).select("b", "blk", "id", "path").unionByName(dealt.select("b", "blk").distinct().join(paths, F.col("b") == F.col("id")).select("b", "blk", "id", "path"))
+    sides = dealt.select("b", "blk", F.col("a").alias("id")).unionByName(dealt.select("b", "blk", F.col("b").alias("id")).distinct())
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         probe_id, trie, probe = int(pdf["b"].iloc[0]), Trie(), None
@@ -176,7 +195,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, counts, words: int) -> DataFram
         names = trie.similar(probe) if probe is not None and len(probe) else []
         return pd.DataFrame({"u": np.array(names, np.int64), "v": np.full(len(names), probe_id, np.int64)})
 
-    return rows.groupBy("b", "blk").applyInPandas(walk, "u long, v long")
+    return sides.join(paths, "id").groupBy("b", "blk").applyInPandas(walk, "u long, v long")
 
 
 def ngram_join(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -191,9 +210,9 @@ def ngram_join(docs: DataFrame, words: int = WORDS) -> DataFrame:
             sets = shingle_sets(texts, words)
             sign = [np.array([mix64(s ^ np.uint64(k)).sum(dtype=np.uint64) for s in sets], np.uint64) for k in (0x51ED270B, 0xB492B66F)]
             head = [_ordered(s, counts.value)[: len(s) - (3 * len(s) + 3) // 4 + 1] if len(s) else s for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed(sign[0]), _signed(sign[1]), _lists(head)], ["doc_id", "n", "s1", "s2", "head"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed(sign[0]), _signed(sign[1]), _lists(head), _lists([_parities(s) for s in sets])], ["doc_id", "n", "s1", "s2", "head", "bits"])
 
-    rows = stage(docs.mapInArrow(prefixes, "doc_id long, n long, s1 long, s2 long, head array<long>"), "sets")
+    rows = stage(docs.mapInArrow(prefixes, "doc_id long, n long, s1 long, s2 long, head array<long>, bits array<long>"), "sets")
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.first("head").alias("head"))
     met = classes.select("id", "n", F.posexplode("head").alias("pos", "token"))
     met = stage(met.withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter("c > 1").drop("c"), "met")
@@ -205,7 +224,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     first = F.min(F.struct("id", "n", "pos")).over(Window.partitionBy("token", F.floor(F.log("n") / F.log(F.lit(4 / 3)))))
     stars = met.withColumn("l", first).filter("id <> l.id").filter(enough("n", "pos", "l.n", "l.pos")).groupBy(F.col("id").alias("a"), F.col("l.id").alias("b")).count()
     stars = stars.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("count"), "b"))).filter("k <= 2").select("a", "b")
-    links = stage(_verified(docs, stars, counts, words), "links")
+    links = stage(_verified(docs, rows, stars, counts, words), "links")
     known = stage(components(links), "known")
 
     named = met.join(known, "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("comp"))
@@ -216,7 +235,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     x = mixed.filter("not in_top").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
     y = mixed.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), "in_top")
     rest = x.join(y, (x.token == y.token) & F.expr("ca <> cb and (in_top or a < b)") & enough("na", "pa", "nb", "pb")).select("a", "b").distinct()
-    links = links.unionByName(_verified(docs, rest, counts, words))
+    links = links.unionByName(_verified(docs, rows, rest, counts, words))
 
     comp = components(links)
     members = rows.join(classes.select("s1", "s2", "n", "id"), ["s1", "s2", "n"], "left")
