@@ -107,6 +107,17 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed(flat))
 
 
+def _packed(path: np.ndarray) -> bytes:
+    """Six bytes of each hash are kept: two texts of 20,000 shingles share one by chance once in 700,000 times."""
+    return path.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 class Trie:
     """Sets in global order as paths; runs without a branch are one node."""
 
@@ -176,10 +187,10 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, counts, words:
                 yield b.filter(pa.array(in_filter(bitmap.value, b.column("bit").to_numpy())))
 
         for b, texts in chunks(needed()):
-            yield pa.RecordBatch.from_arrays([b.column("id"), _lists([_ordered(s, counts.value) for s in shingle_sets(texts, words)])], ["id", "path"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([_packed(_ordered(s, counts.value)) for s in shingle_sets(texts, words)], pa.binary())], ["id", "path"])
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    paths = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 22)).alias("bit")).mapInArrow(sets, "id long, path array<long>").join(asked, "id", "left_semi").dropDuplicates(["id"])
+    paths = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 22)).alias("bit")).mapInArrow(sets, "id long, path binary").join(asked, "id", "left_semi").dropDuplicates(["id"])
     blocks = F.ceil(F.count("*").over(Window.partitionBy("b")) / TRIE_SETS)
     dealt = stage(pairs.withColumn("blk", F.pmod(F.xxhash64("a"), blocks).cast("int")), "dealt")
     sides = dealt.select("b", "blk", F.col("a").alias("id")).unionByName(dealt.select("b", "blk", F.col("b").alias("id")).distinct())
@@ -187,7 +198,7 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, counts, words:
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         probe_id, trie, probe = int(pdf["b"].iloc[0]), Trie(), None
         for name, path in zip(pdf["id"], pdf["path"]):
-            path = np.asarray(path, np.int64).view(np.uint64)
+            path = _unpacked(path)
             if name == probe_id:
                 probe = path
             else:
@@ -215,23 +226,25 @@ def ngram_join(docs: DataFrame, words: int = WORDS) -> DataFrame:
     rows = stage(docs.mapInArrow(prefixes, "doc_id long, n long, s1 long, s2 long, head array<long>, bits array<long>"), "sets")
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.first("head").alias("head"))
     met = classes.select("id", "n", F.posexplode("head").alias("pos", "token"))
-    met = stage(met.withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter("c > 1").drop("c"), "met")
+    met = met.withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter("c > 1").drop("c")
+    # the leader of a token and a range of sizes: rows dealt by token already lie together
+    first = F.min(F.struct("id", "n", "pos")).over(Window.partitionBy("token", F.floor(F.log("n") / F.log(F.lit(4 / 3)))))
+    met = stage(met.withColumn("l", first), "met")
 
     def enough(na: str, pa_: str, nb: str, pb: str):
         """Sizes and places allow the needed overlap."""
         return F.expr(f"4 * least({na}, {nb}) >= 3 * greatest({na}, {nb}) and 7 * least({na} - {pa_}, {nb} - {pb}) >= 3 * ({na} + {nb})")
 
-    first = F.min(F.struct("id", "n", "pos")).over(Window.partitionBy("token", F.floor(F.log("n") / F.log(F.lit(4 / 3)))))
-    stars = met.withColumn("l", first).filter("id <> l.id").filter(enough("n", "pos", "l.n", "l.pos")).groupBy(F.col("id").alias("a"), F.col("l.id").alias("b")).count()
+    stars = met.filter("id <> l.id").filter(enough("n", "pos", "l.n", "l.pos")).groupBy(F.col("id").alias("a"), F.col("l.id").alias("b")).count()
     stars = stars.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("count"), "b"))).filter("k <= 2").select("a", "b")
     links = stage(_verified(docs, rows, stars, counts, words), "links")
     known = stage(components(links), "known")
 
     named = met.join(known, "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("comp"))
     w = Window.partitionBy("token")
-    mixed = stage(named.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).filter("lo <> hi").drop("lo", "hi"), "mixed")
-    most = mixed.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"))
-    mixed = mixed.join(most, "token").withColumn("in_top", F.col("comp") == F.col("top")).drop("top")
+    mixed = named.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).filter("lo <> hi").drop("lo", "hi")
+    mixed = mixed.withColumn("k", F.count("*").over(Window.partitionBy("token", "comp")))
+    mixed = stage(mixed.withColumn("in_top", F.col("comp") == F.max(F.struct("k", "comp")).over(w)["comp"]).drop("k"), "mixed")
     x = mixed.filter("not in_top").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
     y = mixed.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), "in_top")
     rest = x.join(y, (x.token == y.token) & F.expr("ca <> cb and (in_top or a < b)") & enough("na", "pa", "nb", "pb")).select("a", "b").distinct()
