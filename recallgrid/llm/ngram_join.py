@@ -5,8 +5,8 @@ Two sets with a Jaccard similarity of 3/4 share a shingle among the first n - ce
 each, so only those prefixes are dealt out. Texts that meet are verified by whole sets: the sets of
 a block form a trie, and one probe walks it, counting each shared path once and leaving subtrees
 that the remaining lengths can't bring to the needed overlap. Before that, parities of the hashes of
-a set (PARITY_BITS of them) bound from below how many shingles two texts don't share, which spares
-most texts that aren't similar.
+a set (two to four a shingle, so that long texts have more) bound from below how many shingles two
+texts don't share, which spares most texts that aren't similar.
 
 Order of the work: (1) a fixed-size counter sketch over all shingles gives the order; (2) equal sets
 become one class; (3) prefixes are dealt by shingle, those alone in a shingle go; (4) each class is
@@ -37,7 +37,6 @@ WORDS = 5
 SKETCH_BITS, SKETCH_BLOCKS = 21, 64
 #: Stored sets in one trie; larger groups are split over several tries, each with the same probe.
 TRIE_SETS = 256
-PARITY_BITS = 2048
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -70,8 +69,9 @@ def _ordered(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _parities(s: np.ndarray) -> np.ndarray:
-    """PARITY_BITS bits: how many of the hashes fall on each, modulo 2."""
-    odd = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    """How many of the hashes fall on each bit, modulo 2; the least power of two that gives each hash two bits, 64 at least."""
+    size = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
@@ -171,7 +171,10 @@ def _close(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bits = rows.select(F.col("doc_id").alias("id"), "n", "bits").join(asked, "id", "left_semi").dropDuplicates(["id"])
     x, y = (bits.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
-    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
+    # similar sizes have as many bits or twice as many, which fold by halves
+    half = F.least(F.size("bitsa"), F.size("bitsb"))
+    folded = [F.when(F.size(c) == half, F.col(c)).otherwise(F.zip_with(F.slice(c, 1, half), F.slice(c, half + 1, half), lambda p, q: p.bitwiseXOR(q))) for c in ("bitsa", "bitsb")]
+    differ = F.aggregate(F.zip_with(*folded, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
     # n + m - 2 i >= differ and 7 i >= 3 (n + m)
     return pairs.join(x, "a").join(y, "b").filter(7 * differ <= F.col("na") + F.col("nb")).select("a", "b")
 
@@ -225,7 +228,8 @@ def ngram_join(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     rows = stage(docs.mapInArrow(prefixes, "doc_id long, n long, s1 long, s2 long, head array<long>, bits array<long>"), "sets")
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.first("head").alias("head"))
-    met = classes.select("id", "n", F.posexplode("head").alias("pos", "token"))
+    # 48 bits of a token find who meets whom (chance meetings fail when verified)
+    met = classes.select("id", "n", F.posexplode("head").alias("pos", "token")).select("id", "n", F.shiftrightunsigned("token", 16).alias("token"), "pos")
     met = met.withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter("c > 1").drop("c")
     # the leader of a token and a range of sizes: rows dealt by token already lie together
     first = F.min(F.struct("id", "n", "pos")).over(Window.partitionBy("token", F.floor(F.log("n") / F.log(F.lit(4 / 3)))))
