@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.llm.common import WORD_SPLIT, documents, stage
 
-WINDOW = 8  # a power of two
+WINDOW = 8
 LITERALS, COVER, RUN = 4, 0.5, 14
 BROADCAST_ROWS = 500_000
 # Words of units.
@@ -33,45 +33,36 @@ UNITS = (
 EDGE = "[\\p{P}&&[^%]]"
 
 
-def canonical(text: Column) -> Column:
-    """Array of struct(c, raw): the canonical word, and the word itself where it is a placeholder's."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT), lambda w: w != "")
-    # step by step, so that each part of a word is made once; the word before is an argument
-    low = F.transform(words, lambda w: F.struct(w.alias("w"), F.lower(w).alias("low")))
-    parts = F.transform(low, lambda x: F.struct(x["w"].alias("w"), x["low"].alias("low"), _bare(x["low"]).alias("bare")))
-    before = F.concat(F.array(F.lit(".")), words)
-    return F.filter(F.zip_with(before, parts, lambda b, x: F.when(x.isNotNull(), _class(b, x))), lambda x: x.isNotNull())
+def canonical(rows: DataFrame, key: str) -> DataFrame:
+    """key, c, raw: a text's canonical words, and the words themselves where a placeholder stands for them (null elsewhere)."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), f"^{WORD_SPLIT}|{WORD_SPLIT}$", "")
+    # one line a word, so that whole texts are lower-cased and stripped at once and words keep their places
+    lines = rows.select(F.col(key).cast("long").alias(key), F.regexp_replace(text, WORD_SPLIT, "\n").alias("lines"))
+    bare = F.regexp_replace(F.lower("lines"), f"{EDGE}+(?![^\\n])|(?<![^\\n]){EDGE}+", "")
+    words = lines.select(key, F.when(F.col("lines") != "", F.split("lines", "\n")).otherwise(F.array().cast("array<string>")).alias("words"), F.split(bare, "\n").alias("bare"))
+    kinds = words.select(key, F.slice("bare", 1, F.size("words")).alias("bare"), F.transform("words", lambda w, i: _kind(w, F.get("bare", i), F.get("words", i - 1))).alias("kinds"))
+    return kinds.select(key, F.zip_with("kinds", "bare", lambda k, b: F.coalesce(k, b)).alias("c"), F.zip_with("kinds", "bare", lambda k, b: F.when(k.isNotNull(), b)).alias("raw"))
 
 
-def _bare(low: Column) -> Column:
-    """Without punctuation at its ends; most words have only a sign behind them."""
-    return F.when(low.rlike("^\\p{L}+$"), low).otherwise(F.regexp_replace(low, f"^{EDGE}+|{EDGE}+$", ""))
-
-
-def _class(b: Column, x: Column) -> Column:
-    w, low, bare = x["w"], x["low"], x["bare"]
-    number = (low >= F.lit("$")) & (low < F.lit(":")) & low.rlike("^[$(+-]*[0-9][0-9.,:/]*%?[.,;:!?)]*$")
-    name = (w != low) & F.when(F.substring(w, 1, 1) != F.substring(low, 1, 1), True).otherwise(w.rlike("^[(\\[{\"']+\\p{Lu}")) & ~b.rlike("[.!?:][\"')]*$")
-    unit = (F.length(low) <= 11) & bare.isin(UNITS)
-    return (
-        F.when(number, F.struct(F.lit("<num>").alias("c"), bare.alias("raw")))
-        .when(unit, F.struct(F.lit("<unit>").alias("c"), bare.alias("raw")))
-        .when(name, F.struct(F.lit("<name>").alias("c"), bare.alias("raw")))
-        .otherwise(F.struct(bare.alias("c"), F.lit(None).cast("string").alias("raw")))
-    )
+def _kind(w: Column, bare: Column, before: Column) -> Column:
+    """The placeholder of a word, null for plain ones; most words start with a small letter of ASCII and are no number or name."""
+    small = (w >= F.lit("a")) & (w < F.lit("{"))
+    number = (w >= F.lit("$")) & (w < F.lit(":")) & w.rlike("^[$(+-]*[0-9][0-9.,:/]*%?[.,;:!?)]*$")
+    unit = F.when((F.length(w) <= 11) & bare.isin(UNITS), "<unit>")
+    low = F.lower(w)
+    name = (w != low) & F.when(F.substring(w, 1, 1) != F.substring(low, 1, 1), True).otherwise(w.rlike("^[(\\[{\"']+\\p{Lu}")) & ~F.coalesce(before, F.lit(".")).rlike("[.!?:][\"')]*$")
+    return F.when(small, unit).when(number, "<num>").otherwise(F.coalesce(unit, F.when(name, "<name>")))
 
 
 def windows(rows: DataFrame, key: str) -> DataFrame:
     """key, pos, h, slots: a row for each window that has LITERALS plain words; slots are null where all are."""
-    d = rows.select(F.col(key).cast("long").alias(key), canonical(F.col("text")).alias("k"))
-    d = d.select(key, F.transform("k", lambda x: x["raw"]).alias("raws"), F.transform("k", lambda x: F.struct(F.xxhash64(x["c"]).alias("h"), F.when(x["raw"].isNull(), 1).otherwise(0).alias("n"))).alias("g"))
-    k = 1
-    while k < WINDOW:
-        size = F.greatest(F.size("g") - k, F.lit(0))
-        d = d.withColumn("g", F.zip_with(F.slice("g", 1, size), F.slice("g", k + 1, size), lambda a, b: F.struct(F.xxhash64(a["h"], b["h"]).alias("h"), (a["n"] + b["n"]).alias("n"))))
-        k *= 2
-    kept = F.transform("g", lambda x, i: F.when(x["n"] >= LITERALS, F.struct(x["h"].alias("h"), F.when(x["n"] < WINDOW, F.slice("raws", i + 1, WINDOW)).alias("slots"))))
-    return d.select(key, F.posexplode(kept).alias("pos", "x")).filter("x is not null").select(key, "pos", "x.h", "x.slots")
+    d = canonical(rows, key).select(key, "raw", F.transform("c", lambda c: F.xxhash64(c)).alias("g"))
+    starts = F.when(F.size("g") >= WINDOW, F.sequence(F.lit(0), F.size("g") - WINDOW))
+    d = d.select(key, "raw", "g", F.explode(starts).alias("pos"))
+    n = sum(F.get("raw", F.col("pos") + j).isNull().cast("int") for j in range(WINDOW))
+    d = d.filter(n >= LITERALS)
+    slots = F.when(n < WINDOW, F.slice("raw", F.col("pos") + 1, WINDOW))
+    return d.select(key, "pos", F.xxhash64(*(F.get("g", F.col("pos") + j) for j in range(WINDOW))).alias("h"), slots.alias("slots"))
 
 
 def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
