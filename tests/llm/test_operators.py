@@ -89,6 +89,20 @@ def test_trie_is_exact():
         assert set(trie.similar(p)) == want
 
 
+def test_parities_bound_differences():
+    """Folded to the shorter one, parities never differ in more places than the sets do."""
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 64, 65, 700, 1025):
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        y = np.concatenate([x[: max(1, n * 7 // 8)], rng.integers(0, 2**63, n // 5).astype(np.uint64)])
+        p, q = sorted((ngram_join._parities(x), ngram_join._parities(y)), key=len)
+        while len(q) > len(p):
+            q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+        differ = int(np.unpackbits((p ^ q).view(np.uint8)).sum())
+        assert differ <= len(np.setxor1d(x, y))
+    assert len(ngram_join._parities(x)) * 64 >= 2 * len(x)
+
+
 def test_suffix_dedup(docs, none, rows):
     texts = [(i, (t or "").encode()) for i, t, *_ in rows]
     count = Counter(b[k : k + 200] for _, b in texts for k in range(len(b) - 199))
