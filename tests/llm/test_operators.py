@@ -203,6 +203,27 @@ def test_pii(docs, none):
     assert pii.pii_scan(docs).count() == docs.count() and pii.pii_scan(none).count() == 0
 
 
+@pytest.mark.parametrize("text, kind, part", [
+    ("mail john@example[dot]com now", "email", "john@example[dot]com"),
+    ("mail john@example dot com now", "email", "john@example dot com"),
+    ("mail john[.]smith@mail[.]example (dot) com", "email", "john[.]smith@mail[.]example (dot) com"),
+    ("from 192[.]168[.]0[.]1 on", "ip", "192[.]168[.]0[.]1"),
+    ("from 10 dot 0 dot 0 dot 1 on", "ip", "10 dot 0 dot 0 dot 1"),
+    ("write x at mail.example dot com", "email", "x at mail.example dot com"),
+    ("write x at example[.]com", "email", "x at example[.]com"),
+    ("from one nine two dot one six eight dot zero dot one on", "ip", "one nine two dot one six eight dot zero dot one"),
+    ("from one.two.three.four on", "ip", "one.two.three.four"),
+])
+def test_pii_dots_alone(text, kind, part):
+    s = text.index(part)
+    assert pii.find_pii(text)[5] == f"{kind}:{s}:{s + len(part)}"
+
+
+@pytest.mark.parametrize("text", ["at 3 point 5 of the scale", "the point is a@b and so on", "sold for one. Two dot three", "one two dot three four"])
+def test_pii_dots_in_prose(text):
+    assert pii.find_pii(text)[5] == ""
+
+
 def brute_quality(t):
     t = t or ""
     ws = [w.decode() for w in words(t)]
