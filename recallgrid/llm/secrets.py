@@ -2,7 +2,7 @@
 
 Base kinds are plain patterns. The method adds credentials that come in parts: access identifiers,
 weak secret candidates and endpoints are laid out as intervals and joined within scopes (paragraphs,
-cut at blank lines and at SCOPE_CHARS); a weak candidate is reported only where a complementary part
+cut at blank lines); a weak candidate is reported only where a complementary part
 stands within LINK_CHARS of it in the same scope.
 
 Defined results: null and empty texts have no spans; repeated rows give repeated result rows; other
@@ -30,10 +30,10 @@ KINDS = ("assign", "access", "hex", "identifier", "weak", "endpoint")
 # Names that make an assigned value an identifier, and words of endpoints.
 IDENTIFIER = re.compile(r"\b(?:user(?:name)?|login|account|client_?id|access_?key_?id|tenant)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,})", re.IGNORECASE | re.ASCII)
 ENDPOINT = re.compile(r"\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|\b(?:host(?:name)?|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9.-]+(?::[0-9]+)?)", re.IGNORECASE | re.ASCII)
-WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,64}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
+WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-SCOPE_CHARS, LINK_CHARS, WEAK_BITS = 2000, 300, 3.2
+LINK_CHARS, WEAK_BITS = 300, 3.2
 
 
 def entropy(s: str) -> float:
@@ -59,13 +59,7 @@ def base_spans(text: str) -> list[Span]:
 
 def scopes(text: str) -> list[int]:
     """Starts of the scopes."""
-    cuts = [0]
-    for m in re.finditer(r"\n[\x20\t]*\n", text):
-        cuts.append(m.end())
-    out = []
-    for a, b in zip(cuts, [*cuts[1:], len(text)]):
-        out += range(a, max(a + 1, b), SCOPE_CHARS)
-    return out
+    return [0, *(m.end() for m in re.finditer(r"\n[\x20\t]*\n", text))]
 
 
 def linked_spans(text: str, base: list[Span]) -> list[Span]:

@@ -192,6 +192,22 @@ def test_secrets(docs, none):
     assert secrets.secret_scan(docs).count() == docs.count() and secrets.secret_scan(none).count() == 0
 
 
+def test_secrets_link_by_distance_alone():
+    weak = "Zx81kQpLm29RtYv7"
+    for n in range(1940, 2010, 3):
+        t = "y" * (n - 1) + f" user: admin {weak} there"
+        assert secrets.find_secrets(t)[4] == f"identifier:{n + 6}:{n + 11},weak:{n + 12}:{n + 28}"
+    assert secrets.find_secrets("user: admin " + "y " * 200 + weak)[4] == ""
+
+
+@pytest.mark.parametrize("n", [64, 65, 86, 93, 500])
+def test_secrets_long_keys(n):
+    rng = random.Random(n)
+    key = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n)) + "=="
+    assert f"weak:18:{18 + len(key)}" in secrets.find_secrets(f"account: myname01 {key} end")[4]
+    assert secrets.mask(f"account: myname01 {key} end") == "account: myname01 [SECRET] end"
+
+
 def test_pii(docs, none):
     t = "mail a.b@c.org ip 1.2.3.4 no 1.2.3.999 card 4111 1111 1111 1111 tel +1 (202) 555-0123"
     got = pii.find_pii(t)
