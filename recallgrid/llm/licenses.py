@@ -1,11 +1,16 @@
 """License scan in DataFrame functions only.
 
-Texts are normalised to lower-case words; each line (or the whole text, for the long templates) is
-a set of word bigrams, compared with each template's by the Dice coefficient. A template
+Texts are normalised to lower-case words; each line is a set of word bigrams, compared with each
+template's by the Dice coefficient. Statements that are wrapped are found by windows of words that
+reach over an end of line, of at most as many bigrams as the template's threshold allows; a window
+begins and ends with a bigram of the template, as others only lower the coefficient. A template
 is only compared where the sizes of the two sets allow the threshold, and a set that no template's
 size allows isn't compared at all. Sets are only made of lines that hold, for some template, a word of each of
 two lists: without a word of a list the template has too few bigrams left to reach the threshold.
 
+n_lines counts the lines that state a licence alone, 0 where only windows over several lines do; dice
+is that of the best line, or of the best window where no line does.
+
 Defined results: null and empty texts have no lines and give no rows; a tie between templates of one
 text gives a row for each; repeated rows are counted together by doc_id; other columns are ignored.
 """
@@ -22,6 +27,7 @@ from pyspark.sql import functions as F
 from recallgrid.llm.common import documents
 
 DICE = 0.8
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Licence statements and short licence texts, as published.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
@@ -64,8 +70,43 @@ def anchors(own: list[str], other: tuple[str, ...] = ()) -> list[str]:
     return chosen
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.translate(text, UPPER, UPPER.lower()), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def wrapped(texts: DataFrame, sets: list[tuple[str, list[str]]]) -> DataFrame:
+    """doc_id, license, wdice: windows over several lines that reach DICE; texts has doc_id and text."""
+    # a text that shares less than the smallest allowed set with a template has no window of it: it must hold
+    # one of any n - low + 1 of the template's n bigrams, so one of each such list
+    lists = []
+    for _, own in sets:
+        k, long = len(own) - _allowed(len(own))[0] + 1, sorted(own, key=lambda b: (-len(b), b))
+        lists.append([long[a : a + k] for a in range(0, len(own) - k + 1, k)])
+
+    def holds(t: Column) -> Column:
+        return reduce(or_, [reduce(and_, [reduce(or_, [F.contains(t, F.lit(f" {b} ")) for b in bs]) for bs in of]) for of in lists])
+
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.translate("text", UPPER, UPPER.lower()), "[^a-z0-9]+", " "), F.lit(" "))
+    texts = texts.filter(F.contains(F.col("text"), F.lit("\n")) & F.exists(F.array(spaced), holds))
+    places = F.flatten(F.transform(F.split("text", "\n", -1), lambda t, i: F.transform(_words(t), lambda w: F.struct(w.alias("w"), i.alias("i")))))
+    t = texts.select("doc_id", places.alias("w"))
+    size = F.greatest(F.size("w") - 1, F.lit(0))
+    pair = lambda a, b: F.struct(F.concat_ws(" ", a["w"], b["w"]).alias("g"), a["i"].alias("i"), b["i"].alias("j"))
+    t = t.select("doc_id", F.zip_with(F.slice("w", 1, size), F.slice("w", 2, size), pair).alias("g"))
+    t = t.filter(F.element_at("g", -1)["j"] > F.get("g", F.lit(0))["i"]).withColumn("s", F.array_distinct(F.col("g")["g"]))
+    named = [F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, own)).alias("own"), F.lit(_allowed(len(own))[0]).alias("low"), F.lit(_allowed(len(own))[1]).alias("high")) for name, own in sets]
+    t = t.select("doc_id", "g", F.inline(F.filter(F.array(*named), lambda x: F.size(F.array_intersect("s", x["own"])) >= x["low"])))
+    begins = F.filter(F.sequence(F.lit(1), F.size("g")), lambda k: F.array_contains("own", F.element_at("g", k)["g"]))
+    reach = F.filter(F.transform(begins, lambda k: F.slice("g", k, F.col("high"))), lambda x: F.element_at(x, -1)["j"] > F.element_at(x, 1)["i"])
+    x = t.select("doc_id", "license", "own", F.explode(reach).alias("x"))
+    ends = F.filter(F.sequence(F.lit(1), F.size("x")), lambda k: (F.element_at("x", k)["j"] > F.element_at("x", 1)["i"]) & F.array_contains("own", F.element_at("x", k)["g"]))
+    part = lambda k: F.slice(F.col("x")["g"], 1, k)
+    best = F.array_max(F.transform(ends, lambda k: 2 * F.size(F.array_intersect(part(k), F.col("own"))) / (F.size(F.array_distinct(part(k))) + F.size("own"))))
+    return x.select("doc_id", "license", best.alias("wdice")).filter(F.col("wdice") >= DICE)
+
+
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """doc_id, license, n_lines, dice: the licences that lines of a text state, with the best coefficient."""
+    """doc_id, license, n_lines, dice: the licences that a text states, with the best coefficient."""
     sets = [(name, bigrams(t)) for name, ts in (templates or TEMPLATES).items() for t in ts]
     bounds = [_allowed(len(b)) for _, b in sets]
     low, high = min(b[0] for b in bounds), max(b[1] for b in bounds)
@@ -78,11 +119,11 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None)
 
         return F.exists(F.array(F.lower(text)), holds)
 
-    lines = docs.filter(anchored(F.col("text"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.filter(F.split("text", "\n", -1), anchored)).alias("line"))
-    # two bounds before any set is made: a bigram takes a space and, with it, at least a letter
-    lines = lines.filter((F.length("line") >= 2 * low) & (F.size(F.split("line", "[^A-Za-z0-9]+")) <= 2 * high + 4))
-    word = F.filter(F.split(F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+"), lambda w: w != "")
-    lines = lines.select("doc_id", word.alias("w"))
+    texts = docs.filter(anchored(F.col("text"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    lines = texts.select("doc_id", F.explode(F.filter(F.split("text", "\n", -1), anchored)).alias("line"))
+    # a bound before any set is made: a bigram takes a space and, with it, at least a letter
+    lines = lines.filter(F.length("line") >= 2 * low)
+    lines = lines.select("doc_id", _words(F.col("line")).alias("w"))
     size = F.greatest(F.size("w") - 1, F.lit(0))
     pairs: Column = F.array_distinct(F.zip_with(F.slice("w", 1, size), F.slice("w", 2, size), lambda a, b: F.concat_ws(" ", a, b)))
     lines = lines.withColumn("b", pairs).withColumn("n", F.size("b")).filter(F.col("n").between(low, high))
@@ -93,7 +134,8 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None)
         return F.when(F.col("n").between(*bounds[i]), 2 * shared / (F.col("n") + len(own))).otherwise(0.0)
 
     lines = lines.select("doc_id", F.inline(F.array(*[F.struct(F.lit(name).alias("license"), dice(i).alias("dice")) for i, (name, _) in enumerate(sets)])))
-    return lines.filter(F.col("dice") >= DICE).groupBy("doc_id", "license").agg(F.count("*").alias("n_lines"), F.round(F.max("dice"), 6).alias("dice"))
+    found = lines.filter(F.col("dice") >= DICE).unionByName(wrapped(texts, sets), allowMissingColumns=True)
+    return found.groupBy("doc_id", "license").agg(F.count("dice").alias("n_lines"), F.round(F.coalesce(F.max("dice"), F.max("wdice")), 6).alias("dice"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,6 +154,25 @@ def test_license_anchors_lose_nothing(spark):
     assert got == want and 0 < len({i for i, _ in want}) < len(lines)
 
 
+def test_licenses_wrapped(spark):
+    import textwrap
+
+    rows, want = [], set()
+    for i, (name, t) in enumerate((name, t) for name, ts in licenses.TEMPLATES.items() for t in ts):
+        own = len(licenses.bigrams(t))
+        for k, width in enumerate((20, 40, 76)):
+            body = textwrap.wrap(t, width)
+            best = max(2 * len(set(licenses.bigrams(x)) & set(licenses.bigrams(t))) / (len(licenses.bigrams(x)) + own) for x in body)
+            if len(body) > 1 and best < licenses.DICE:
+                rows.append((10 * i + k, "Some words here before.\n" + "\n".join(body) + "\nAnd other words\nafter it."))
+                want.add((10 * i + k, name))
+    rows += [(9001, "Some text. Released under\nthe MIT License. More of it"), (9002, "Released\nunder the sun\nMIT License"), (9003, "Released under the MIT License. " * 300)]
+    want |= {(9001, "MIT"), (9003, "MIT")}
+    got = {(r["doc_id"], r["license"]): r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 20 and want <= set(got) and not {k for k in got if k[0] == 9002}
+    assert got[9001, "MIT"]["n_lines"] == 0 and got[9001, "MIT"]["dice"] == 1.0 and got[9003, "MIT"]["n_lines"] == 1
+
+
 def test_mixing(docs, none, rows):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows)
