@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +30,94 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The shared folder of spark.checkpoint.dir; a local one only in local mode, where tests leave that unset."""
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/recallgrid-stages"
     return root.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
+
+
+def stage(df: DataFrame, name: str, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The stage tables in spent aren't needed by anything but df; they are deleted once it is written.
+    """
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _PATHS[out] = path
+    if _SCOPES:
+        _SCOPES[-1].append((spark, path))
+    free(*spent)
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete stage tables that nothing reads any more."""
+    for t in tables:
+        if path := _PATHS.pop(t, None):
+            _delete(t.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """All stage tables made inside are deleted at the end; what is to last is written by the caller with kept()."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _SCOPES.pop():
+            _delete(spark, path)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """A stage table that the surrounding scratch() leaves."""
+    inner, _SCOPES[:] = list(_SCOPES), []
+    try:
+        return stage(df, name)
+    finally:
+        _SCOPES[:] = inner
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """row, doc_id, doc: each row of docs (whole, as doc) with a key that any scan gives again.
+
+    The key is doc_id; where rows share one or lack it, numbers are given and written to a stage table.
+    """
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    if d.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return d.select(F.col("doc_id").alias("row"), "doc_id", "doc")
+    return stage(d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "doc"), "numbered")
+
+
+#: A key that more than one row in HOT has is hot; there are fewer than HOT such keys in any table. A table of FEW rows is no burden to any task.
+HOT, FEW = 2000, 20_000
+
+
+def attach(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """left with the columns of right, null where that has no row of the key.
+
+    right has one row a key, and in weight how many of the total rows of left have it. Hot keys are fewer
+    than HOT, so theirs are broadcast and their rows stay where they lie; all others are joined by hash.
+    """
+    if total <= FEW:
+        return left.join(right.drop(weight), on, "left")
+    hot = F.broadcast(right.filter(F.col(weight) * HOT > total).drop(weight))
+    rest = right.filter(F.col(weight) * HOT <= total).drop(weight)
+    return left.join(hot, on).unionByName(left.join(hot.select(*on), on, "left_anti").join(rest, on, "left"))
 
 
 # --- hashing of words in a byte buffer -------------------------------------------------------
@@ -144,17 +220,19 @@ def in_filter(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) links -> (id, component): the smallest id reachable. Alternating large and small stars:
-    the number of rounds grows with the logarithm of the longest path; each round is a stage table."""
+    the number of rounds grows with the logarithm of the longest path; each round is a stage table.
+    A hub of very many links is a hot key, see attach()."""
     e = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "cc")
     seen = None
     while True:
+        total = 2 * e.count()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(least, "u")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("c"))
+        large = attach(both, low, ["u"], "c", total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        linked = attach(large, least, ["u"], "c", total)
         small = linked.select("u", F.col("m").alias("v")).unionByName(linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        e = stage(small, "cc")
+        e = stage(small, "cc", (e,))
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen:
             break

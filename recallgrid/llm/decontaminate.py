@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallgrid.llm.common import WORD_SPLIT, documents, stage
+from recallgrid.llm.common import WORD_SPLIT, documents, numbered, stage
 
 WINDOW = 8
 LITERALS, COVER, RUN = 4, 0.5, 14
@@ -92,6 +92,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """docs without the contaminated ones."""
-    bad = matches(docs, bench).filter("contaminated").select(F.col("doc_id").alias("_doc_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == F.col("_doc_id"), "left_anti")
+    """The rows of docs that aren't contaminated, whole; rows that share a doc_id or lack it are rows of their own."""
+    n = numbered(docs)
+    bad = matches(n.select(F.col("row").alias("doc_id"), "doc.text"), bench).filter("contaminated").select(F.col("doc_id").alias("row")).distinct()
+    return n.join(bad, "row", "left_anti").select("doc.*")

@@ -3,10 +3,14 @@
 Sizes are summed by source and hash bucket. A source's target is whole passes over it plus a rest;
 the rest's budget is a threshold on the hash, found by nested histograms: the bucket in which the
 budget ends is divided again, and only that one. Documents below the threshold are taken once more.
-Nothing is sorted but the few buckets of a source, and reruns agree, as the hash is of doc_id.
-
-Defined results: null text has size 0; null source is a source of its own, last in order; rows with
-the same doc_id are taken alike; a null doc_id hashes as the empty string; other columns are ignored.
+Nothing is sorted but the few buckets of a source, and reruns agree, as the hash is of doc_id. Rows meet
+what is known of their source by attach(), so a hot source is never gathered. Only the list of sources, a
+row of 50 bytes for each, is ordered in one task.
+
+Defined results: null and empty texts have size 0 and are taken 0 times their size; null source is a
+source of its own, last in order; rows with the same doc_id are taken alike, repeated rows too; a null doc_id
+hashes as the empty string; a text of any length counts whole; an empty table gives no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallgrid.llm.common import WORD_SPLIT, documents, stage
+from recallgrid.llm.common import WORD_SPLIT, attach, documents, stage
 
 # Weights by place of the source, the share of all sizes, and the most times a source is taken.
 WEIGHTS = (3, 1, 2)
@@ -30,8 +34,8 @@ def _hash(level: int) -> Column:
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size, target for sizes(source, size): shares by weight, filled up to the limits."""
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """source, docs, source_size, target for sizes(source, size): shares by weight, filled up to the limits."""
+    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     # one row a source from here on: the windows without a key are as long as the list of sources
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(place, F.lit(len(WEIGHTS))) + 1).cast("int"))
@@ -44,44 +48,36 @@ def targets(sizes: DataFrame) -> DataFrame:
     s = s.withColumn("level", (SHARE * F.col("total") - MOST * F.col("done_size")) / (F.col("all_weight") - F.col("done_weight")))
     s = s.withColumn("fits", F.col("level") * F.col("weight") <= MOST * F.col("source_size"))
     s = s.withColumn("water", F.min(F.when(F.col("fits"), F.struct(F.col("source_size") / F.col("weight"), "level"))).over(every)["level"])
-    return s.select("source", "source_size", F.when(F.col("total") == 0, 0.0).otherwise(F.least(F.col("water") * F.col("weight"), MOST * F.col("source_size").cast("double"))).alias("target"))
-
-
-def _on_source(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    return s.select("source", "docs", "source_size", F.when(F.col("total") == 0, 0.0).otherwise(F.least(F.col("water") * F.col("weight"), MOST * F.col("source_size").cast("double"))).alias("target"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source, source_size, target, taken for each row of docs (doc_id, text, source)."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), WORD_SPLIT), lambda w: w != "")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words).cast("long").alias("size"))
+    # a source's key is never null
+    rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     rows = stage(rows.withColumns({f"b{i}": _hash(i) for i in range(len(LEVELS))}), "sizes")
-    goal = stage(targets(rows), "targets")
+    total = rows.count()
+    goal = targets(rows).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source")
     goal = goal.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     goal = goal.withColumn("passes", F.least("passes", F.lit(MOST)).cast("long")).withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size"))
-    edge = goal.select("source", "budget")
-    for i in range(len(LEVELS)):
+    goal = stage(goal, "targets")
+    edge, n, lv = goal.select("key", "docs", "budget"), len(LEVELS), range(len(LEVELS))
+    light = rows.select("key", "size", *[f"b{k}" for k in lv])
+    for i in lv:
         # only rows of the bucket in which the budget ends are counted again
-        keys = [f"e{k}" for k in range(i)]
-        inside = _on_source(rows, edge)
+        inside = attach(light, edge, ["key"], "docs", total)
         for k in range(i):
             inside = inside.filter(F.col(f"b{k}") == F.col(f"e{k}"))
-        counts = inside.groupBy("source", "budget", *keys, f"b{i}").agg(F.sum("size").alias("n"))
-        below = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy(f"b{i}").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = inside.groupBy("key", "budget", f"b{i}").agg(F.sum("size").alias("n"))
+        below = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy(f"b{i}").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         counts = counts.withColumn("below", below).filter("below <= budget")
-        last = counts.groupBy("source").agg(F.max_by(F.struct(F.col(f"b{i}").alias("e"), (F.col("budget") - F.col("below")).alias("rest")), f"b{i}").alias("x"))
-        edge = edge.drop("budget").join(last.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select("source", *keys, F.col("x.e").alias(f"e{i}"), F.col("x.rest").alias("budget"))
-        edge = stage(edge, "edge")
+        last = counts.groupBy("key").agg(F.max_by(F.struct(F.col(f"b{i}").alias("e"), (F.col("budget") - F.col("below")).alias("rest"), "n"), f"b{i}").alias("x"))
+        edge = stage(edge.drop("budget", "tail").join(last, "key").select("key", "docs", *[f"e{k}" for k in range(i)], F.col("x.e").alias(f"e{i}"), F.col("x.rest").alias("budget"), F.col("x.n").alias("tail")), "edge", (edge,) if i else ())
     # the last bucket is taken if that ends nearer to the budget
-    n, lv = len(LEVELS), range(len(LEVELS))
-    last = _on_source(rows, edge)
-    for k in lv:
-        last = last.filter(F.col(f"b{k}") == F.col(f"e{k}"))
-    tail = last.groupBy("source").agg(F.sum("size").alias("tail"))
-    edge = edge.join(tail.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    edge = edge.select("source", *[f"e{k}" for k in lv], (F.coalesce("tail", F.lit(0)) <= 2 * F.col("budget")).alias("with_edge"))
-    out = _on_source(rows, goal.select("source", "source_size", "target", "passes"))
-    out = out.join(edge.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    edge = edge.select("key", *[f"e{k}" for k in lv], (F.col("tail") <= 2 * F.col("budget")).alias("with_edge"))
+    out = attach(rows, goal.join(edge, "key", "left").drop("budget"), ["key"], "docs", total)
     here, edge_at = F.struct(*[F.col(f"b{k}") for k in lv]), F.struct(*[F.col(f"e{k}").alias(f"b{k}") for k in lv])
     more = (here < edge_at) | ((here == edge_at) & F.col("with_edge"))
     times = F.col("passes") + F.when(F.coalesce(more, F.lit(False)) & (F.col("passes") < MOST), 1).otherwise(0)

@@ -2,22 +2,27 @@
 
 Each document is the set of its 5-word shingles, kept in one global order (rare shingles first).
 Two sets with a Jaccard similarity of 3/4 share a shingle among the first n - ceil(3n/4) + 1 of
-each, so only those prefixes are dealt out. Texts that meet are verified by whole sets: the sets of
-a block form a trie, and one probe walks it, counting each shared path once and leaving subtrees
-that the remaining lengths can't bring to the needed overlap. Before that, parities of the hashes of
-a set (two to four a shingle, so that long texts have more) bound from below how many shingles two
-texts don't share, which spares most texts that aren't similar.
+each, so only those prefixes are dealt out. Texts that meet at a shingle are verified by whole sets:
+the sets of a block form a trie, and every probe of the block walks it, counting each shared path once
+and leaving subtrees that the remaining lengths can't bring to the needed overlap. Before that,
+parities of the hashes of a set (two to four a shingle, so that long texts have more) bound from
+below how many shingles two texts don't share, which spares most texts that aren't similar.
 
 Order of the work: (1) a fixed-size counter sketch over all shingles gives the order; (2) equal sets
 become one class; (3) prefixes are dealt by shingle, those alone in a shingle go; (4) each class is
 held against the leaders of its shingles, which links the bulk of a group of near copies in linear
 time; (5) pairs of different components that still meet are held against each other, the most
 frequent component of a shingle never against itself. Every pair that could link is either verified
-or already connected.
+or already connected. Shingles are known by 64 bits throughout.
 
-Defined results: null or wordless texts have n_shingles 0 and only themselves; repeated rows give
-repeated result rows; a null doc_id links with nothing and has a null component_id; other columns
-are ignored, whatever their names.
+Hot keys: a shingle that the sketch counts far above the others is dealt in parts (whose leaders are
+held against each other), groups of copies are summed up before they are dealt, and hot classes,
+shingles and hubs are joined by attach().
+
+Defined results: every row is a document of its own, also where rows share a doc_id (that alone links
+nothing) or lack it (it can be linked, but gives no component_id); null, empty or wordless texts have
+n_shingles 0 and only themselves; equal rows give equal result rows; a text of any length is one
+set; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallgrid.llm.common import chunks, components, documents, hashed_words, id_filter, in_filter, mix64, small_batches, stage
+from recallgrid.llm.common import attach, chunks, components, documents, hashed_words, id_filter, in_filter, mix64, numbered, small_batches, stage
 
 WORDS = 5
 SKETCH_BITS, SKETCH_BLOCKS = 21, 64
-#: Stored sets in one trie; larger groups are split over several tries, each with the same probe.
+#: Pairs that one trie is made for; more are split over several tries, each walked by the same probes.
 TRIE_SETS = 256
+#: A cell of the sketch with so many documents above eight times the mean is dealt in parts; rows of one task where a shingle's texts meet.
+HOT_CELL, MEETING = 1000, 5000
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -107,17 +114,6 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed(flat))
 
 
-def _packed(path: np.ndarray) -> bytes:
-    """Six bytes of each hash are kept: two texts of 20,000 shingles share one by chance once in 700,000 times."""
-    return path.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 class Trie:
     """Sets in global order as paths; runs without a branch are one node."""
 
@@ -166,22 +162,22 @@ class Trie:
 
 
 def _close(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) but those whose parities differ in more places than similar sets can."""
-    pairs = stage(pairs, "pairs")
+    """The pairs (a, b, token) but those whose parities differ in more places than similar sets can."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bits = rows.select(F.col("doc_id").alias("id"), "n", "bits").join(asked, "id", "left_semi").dropDuplicates(["id"])
+    bits = rows.select(F.col("row").alias("id"), "n", "bits").join(asked, "id", "left_semi")
     x, y = (bits.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
     # similar sizes have as many bits or twice as many, which fold by halves
     half = F.least(F.size("bitsa"), F.size("bitsb"))
     folded = [F.when(F.size(c) == half, F.col(c)).otherwise(F.zip_with(F.slice(c, 1, half), F.slice(c, half + 1, half), lambda p, q: p.bitwiseXOR(q))) for c in ("bitsa", "bitsb")]
     differ = F.aggregate(F.zip_with(*folded, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
     # n + m - 2 i >= differ and 7 i >= 3 (n + m)
-    return pairs.join(x, "a").join(y, "b").filter(7 * differ <= F.col("na") + F.col("nb")).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").filter(7 * differ <= F.col("na") + F.col("nb")).select("a", "b", "token")
 
 
 def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, counts, words: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar, as links (u, v)."""
-    pairs = stage(_close(rows, pairs), "close")
+    """Links (u, v) among the pairs (a, b, token), by whole sets: the a that meet at a token form a trie, all their b walk it."""
+    pairs = stage(pairs, "pairs")
+    pairs = stage(_close(rows, pairs), "close", (pairs,))
     bitmap = pairs.sparkSession.sparkContext.broadcast(id_filter(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), "id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,74 +186,119 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, counts, words:
                 yield b.filter(pa.array(in_filter(bitmap.value, b.column("bit").to_numpy())))
 
         for b, texts in chunks(needed()):
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([_packed(_ordered(s, counts.value)) for s in shingle_sets(texts, words)], pa.binary())], ["id", "path"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([_ordered(s, counts.value).tobytes() for s in shingle_sets(texts, words)], pa.binary())], ["id", "path"])
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    paths = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 22)).alias("bit")).mapInArrow(sets, "id long, path binary").join(asked, "id", "left_semi").dropDuplicates(["id"])
-    blocks = F.ceil(F.count("*").over(Window.partitionBy("b")) / TRIE_SETS)
-    dealt = stage(pairs.withColumn("blk", F.pmod(F.xxhash64("a"), blocks).cast("int")), "dealt")
-    sides = dealt.select("b", "blk", F.col("a").alias("id")).unionByName(dealt.select("b", "blk", F.col("b").alias("id")).distinct())
+    paths = docs.select(F.col("row").alias("id"), "text", F.pmod(F.xxhash64("row"), F.lit(1 << 22)).alias("bit")).mapInArrow(sets, "id long, path binary").join(asked, "id", "left_semi")
+    many = pairs.groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > TRIE_SETS).select("token", F.ceil(F.col("c") / TRIE_SETS).alias("blocks"), "c")
+    dealt = attach(pairs, many, ["token"], "c", pairs.count())
+    dealt = stage(dealt.select("a", "b", "token", F.pmod(F.xxhash64("a"), F.coalesce("blocks", F.lit(1))).cast("int").alias("blk")), "dealt")
+    sides = dealt.select("token", "blk", F.col("a").alias("id"), F.lit(False).alias("probe")).unionByName(dealt.select("token", "blk", F.col("b").alias("id"), F.lit(True).alias("probe"))).distinct()
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        probe_id, trie, probe = int(pdf["b"].iloc[0]), Trie(), None
-        for name, path in zip(pdf["id"], pdf["path"]):
-            path = _unpacked(path)
-            if name == probe_id:
-                probe = path
-            else:
-                trie.add(int(name), path)
-        names = trie.similar(probe) if probe is not None and len(probe) else []
-        return pd.DataFrame({"u": np.array(names, np.int64), "v": np.full(len(names), probe_id, np.int64)})
+        trie, u, v = Trie(), [], []
+        path = [np.frombuffer(x, np.uint64) for x in pdf["path"]]
+        for name, x, probe in zip(pdf["id"], path, pdf["probe"]):
+            if not probe:
+                trie.add(int(name), x)
+        for name, x, probe in zip(pdf["id"], path, pdf["probe"]):
+            if probe:
+                found = trie.similar(x)
+                u += found
+                v += [int(name)] * len(found)
+        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
-    return sides.join(paths, "id").groupBy("b", "blk").applyInPandas(walk, "u long, v long")
+    links = stage(sides.join(paths, "id").groupBy("token", "blk").applyInPandas(walk, "u long, v long").filter("u <> v"), "links", (pairs, dealt))
+    bitmap.destroy()
+    return links
 
 
-def ngram_join(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = spark.sparkContext.broadcast(shingle_counts(docs, words))
+def _enough(na: str, pa_: str, nb: str, pb: str):
+    """Sizes and places of a shared shingle allow the needed overlap."""
+    return F.expr(f"4 * least({na}, {nb}) >= 3 * greatest({na}, {nb}) and 7 * least({na} - {pa_}, {nb} - {pb}) >= 3 * ({na} + {nb})")
+
+
+def _sets(docs: DataFrame, counts, words: int) -> DataFrame:
+    """row, doc_id, n, two signatures, prefix, parts of each of its shingles, parities: a row for each of docs (row, doc_id, text)."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = counts.value
+        most = HOT_CELL + 8 * int(cells.mean())
         for b, texts in chunks(batches):
             sets = shingle_sets(texts, words)
             sign = [np.array([mix64(s ^ np.uint64(k)).sum(dtype=np.uint64) for s in sets], np.uint64) for k in (0x51ED270B, 0xB492B66F)]
-            head = [_ordered(s, counts.value)[: len(s) - (3 * len(s) + 3) // 4 + 1] if len(s) else s for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed(sign[0]), _signed(sign[1]), _lists(head), _lists([_parities(s) for s in sets])], ["doc_id", "n", "s1", "s2", "head", "bits"])
-
-    rows = stage(docs.mapInArrow(prefixes, "doc_id long, n long, s1 long, s2 long, head array<long>, bits array<long>"), "sets")
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.first("head").alias("head"))
-    # 48 bits of a token find who meets whom (chance meetings fail when verified)
-    met = classes.select("id", "n", F.posexplode("head").alias("pos", "token")).select("id", "n", F.shiftrightunsigned("token", 16).alias("token"), "pos")
-    met = met.withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter("c > 1").drop("c")
+            head = [_ordered(s, cells)[: len(s) - (3 * len(s) + 3) // 4 + 1] if len(s) else s for s in sets]
+            offsets = pa.array(np.cumsum([0, *map(len, head)]).astype(np.int32))
+            parts = -(-cells[_cells(np.concatenate(head))].astype(np.int64) // most)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("row"), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed(sign[0]), _signed(sign[1]), _lists(head), pa.ListArray.from_arrays(offsets, pa.array(np.maximum(parts, 1).astype(np.int32))), _lists([_parities(s) for s in sets])],
+                ["row", "doc_id", "n", "s1", "s2", "head", "parts", "bits"],
+            )
+
+    return docs.mapInArrow(prefixes, "row long, doc_id long, n long, s1 long, s2 long, head array<long>, parts array<int>, bits array<long>")
+
+
+def _links(docs: DataFrame, rows: DataFrame, counts, words: int) -> DataFrame:
+    """id, component of all classes that link with another; a class is known by the least row of its copies."""
+    classes = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("id"), F.first("head").alias("head"), F.first("parts").alias("parts"))
+    met = classes.select("id", "n", "parts", F.posexplode("head").alias("pos", "token"))
+    met = met.select("id", "n", "token", "pos", F.get("parts", F.col("pos")).alias("parts")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    met = met.withColumn("c", F.count("*").over(Window.partitionBy("token", "part"))).filter("c > 1 or parts > 1").drop("c")
     # the leader of a token and a range of sizes: rows dealt by token already lie together
-    first = F.min(F.struct("id", "n", "pos")).over(Window.partitionBy("token", F.floor(F.log("n") / F.log(F.lit(4 / 3)))))
-    met = stage(met.withColumn("l", first), "met")
-
-    def enough(na: str, pa_: str, nb: str, pb: str):
-        """Sizes and places allow the needed overlap."""
-        return F.expr(f"4 * least({na}, {nb}) >= 3 * greatest({na}, {nb}) and 7 * least({na} - {pa_}, {nb} - {pb}) >= 3 * ({na} + {nb})")
-
-    stars = met.filter("id <> l.id").filter(enough("n", "pos", "l.n", "l.pos")).groupBy(F.col("id").alias("a"), F.col("l.id").alias("b")).count()
-    stars = stars.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("count"), "b"))).filter("k <= 2").select("a", "b")
-    links = stage(_verified(docs, rows, stars, counts, words), "links")
+    met = met.withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
+    met = stage(met.withColumn("l", F.min(F.struct("id", "n", "pos")).over(Window.partitionBy("token", "part", "band"))), "met")
+    leaders = met.filter("parts > 1").select("token", "band", "l").distinct()
+    first = leaders.groupBy("token", "band").agg(F.min("l").alias("f"))
+    above = leaders.join(first, ["token", "band"]).select("token", F.col("l.id").alias("id"), F.col("l.n").alias("n"), F.col("l.pos").alias("pos"), F.col("f").alias("l"))
+    stars = met.select("token", "id", "n", "pos", "l").unionByName(above).filter("id <> l.id").filter(_enough("n", "pos", "l.n", "l.pos"))
+    stars = stars.groupBy(F.col("id").alias("a"), F.col("l.id").alias("b")).agg(F.count("*").alias("k"), F.min("token").alias("token"))
+    stars = stars.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("k"), "b"))).filter("k <= 2").select("a", "b", "token")
+    links = _verified(docs, rows, stars, counts, words)
     known = stage(components(links), "known")
 
     named = met.join(known, "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("comp"))
-    w = Window.partitionBy("token")
-    mixed = named.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).filter("lo <> hi").drop("lo", "hi")
-    mixed = mixed.withColumn("k", F.count("*").over(Window.partitionBy("token", "comp")))
-    mixed = stage(mixed.withColumn("in_top", F.col("comp") == F.max(F.struct("k", "comp")).over(w)["comp"]).drop("k"), "mixed")
-    x = mixed.filter("not in_top").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-    y = mixed.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), "in_top")
-    rest = x.join(y, (x.token == y.token) & F.expr("ca <> cb and (in_top or a < b)") & enough("na", "pa", "nb", "pb")).select("a", "b").distinct()
-    links = links.unionByName(_verified(docs, rows, rest, counts, words))
-
-    comp = components(links)
-    members = rows.join(classes.select("s1", "s2", "n", "id"), ["s1", "s2", "n"], "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("doc_id"))
-    return members.join(comp, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    sizes = named.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    mixed = sizes.groupBy("token").agg(F.sum("k").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("k", "comp"))["comp"].alias("top")).filter("lo <> hi")
+    mixed = mixed.select("token", "top", F.ceil(F.col("c") / MEETING).cast("int").alias("split"), "c")
+    mixed = stage(attach(named, mixed, ["token"], "c", met.count()).filter("top is not null"), "mixed", (met, known))
+    x = mixed.filter("comp <> top").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.explode(F.sequence(F.lit(0), F.col("split") - 1)).alias("part"))
+    y = mixed.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), (F.col("comp") == F.col("top")).alias("in_top"), F.pmod(F.xxhash64("id"), F.col("split")).cast("int").alias("part"))
+    rest = x.join(y, ["token", "part"]).filter(F.expr("ca <> cb and (in_top or a < b)") & _enough("na", "pa", "nb", "pb")).groupBy("a", "b").agg(F.min("token").alias("token"))
+    more = _verified(docs, rows, rest, counts, words)
+    linked = components(links.unionByName(more))
+    return stage(linked.unionByName(linked.select(F.col("component").alias("id"), "component").distinct()), "linked", (mixed, links, more))
+
+
+def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, group_row for each of docs (row, doc_id, text); group_row is the same for all of a group, and for no other."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    counts = spark.sparkContext.broadcast(shingle_counts(docs, words))
+    rows = stage(_sets(docs, counts, words), "sets")
+    linked = _links(docs, rows, counts, words)
+    r = rows.select("row", "doc_id", "n", "s1", "s2")
+    copies = stage(r.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("id"), F.min("doc_id").alias("low"), F.count("*").alias("c")).filter("c > 1"), "copies")
+    # the least doc_id of each component
+    low = linked.join(r.select(F.col("row").alias("id"), "doc_id"), "id").join(copies.select("id", "low"), "id", "left")
+    low = low.groupBy("component").agg(F.min(F.coalesce("low", "doc_id")).alias("least"), F.count("*").alias("c"))
+    named = stage(attach(linked, low, ["component"], "c", linked.count()), "named", (linked,))
+    of_copies = copies.join(named, "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("g"), F.coalesce("least", "low").alias("l"), "c")
+    out = attach(r, of_copies, ["s1", "s2", "n"], "c", r.count()).join(named.withColumnRenamed("id", "row"), "row", "left")
+    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("l", "least", "doc_id").alias("component_id"), F.coalesce("g", "component", "row").alias("group_row"))
+
+
+def ngram_join(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+    return groups(numbered(docs).select("row", "doc_id", "doc.text"), words).select("doc_id", "n_shingles", "component_id")
+
+
+def first_of_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The rows of docs, of each group only the one with the smallest doc_id (null last; of equal ones any)."""
+    n = numbered(docs)
+    g = stage(groups(n.select("row", "doc_id", "doc.text"), words), "groups")
+    first = g.groupBy("group_row").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("row"))
+    # texts move once, by row; the way of this join doesn't change with the number of ids
+    return n.join(first.select("row").hint("merge"), "row", "left_semi").select("doc.*")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
