@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a
 DataFrame, which run() writes as Parquet to the shared folder and reads again for the next one. All
-stages but the last return the columns of docs.
+stages but the last return the columns of docs, whatever their names.
+
+Every stage works on rows: a null or repeated doc_id drops nothing that another row would keep. Null and empty
+texts fail the quality rules; the stages after it, called by themselves, keep them (the mix takes
+nothing of them). Texts of any length are read whole, and an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -11,22 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallgrid.llm import decontaminate, mixing, ngram_join, quality, secrets
-from recallgrid.llm.common import documents, stage
+from recallgrid.llm.common import documents, free, kept, scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    kept = quality.quality_rules(docs).filter("kept").select(F.col("doc_id").alias("_doc_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long") == F.col("_doc_id"), "left_semi")
+    """Documents that the quality rules reject go. Null or empty texts fail them; every row is judged by itself, whatever its doc_id."""
+    return quality.accepted(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    found = stage(ngram_join.ngram_join(docs), "groups")
-    first = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = docs.join(first.select(F.col("doc_id").alias("_doc_id")), docs["doc_id"].cast("long") == F.col("_doc_id"), "left_semi")
-    repeated = not first.filter("n > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """One row of each group of near duplicates stays: the one with the smallest doc_id, null last. Rows that share a doc_id are rows of their own."""
+    return ngram_join.first_of_groups(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +47,12 @@ STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage),
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; what a stage needs meanwhile, and its input, are deleted once its result is written."""
     docs = documents(spark, sf_dir)
     for name, f in STAGES:
-        docs = stage(f(spark, docs, sf_dir), name)
+        with scratch():
+            last, docs = docs, kept(f(spark, docs, sf_dir), name)
+        free(last)
     return docs
 
 
