@@ -218,11 +218,43 @@ def in_filter(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
 # --- connected components --------------------------------------------------------------------
 
 
+#: So many links are joined up by one task, in some 100 MB; more of them by rounds over tables.
+FEW_LINKS = 1 << 20
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(u, v) links -> (id, component): the smallest id reachable. Alternating large and small stars:
-    the number of rounds grows with the logarithm of the longest path; each round is a stage table.
-    A hub of very many links is a hot key, see attach()."""
+    """(u, v) links -> (id, component): the smallest id reachable, for every id with a link.
+
+    Beyond FEW_LINKS by alternating large and small stars: the number of rounds grows with the logarithm
+    of the longest path; each round is a stage table. A hub of very many links is a hot key, see attach().
+    """
     e = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "cc")
+    if e.count() <= FEW_LINKS:
+        return e.repartition(1).mapInArrow(_joined, "id long, component long")
+    c = _stars(e)
+    return c.unionByName(c.select(F.col("component").alias("id"), "component").distinct())
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all links of one task, by taking the least label along links and then the label's label."""
+    links = [np.stack((b.column("u").to_numpy(), b.column("v").to_numpy())) for b in batches]
+    ids, at = np.unique(np.concatenate(links, axis=1) if links else np.zeros((2, 0), np.int64), return_inverse=True)
+    u, v = at.reshape(2, -1)
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        for side in (u, v):
+            np.minimum.at(new, side, low)
+            np.minimum.at(new, label[side], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], ["id", "component"])
+
+
+def _stars(e: DataFrame) -> DataFrame:
     seen = None
     while True:
         total = 2 * e.count()

@@ -12,7 +12,8 @@ n_lines counts the lines that state a licence alone, 0 where only windows over s
 is that of the best line, or of the best window where no line does.
 
 Defined results: null and empty texts have no lines and give no rows; a tie between templates of one
-text gives a row for each; repeated rows are counted together by doc_id; other columns are ignored.
+text gives a row for each; repeated rows are counted together by doc_id (a null one too); a text of any length
+is compared whole; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallgrid.llm.common import documents
+from recallgrid.llm.common import documents, stage
 
 DICE = 0.8
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -119,7 +120,8 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None)
 
         return F.exists(F.array(F.lower(text)), holds)
 
-    texts = docs.filter(anchored(F.col("text"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # the few texts with anchor words are read twice, all texts once
+    texts = stage(docs.filter(anchored(F.col("text"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "anchored")
     lines = texts.select("doc_id", F.explode(F.filter(F.split("text", "\n", -1), anchored)).alias("line"))
     # a bound before any set is made: a bigram takes a space and, with it, at least a letter
     lines = lines.filter(F.length("line") >= 2 * low)
@@ -147,10 +149,17 @@ def _quoted(s: str) -> str:
 
 
 OP3_SQL = f"""
-WITH t(license, b) AS (VALUES {", ".join(f"({_quoted(name)}, [{', '.join(map(_quoted, bigrams(t)))}])" for name, ts in TEMPLATES.items() for t in ts)}),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM l),
-g AS (SELECT doc_id, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS b FROM w WHERE len(w) BETWEEN 2 AND 400),
-d AS (SELECT doc_id, license, 2 * len(list_intersect(g.b, t.b)) / (len(g.b) + len(t.b)) AS dice FROM g, t)
-SELECT doc_id, license, count(*) AS n_lines, round(max(dice), 6) AS dice FROM d WHERE dice >= {DICE} GROUP BY 1, 2
+WITH t(license, b, low, high) AS (VALUES {", ".join(f"({_quoted(name)}, [{', '.join(map(_quoted, bigrams(t)))}], {_allowed(len(bigrams(t)))[0]}, {_allowed(len(bigrams(t)))[1]})" for name, ts in TEMPLATES.items() for t in ts)}),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+w AS (SELECT doc_id, i, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM l),
+g AS (SELECT doc_id, list_distinct([w[k] || ' ' || w[k + 1] for k in range(1, len(w))]) AS b FROM w WHERE len(w) >= 2),
+d AS (SELECT doc_id, license, 2 * len(list_intersect(g.b, t.b)) / (len(g.b) + len(t.b)) AS dice FROM g, t),
+ln AS (SELECT doc_id, license, count(*) AS n_lines, max(dice) AS dice FROM d WHERE dice >= {DICE} GROUP BY 1, 2),
+s AS (SELECT doc_id, x, i, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS p FROM (SELECT doc_id, i, unnest(w) AS x, unnest(range(len(w))) AS k FROM w)),
+b AS (SELECT * FROM (SELECT doc_id, p, i, x || ' ' || lead(x) OVER o AS g, lead(i) OVER o AS j FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY p)) WHERE g IS NOT NULL),
+h AS (SELECT b.doc_id, p, i, j, license, own, high FROM b JOIN (SELECT license, b AS own, high, unnest(b) AS g FROM t) USING (g)),
+z AS (SELECT a.doc_id, a.license, a.own, a.p AS p1, e.p AS p2 FROM h a JOIN h e ON a.doc_id = e.doc_id AND a.license = e.license AND a.own = e.own AND e.p >= a.p AND e.p < a.p + a.high AND e.j > a.i),
+v AS (SELECT z.doc_id, license, 2 * count(DISTINCT g) FILTER (list_contains(own, g)) / (count(DISTINCT g) + len(own)) AS wdice FROM z JOIN b ON b.doc_id = z.doc_id AND b.p BETWEEN p1 AND p2 GROUP BY z.doc_id, license, own, p1, p2),
+wr AS (SELECT doc_id, license, max(wdice) AS wdice FROM v WHERE wdice >= {DICE} GROUP BY 1, 2)
+SELECT doc_id, license, coalesce(n_lines, 0) AS n_lines, round(coalesce(dice, wdice), 6) AS dice FROM ln FULL JOIN wr USING (doc_id, license)
 """

@@ -265,8 +265,7 @@ def _links(docs: DataFrame, rows: DataFrame, counts, words: int) -> DataFrame:
     y = mixed.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), (F.col("comp") == F.col("top")).alias("in_top"), F.pmod(F.xxhash64("id"), F.col("split")).cast("int").alias("part"))
     rest = x.join(y, ["token", "part"]).filter(F.expr("ca <> cb and (in_top or a < b)") & _enough("na", "pa", "nb", "pb")).groupBy("a", "b").agg(F.min("token").alias("token"))
     more = _verified(docs, rows, rest, counts, words)
-    linked = components(links.unionByName(more))
-    return stage(linked.unionByName(linked.select(F.col("component").alias("id"), "component").distinct()), "linked", (mixed, links, more))
+    return stage(components(links.unionByName(more)), "linked", (mixed, links, more))
 
 
 def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:

@@ -5,8 +5,9 @@ weak secret candidates and endpoints are laid out as intervals and joined within
 cut at blank lines); a weak candidate is reported only where a complementary part
 stands within LINK_CHARS of it in the same scope.
 
-Defined results: null and empty texts have no spans; repeated rows give repeated result rows; other
-columns are ignored; a text of any length is scanned whole.
+Defined results: null and empty texts have no spans; repeated rows give repeated result rows; a part at the same
+distance on both sides links with both; a text of any length is scanned whole; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallgrid.llm.common import documents
-from recallgrid.llm.spans import Span, digest, joined, scan
+from recallgrid.llm.spans import Span, apart, digest, joined, scan
 
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -65,8 +66,7 @@ def scopes(text: str) -> list[int]:
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """Parts of credentials that complete each other: the interval join."""
     weak = [(m.start(), m.end()) for m in WEAK.finditer(text) if weak_secret(m[0])] if re.search("[0-9]", text) else []
-    taken = [(s, e) for _, s, e in base]
-    weak = [w for w in weak if not any(s < w[1] and w[0] < e for s, e in taken)]
+    weak = [(s, e) for _, s, e in apart([("weak", s, e) for s, e in weak], base)]
     strong = [(s, e, k) for k, s, e in base if k in ("access",)]
     ids = [(m.start(1), m.end(1), "identifier") for m in IDENTIFIER.finditer(text)] if ":" in text or "=" in text else []
     ends = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)] if ":" in text or "=" in text else []

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import bisect
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import sha256
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +25,14 @@ def digest(spans: list[Span]) -> str:
     return sha256(joined(spans).encode()).hexdigest()
 
 
+def apart(spans: Iterable[Span], taken: Iterable[Span]) -> list[Span]:
+    """The spans that overlap none of taken."""
+    order = sorted((s, e) for _, s, e in taken)
+    begins, reach = [s for s, _ in order], list(accumulate((e for _, e in order), max))
+    # of those that begin before a span's end, the one that reaches farthest
+    return [x for x in spans if not (k := bisect.bisect_left(begins, x[2])) or reach[k - 1] <= x[1]]
+
+
 def scan(docs: DataFrame, find: Callable[[str], tuple], schema: str) -> DataFrame:
     """doc_id and the columns of schema (name type, ...) that find(text) returns; a null text is empty."""
     small_batches(docs.sparkSession)

@@ -5,13 +5,18 @@ of the embeddings of its character trigrams. Windows of WINDOW words, every STRI
 forward and a backward GRU; attention pools the states, and a logistic unit scores the window. A text's
 score is the highest of all its windows.
 
-Labels belong to texts, not windows: training starts from the windows of toxic texts that hold words
-much more frequent in toxic texts, then takes the windows that the network itself scores highest.
-The classifier is fitted on at most TOXIC + CLEAN labelled rows, picked by the hash of doc_id, in whose
-texts all windows (toxic) or CLEAN_WINDOWS random ones (clean) are used; every text is scored whole.
+Labels belong to texts, not windows. Training starts from all windows of toxic texts, each with its share
+of the text's weight, against random windows of clean texts; no word statistics by label are used. Then it
+takes, of each toxic text, the windows that the network itself scores highest, if they stand out above
+what it gives to clean texts, and the windows of clean texts that it scores highest.
+The classifier is fitted on at most TOXIC + CLEAN labelled rows of at most FIT_BYTES, picked by the hash of
+doc_id, in whose texts all windows (toxic) or CLEAN_WINDOWS random ones (clean) are used; every text is
+scored whole, whatever its length.
 
 Defined results: null, empty and wordless texts score 0; a training set without both labels gives 0 to
-all; repeated rows score alike; a null doc_id hashes as the empty string; other columns are ignored.
+all; repeated rows score alike, and a doc_id with several labels counts as toxic if one is; ties of score
+change nothing; a null doc_id hashes as the empty string; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from recallgrid.llm.common import chunks, documents, prefix_hash, small_batches,
 
 FOLDS, HELD_OUT = 5, 0
 WINDOW, STRIDE = 32, 16
-TOXIC, CLEAN, CLEAN_WINDOWS = 800, 2000, 3
+TOXIC, CLEAN, CLEAN_WINDOWS, FIT_BYTES = 800, 2000, 3, 200_000
 VOCABULARY, TRIGRAMS, D_WORD, D_CHAR, HIDDEN = 20000, 4096, 12, 8, 8
 EPOCHS, BATCH, RATE, DECAY, SEED = 9, 512, 0.02, 0.1, 11
 #: Steps of training at least.
@@ -88,14 +93,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    def __init__(self, vocabulary: np.ndarray, odds: np.ndarray) -> None:
-        """vocabulary: sorted word hashes; odds: where an embedding starts in its first direction."""
+    def __init__(self, vocabulary: np.ndarray) -> None:
+        """vocabulary: sorted word hashes."""
         rng = np.random.default_rng(SEED)
         f = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
         d, h = D_WORD + D_CHAR, HIDDEN
         self.vocabulary = vocabulary
         self.p = {"word": rng.normal(0, 0.1, (len(vocabulary) + 1, D_WORD)).astype(np.float32), "char": rng.normal(0, 0.1, (TRIGRAMS, D_CHAR)).astype(np.float32)}
-        self.p["word"][1:, 0] = odds
         for side in "fb":
             self.p |= {f"W{side}": f(d, 3 * h), f"U{side}": f(h, 3 * h), f"c{side}": np.zeros(3 * h, np.float32)}
         self.p |= {"A": f(2 * h, h), "a": np.zeros(h, np.float32), "v": f(h, 1)[:, 0], "o": f(2 * h, 1)[:, 0], "z": np.full(1, -2, np.float32)}
@@ -212,25 +216,17 @@ def _train(texts: list[bytes], toxic: np.ndarray) -> Network:
     rng, w = np.random.default_rng(SEED), Words(texts)
     text_of = np.repeat(np.arange(len(texts)), np.diff(w.at))
     seen = np.unique(np.stack((w.of, text_of)), axis=1)
-    y = toxic[seen[1]]
-    pos, neg = (np.bincount(seen[0], weights=y == k, minlength=len(w.hash)) for k in (1, 0))
-    odds = np.log((pos + 0.5) / (toxic.sum() + 1)) - np.log((neg + 0.5) / (len(toxic) - toxic.sum() + 1))
-    count = pos + neg
+    count = np.bincount(seen[0], minlength=len(w.hash))
     known = np.sort(np.lexsort((w.hash, -count))[:VOCABULARY])
     known = known[count[known] >= max(LEAST, LEAST_SHARE * len(texts))]
-    # 2.5 standard errors less than measured, so that chance isn't evidence
-    sure = odds - 2.5 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    evidence = np.where(count >= LEAST, np.clip(sure, 0, 4), 0)
-    net = Network(w.hash[known], evidence[known] / 4)
+    net = Network(w.hash[known])
     ids, first_tri = net.ids(w.hash), np.searchsorted(w.word, np.arange(len(w.hash) + 1))
     first, text, n = window_starts(w.at)
     span = np.minimum(first + np.arange(WINDOW)[:, None], len(w.of) - 1)
     inside = np.arange(WINDOW)[:, None] < n
-    strongest = np.where(inside, evidence[w.of[span]], -9).max(0)
     is_toxic = toxic[text] == 1
-    best = np.full(len(texts), -9.0)
-    np.maximum.at(best, text, strongest)
-    positive = np.flatnonzero(is_toxic & (strongest >= 0.7) & (strongest >= best[text] - 1))
+    positive = np.flatnonzero(is_toxic)
+    per_text = np.bincount(text, minlength=len(texts))
     clean = np.flatnonzero(~is_toxic)
     pick = rng.random(len(clean))
     order = np.lexsort((pick, text[clean]))
@@ -240,6 +236,7 @@ def _train(texts: list[bytes], toxic: np.ndarray) -> Network:
     hard = clean[:0]
     m, v, step = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
     epochs = max(EPOCHS, STEPS * BATCH // max(1, len(clean)))
+    phase = 0
     for epoch in range(epochs):
         if epoch and epoch % (epochs // 3) == 0:  # the windows that the network takes for the reason of the label
             x = net.project(net.inputs(w))
@@ -247,14 +244,19 @@ def _train(texts: list[bytes], toxic: np.ndarray) -> Network:
             s = np.concatenate([net.forward({k: a[w.of[span[:, i]]] for k, a in x.items()}, inside[:, i])[0] for i in parts])
             high = np.full(len(texts), -np.inf)
             np.maximum.at(high, text, s)
-            # texts in which nothing stands out stay out: their labels can be wrong
-            positive = np.flatnonzero(is_toxic & (s >= high[text] - 1) & (high[text] > 1) & (strongest >= 0.7))
+            # texts in which nothing stands out above clean ones stay out: their labels can't be learned from
+            usual = np.quantile(high[(toxic == 0) & (high > -np.inf)], 0.9) if (high[toxic == 0] > -np.inf).any() else 0.0
+            positive = np.flatnonzero(is_toxic & (s >= high[text] - 1) & (high[text] > usual))
+            phase += 1
             # and those that it takes wrongly
             hard = np.flatnonzero(~is_toxic & (s == high[text]) & (s > -2))
         if not len(positive):
             break
         every = np.concatenate((positive, clean, hard, hard))
-        share = np.where(toxic[text[every]] == 1, max(1.0, 0.3 * len(clean) / len(positive)), 1.0)
+        # a toxic text weighs the same whatever its length, toxic ones together 0.3 of the clean
+        share = np.where(toxic[text[every]] == 1, 1 / (per_text[text[every]] if phase == 0 else 1), 1.0)
+        bad = toxic[text[every]] == 1
+        share[bad] *= max(1.0, 0.3 * len(clean) / share[bad].sum()) if phase == 0 else max(1.0, 0.3 * len(clean) / len(positive))
         for i in np.array_split(rng.permutation(len(every)), max(1, len(every) // BATCH)):
             k, step = every[i], step + 1
             mask, at = inside[:, k], w.of[span[:, k]]
@@ -284,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("y")).filter("y in (0, 1)").filter(_fold(F.col("_id")) != HELD_OUT)
     known = known.groupBy("_id").agg(F.max("y").alias("y"))
     some = known.filter("y = 1").orderBy(F.xxhash64("_id"), "_id").limit(TOXIC).unionByName(known.filter("y = 0").orderBy(F.xxhash64("_id"), "_id").limit(CLEAN))
-    rows = docs.join(F.broadcast(some), docs["doc_id"] == F.col("_id")).select("_id", "y", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["_id"]).orderBy("_id").collect()
+    rows = docs.filter(F.octet_length(F.coalesce("text", F.lit(""))) <= FIT_BYTES).join(F.broadcast(some), docs["doc_id"] == F.col("_id")).select("_id", "y", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["_id"]).orderBy("_id").collect()
     return train([r["text"].encode() for r in rows], np.array([r["y"] for r in rows], np.int64))
 
 

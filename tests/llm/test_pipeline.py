@@ -23,3 +23,44 @@ def test_stages(spark, sf):
     assert all(r["text"] == secrets.mask(before[r["doc_id"]]) and r["n_chars"] == len(r["text"]) for r in fourth.collect())
     last = P.mixing_stage(spark, fourth, sf).collect()
     assert last and all(0 < r["taken"] <= 2 * r["size"] for r in last)
+
+
+def test_awkward_rows(spark, sf):
+    """Rows without a doc_id or with a shared one, empty texts, and names that clash, through every stage."""
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    text = lambda: " ".join(rng.choice(words) for _ in range(60)) + "."
+    a, b, c = text(), text(), text()
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    rows = [(None, a), (5, b), (5, c), (7, b), (None, a), (8, None), (9, ""), (10, item)]
+    d = spark.createDataFrame([(i, t, "en", "s", 1, 2, 3, 4, "z") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _doc_id long, row long, doc long, g string")
+    first = P.quality_stage(spark, d, sf)
+    assert first.columns == d.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in first.collect()) == sorted((str(i), t) for i, t in rows if t)
+    second = P.near_duplicate_stage(spark, d, sf)
+    assert second.columns == d.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in second.collect()) == sorted((str(i), str(t)) for i, t in [(None, a), (5, b), (5, c), (8, None), (9, ""), (10, item)])
+    third = P.decontamination_stage(spark, d, sf)
+    assert third.columns == d.columns and sorted(str(r["doc_id"]) for r in third.collect()) == sorted(str(i) for i, _ in rows if i != 10)
+    assert P.secrets_stage(spark, d, sf).columns == d.columns and P.secrets_stage(spark, d, sf).count() == len(rows)
+    assert {r["doc_id"] for r in P.mixing_stage(spark, d, sf).collect()} <= {None, 5, 7, 10}
+    none = d.limit(0)
+    assert [f(spark, none, sf).count() for _, f in P.STAGES] == [0] * 5
+
+
+def test_spent_tables_go(spark, tmp_path):
+    """run() leaves its result and nothing else in the shared folder."""
+    import duckdb
+
+    for t in ("documents", "benchmark"):
+        duckdb.sql(f"COPY (SELECT * FROM '/root/testdata/sf0.001/{t}.parquet' LIMIT 60) TO '{tmp_path}/{t}.parquet' (FORMAT PARQUET)")
+    root = tmp_path / "shared"
+    spark.conf.set("spark.checkpoint.dir", f"file://{root}")
+    try:
+        out = P.run(spark, str(tmp_path))
+        assert out.count() > 0
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+    assert [p.name.split("-")[0] for p in root.iterdir()] == ["mixing"]
