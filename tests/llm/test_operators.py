@@ -446,11 +446,15 @@ def test_decontamination(spark, docs, none):
 CLASHING = "doc_id long, text string, item_id long, _doc_id long, _id long, row long, h long, part int, pos int, key string"
 
 
+def bare_word(w):
+    return w.strip("".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "%$+<=>^`|~")).lower()
+
+
 def brute_canonical(t):
     """Canonical words and what stands behind placeholders, word by word."""
     out = []
     for w in (t or "").split():
-        bare = w.strip("".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "%$+<=>^`|~")).lower()
+        bare = bare_word(w)
         if w[:1].islower() and w[:1].isascii():
             kind = "<unit>" if bare in decontaminate.UNITS else None
         elif w[0].isdigit():
@@ -466,16 +470,20 @@ def brute_canonical(t):
 
 def brute_contaminated(text, item):
     d, b = brute_canonical(text), brute_canonical(item)
-    hits = defaultdict(list)
+    hits, size = defaultdict(list), 8
     wins = [i for i in range(len(b) - 7) if sum(x[1] is None for x in b[i : i + 8]) >= 4]
+    if not wins:  # no template: the plain words
+        d, b = ([(bare_word(w), None) for w in t.split()] for t in (text, item))
+        size = min(8, len(b))
+        wins = list(range(len(b) - size + 1))
     for i in wins:
-        for p in range(len(d) - 7):
-            if [x[0] for x in d[p : p + 8]] == [x[0] for x in b[i : i + 8]]:
+        for p in range(len(d) - size + 1):
+            if [x[0] for x in d[p : p + size]] == [x[0] for x in b[i : i + size]]:
                 hits[p - i].append(i)
     for shift, at in hits.items():
         slots = defaultdict(set)
         for i in at:
-            for j in range(8):
+            for j in range(size):
                 if b[i + j][1] is not None:
                     slots[b[i + j][1]].add(d[i + shift + j][1])
         run = max(len(list(g)) for _, g in groupby(enumerate(sorted(at)), lambda x: x[1] - x[0]))

@@ -1,7 +1,7 @@
 """Each stage does what its operator says, on all rows that the one before kept."""
 
 import corpus_pipeline as P
-from recallgrid.llm import decontaminate, ngram_join, quality, secrets
+from recallgrid.llm import common, decontaminate, ngram_join, quality, secrets
 from recallgrid.llm.common import documents
 
 
@@ -50,17 +50,13 @@ def test_awkward_rows(spark, sf):
     assert [f(spark, none, sf).count() for _, f in P.STAGES] == [0] * 5
 
 
-def test_spent_tables_go(spark, tmp_path):
+def test_spent_tables_go(spark, tmp_path, monkeypatch):
     """run() leaves its result and nothing else in the shared folder."""
     import duckdb
 
     for t in ("documents", "benchmark"):
         duckdb.sql(f"COPY (SELECT * FROM '/root/testdata/sf0.001/{t}.parquet' LIMIT 60) TO '{tmp_path}/{t}.parquet' (FORMAT PARQUET)")
     root = tmp_path / "shared"
-    spark.conf.set("spark.checkpoint.dir", f"file://{root}")
-    try:
-        out = P.run(spark, str(tmp_path))
-        assert out.count() > 0
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(common, "stage_root", lambda spark: f"file://{root}")
+    assert P.run(spark, str(tmp_path)).count() > 0
     assert [p.name.split("-")[0] for p in root.iterdir()] == ["mixing"]
