@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recallgrid.plans import aggregates, graphs, lifecycle, reads, recall, streams, texts  # noqa: F401
+from recallgrid.plans import aggregates, cascade, graphs, lifecycle, reads, recall, streams, texts  # noqa: F401
 from recallgrid.registry import QUERIES, SQL
 
 

@@ -126,9 +126,14 @@ def event_span(date: Column) -> tuple[Column, Column]:
     return F.coalesce(day, month), F.coalesce(F.date_add(day, 1), F.add_months(month, 1))
 
 
+# Relations of a link.
+RELATIONS = ("related", "contrasts", "same_series")
+
+
 def links(text: Column) -> Column:
-    """[(id, relation)] of 'id:relation,...'; malformed items go, the first of each id stays."""
-    items = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x.rlike("^[^:]+:[^:]+$"))
-    pairs = F.transform(items, lambda x: F.struct(F.trim(F.split_part(x, F.lit(":"), F.lit(1))).alias("id"), F.trim(F.split_part(x, F.lit(":"), F.lit(2))).alias("relation")))
+    """[(id, relation)] of 'id:relation,...'; malformed items and unknown relations go, the first of each id stays."""
+    items = F.transform(F.split(text, ","), lambda x: F.split(F.trim(x), ":", 2))
+    pairs = F.transform(items, lambda x: F.struct(F.trim(F.get(x, F.lit(0))).alias("id"), F.lower(F.trim(F.get(x, F.lit(1)))).alias("relation")))
+    pairs = F.filter(pairs, lambda x: (x["id"] != "") & F.coalesce(x["relation"].isin(*RELATIONS), F.lit(False)))
     zero = F.array().cast("array<struct<id:string,relation:string>>")
     return F.aggregate(pairs, zero, lambda a, x: F.when(F.exists(a, lambda y: y["id"] == x["id"]), a).otherwise(F.concat(a, F.array(x))))

@@ -24,15 +24,30 @@ def stage(df: DataFrame, factor: Column) -> DataFrame:
     return w.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_w"), "pos")) - 1).drop("_w")
 
 
+#: Queries that are held against all rows at once; a larger set must name owners.
+QUERY_SET = 100_000
+
+
+def scoped(queries: DataFrame) -> DataFrame:
+    """queries with a row for each owner whose rows they see: their own, and nobody's."""
+    return queries.withColumn("scope", F.explode(F.array_distinct(F.array("owner", F.lit("")))))
+
+
 def vector_top(queries: DataFrame, rows: DataFrame, k: int, same_owner: bool = True) -> DataFrame:
     """query_id, id, score, pos: the k rows of each query by cosine. Exact.
 
-    With an owner the pairs come from an equi-join on it; without, the query set (of a stated size) is
-    held against all rows in one pass. row_number() <= k becomes a limit in each map task before the shuffle.
+    With an owner the pairs come from an equi-join on it (rows of nobody belong to every owner); without, the
+    query set, of at most QUERY_SET rows, is held against all rows in one pass. row_number() <= k becomes a
+    limit in each map task before the shuffle.
     """
     q = queries.select("query_id", "owner", unit(F.col("q_embedding")).alias("q"))
-    r = rows.select("id", F.col("user_id").alias("owner"), unit(F.col("embedding")).alias("v"))
-    pairs = q.join(r, "owner") if same_owner else r.drop("owner").crossJoin(F.broadcast(q.drop("owner")))
+    r = rows.select("id", F.col("user_id").alias("scope"), unit(F.col("embedding")).alias("v"))
+    if same_owner:
+        pairs = scoped(q).join(r, "scope")
+    else:
+        if (n := q.limit(QUERY_SET + 1).count()) > QUERY_SET:
+            raise ValueError(f"more than {QUERY_SET} queries without an owner ({n})")
+        pairs = r.drop("scope").crossJoin(F.broadcast(q.drop("owner")))
     scored = pairs.select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).select("query_id", "id", "score", (F.col("rk") - 1).alias("pos"))
@@ -43,31 +58,33 @@ def required_terms(n: Column) -> Column:
     return F.when(n <= 3, n).otherwise(F.ceil(n * 0.75)).cast("int")
 
 
-def bm25(terms: DataFrame, postings: DataFrame, lengths: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, id, kscore, kpos. terms: query_id, owner, term (distinct); postings: owner, id, term, tf; lengths: owner, id, dl.
+def bm25(terms: DataFrame, postings: DataFrame, sizes: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, id, kscore, kpos. terms: query_id, owner, term (distinct); postings: owner, term, id, tf, dl; sizes: owner, n, total.
 
-    Document counts and lengths are those of the owner's rows, so they are aggregated by owner first.
+    A query's scope is its owner's rows and nobody's. Only asked terms are read; how many rows of the scope hold a
+    term is counted among those, and the number and mean length of the scope's rows come from sizes, a row an owner.
     """
-    scope = lengths.groupBy("owner").agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
     need = terms.groupBy("query_id").agg(required_terms(F.count("*")).alias("need"))
-    df = postings.groupBy("owner", "term").agg(F.count("*").alias("df"))
-    hit = terms.join(postings, ["owner", "term"]).join(df, ["owner", "term"]).join(lengths, ["owner", "id"]).join(scope, "owner")
+    scope = scoped(terms.select("query_id", "owner").distinct()).join(sizes.withColumnRenamed("owner", "scope"), "scope")
+    scope = scope.groupBy("query_id").agg(F.sum("n").alias("N"), (F.sum("total") / F.sum("n")).alias("avgdl"))
+    hit = scoped(terms).join(postings.withColumnRenamed("owner", "scope"), ["scope", "term"])
+    hit = hit.withColumn("df", F.count("*").over(Window.partitionBy("query_id", "term"))).join(F.broadcast(scope), "query_id")
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     avg = F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl"))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avg))
-    sums = hit.groupBy("query_id", "id").agg(F.sum(part).alias("s"), F.count("*").alias("m")).join(need, "query_id").filter("m >= need")
+    sums = hit.groupBy("query_id", "id").agg(F.sum(part).alias("s"), F.count("*").alias("m")).join(F.broadcast(need), "query_id").filter("m >= need")
     sums = sums.select("query_id", "id", F.round("s", 9).alias("kscore"))
     w = Window.partitionBy("query_id").orderBy(F.desc("kscore"), "id")
     return sums.withColumn("kpos", F.row_number().over(w) - 1).filter(F.col("kpos") < k)
 
 
-def fuse(vector: DataFrame, keyword: DataFrame, floor: float, wv: Column, wk: Column) -> DataFrame:
-    """Weighted reciprocal ranks of both lists; vector hits below the floor have no rank. Ties by cosine, then id."""
+def fuse(vector: DataFrame, keyword: DataFrame, floor: float) -> DataFrame:
+    """Reciprocal ranks of both lists with the weights wv and wk of the query; vector hits below the floor have no rank. Ties by cosine, then id."""
     ranked = vector.withColumn("vr", F.when(F.col("score").cast("float").cast("double") >= floor, F.col("pos")))
     ranked = ranked.withColumn("vr", F.when(F.col("vr").isNotNull(), F.row_number().over(Window.partitionBy("query_id", F.col("vr").isNotNull()).orderBy("pos")) - 1))
-    both = ranked.select("query_id", "id", "score", "vr").join(keyword.select("query_id", "id", "kpos"), ["query_id", "id"], "full")
-    rrf = F.coalesce(wv / (RRF_K + F.col("vr") + 1), F.lit(0.0)) + F.coalesce(wk / (RRF_K + F.col("kpos") + 1), F.lit(0.0))
-    both = both.withColumn("rrf", F.round(rrf, 12)).filter("vr is not null or kpos is not null")
+    both = ranked.select("query_id", "id", "score", "vr", "wv").join(keyword.select("query_id", "id", "kpos", "wk"), ["query_id", "id"], "full")
+    rrf = F.coalesce(F.col("wv") / (RRF_K + F.col("vr") + 1), F.lit(0.0)) + F.coalesce(F.col("wk") / (RRF_K + F.col("kpos") + 1), F.lit(0.0))
+    both = both.withColumn("rrf", F.round(rrf, 12)).filter("vr is not null or kpos is not null").drop("wv", "wk")
     return renumber(both, F.desc("rrf"), F.desc(F.coalesce("score", F.lit(0.0))))
 
 
@@ -99,14 +116,13 @@ def usage_factor(shown: Column, used: Column) -> Column:
 
 
 def place_within(visible: DataFrame, extras: DataFrame, limit: int) -> DataFrame:
-    """Extras take at most max(1, limit // 3) places at the end of the visible part."""
+    """Extras take at most max(1, limit // 3) places at the end of the visible part; those that don't fit follow all hits."""
     room = max(1, limit // 3)
-    n = F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))
-    x = extras.withColumn("_n", n).filter(F.col("_n") <= room).drop("_n")
-    k = x.groupBy("query_id").agg(F.count("*").alias("_k"))
+    x = extras.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("pos")))
+    k = x.groupBy("query_id").agg(F.least(F.count("*"), F.lit(room)).alias("_k"))
     v = visible.join(k, "query_id", "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
     v = v.withColumn("_o", F.when(F.col("pos") < limit - F.col("_k"), 0).otherwise(2)).drop("_k")
-    both = v.unionByName(x.withColumn("_o", F.lit(1)), allowMissingColumns=True)
+    both = v.unionByName(x.withColumn("_o", F.when(F.col("_n") <= room, 1).otherwise(3)).drop("_n"), allowMissingColumns=True)
     return both.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("_o", "pos", "id")) - 1).drop("_o")
 
 
@@ -159,6 +175,22 @@ def mmr(hits: DataFrame, limit: int, lam: float = 0.75) -> DataFrame:
     return hits.groupBy("query_id").applyInPandas(one, hits.schema)
 
 
+def merge_best(*lists: DataFrame) -> DataFrame:
+    """query_id, id, score, pos: lists of hits by id, each at its best score, best first."""
+    both = lists[0].select("query_id", "id", "score")
+    for x in lists[1:]:
+        both = both.unionByName(x.select("query_id", "id", "score"))
+    return renumber(both.groupBy("query_id", "id").agg(F.max("score").alias("score")), F.desc("score"))
+
+
+def append_new(hits: DataFrame, extra: DataFrame) -> DataFrame:
+    """Hits of extra (in its order) that aren't there yet follow the others."""
+    n = hits.groupBy("query_id").agg(F.max("pos").alias("_last"))
+    x = extra.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti").join(n, "query_id", "left")
+    both = hits.unionByName(x.withColumn("pos", F.col("pos") + F.coalesce("_last", F.lit(-1)) + 1).drop("_last"), allowMissingColumns=True)
+    return renumber(both, F.col("pos"))
+
+
 def near_duplicates_last(hits: DataFrame, limit: int, least: float = 0.95) -> DataFrame:
     """In the head of 2 * limit, hits with a cosine of least to one kept before them and the same numbers go behind the kept ones."""
     import numpy as np

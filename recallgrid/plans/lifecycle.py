@@ -78,13 +78,13 @@ def schemas_by_evidence(spark: SparkSession, d: str) -> DataFrame:
     return e.join(facts, "id").groupBy("schema_id").agg(F.countDistinct("id").alias("cites"))
 
 
-@query(_q("SELECT a.id AS hit, b.id AS linked, a.n AS pos FROM (SELECT id, unnest([id + 160, id + 320]) AS t, unnest([1, 2]) AS n FROM mem WHERE layer = 'l3_fact' AND dead = 0 AND id < 100) a JOIN mem b ON b.id = a.t AND b.layer = 'l3_fact' AND b.dead = 0 WHERE b.id NOT IN (SELECT id FROM mem WHERE layer = 'l3_fact' AND dead = 0 AND id < 100)"))
+@query(_q("SELECT a.id AS hit, b.id AS linked, a.n AS pos FROM (SELECT id, unnest([id + 160, id + 320]) AS t, unnest([1, 2]) AS n FROM mem WHERE layer = 'l3_fact' AND dead = 0 AND id % 20 = 0) a JOIN mem b ON b.id = a.t AND b.layer = 'l3_fact' AND b.dead = 0 WHERE b.id NOT IN (SELECT id FROM mem WHERE layer = 'l3_fact' AND dead = 0 AND id % 20 = 0)"))
 def linked_facts(spark: SparkSession, d: str) -> DataFrame:
     """Facts that hits link to and that aren't hits themselves."""
     from recallgrid.functions.text import links
 
     facts = X.mem(spark, d).filter("layer = 'l3_fact' and dead = 0").select("id")
-    hits = facts.filter("id < 100")
+    hits = facts.filter("id % 20 = 0")
     text = F.concat((F.col("id") + 160).cast("string"), F.lit(":related, bad,"), (F.col("id") + 320).cast("string"), F.lit(":contrasts"))
     asked = hits.select(F.col("id").alias("hit"), F.posexplode(links(text)).alias("k", "l")).select("hit", F.col("l.id").cast("long").alias("id"), (F.col("k") + 1).alias("pos"))
     return asked.join(facts, "id").join(hits, "id", "left_anti").select("hit", F.col("id").alias("linked"), "pos")

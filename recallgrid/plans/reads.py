@@ -52,17 +52,17 @@ def vector_lookup(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.size("embedding").cast("long").alias("n"), F.round(dot(F.col("embedding"), F.col("embedding")), 6).alias("norm2"))
 
 
-@query("SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS score FROM embeddings ORDER BY score DESC, id LIMIT 10")
+@query("SELECT query_id, id, score FROM (SELECT q.vec_id AS query_id, r.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 9) DESC, r.vec_id) AS n FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0) WHERE n <= 10")
 def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """W1 for one query: a projection and a bounded top-k."""
-    from recallgrid.functions.vector import cosine
+    """W1 without owners: every vector whose id is divisible by 20 asks all of them."""
+    from recallgrid.operators.rank import vector_top
 
-    e = X.table(spark, d, "embeddings")
-    one = F.broadcast(e.filter("vec_id = 0").select(F.col("embedding").alias("q")).limit(1))
-    return e.crossJoin(one).select(F.col("vec_id").alias("id"), F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score")).orderBy(F.desc("score"), "id").limit(10)
+    e = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("").alias("user_id"), "embedding")
+    q = e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.lit("").alias("owner"), F.col("embedding").alias("q_embedding"))
+    return vector_top(q, e, 10, same_owner=False).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-ALIAS = "alias AS (SELECT DISTINCT user_id, CAST(substr(user_id, 4) AS INT) % 10 AS grp FROM mem), canon AS (SELECT a.user_id, min(b.user_id) AS canonical FROM alias a JOIN alias b USING (grp) GROUP BY 1)"
+ALIAS = "alias AS (SELECT DISTINCT user_id, CAST(substr(user_id, 4) AS INT) % 10 AS grp FROM mem WHERE user_id <> ''), canon AS (SELECT a.user_id, min(b.user_id) AS canonical FROM alias a JOIN alias b USING (grp) GROUP BY 1)"
 
 
 @query(_q(f"+{ALIAS} SELECT canonical, agent_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM mem JOIN canon USING (user_id) WHERE layer = 'l3_fact' AND dead = 0 GROUP BY 1, 2"))
@@ -124,11 +124,11 @@ def union_best(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).groupBy("id").agg(F.max("src").alias("best"))
 
 
-@query(_q("SELECT user_id, array_to_string(list(CAST(id AS VARCHAR) ORDER BY first_pos), ',') AS ids FROM (SELECT user_id, id, min(pos) AS first_pos FROM (SELECT user_id, id, id AS pos FROM mem WHERE id < 200 UNION ALL SELECT user_id, id, id + 1000000 FROM mem WHERE id % 7 = 0 AND id < 400) GROUP BY 1, 2) GROUP BY 1"))
+@query(_q("SELECT user_id, array_to_string(list(CAST(id AS VARCHAR) ORDER BY first_pos), ',') AS ids FROM (SELECT user_id, id, min(pos) AS first_pos FROM (SELECT user_id, id, id AS pos FROM mem UNION ALL SELECT user_id, id, id + 1000000000 FROM mem WHERE id % 7 = 0) GROUP BY 1, 2) GROUP BY 1"))
 def unique_append(spark: SparkSession, d: str) -> DataFrame:
     """Ids appended in order, each once at its first place."""
     m = X.mem(spark, d).select("user_id", "id")
-    both = m.filter("id < 200").withColumn("pos", F.col("id")).unionByName(m.filter("id % 7 = 0 and id < 400").withColumn("pos", F.col("id") + 1000000))
+    both = m.withColumn("pos", F.col("id")).unionByName(m.filter("id % 7 = 0").withColumn("pos", F.col("id") + 1000000000))
     first = both.groupBy("user_id", "id").agg(F.min("pos").alias("p"))
     return first.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", F.col("id").cast("string").alias("id")))), lambda x: x["id"]), ",").alias("ids"))
 

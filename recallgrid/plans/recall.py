@@ -9,25 +9,32 @@ from recallgrid import fixtures as X
 from recallgrid.functions import text as T
 from recallgrid.operators import rank as R
 from recallgrid.registry import query
+from recallgrid.sources import index
 
 FLOOR, LIMIT = 0.1, 5
 #: Steps that the checks share.
-POSTINGS = f"""tok AS (SELECT id, user_id AS owner, unnest({T.tokens_sql("content")}) AS term FROM mem WHERE dead = 0),
+POSTINGS = f"""tok AS (SELECT id, user_id AS owner, unnest({T.tokens_sql("content")}) AS term FROM mem WHERE dead = 0 AND layer <> 'l2_raw'),
 postings AS (SELECT owner, id, term, count(*) AS tf FROM tok GROUP BY 1, 2, 3),
-lengths AS (SELECT m.user_id AS owner, m.id, coalesce(sum(p.tf), 0) AS dl FROM mem m LEFT JOIN postings p ON p.id = m.id WHERE m.dead = 0 GROUP BY 1, 2)"""
+lengths AS (SELECT m.user_id AS owner, m.id, coalesce(sum(p.tf), 0) AS dl FROM mem m LEFT JOIN postings p ON p.id = m.id WHERE m.dead = 0 AND m.layer <> 'l2_raw' GROUP BY 1, 2)"""
 TERMS = f"terms AS (SELECT DISTINCT query_id, owner, unnest({T.tokens_sql('query')}) AS term FROM asked)"
+#: Rows of nobody belong to every owner's scope.
 BM25 = f"""{POSTINGS}, {TERMS},
-scope AS (SELECT owner, count(*) AS N, avg(dl) AS avgdl FROM lengths GROUP BY 1), dfs AS (SELECT owner, term, count(*) AS df FROM postings GROUP BY 1, 2),
+scope AS (SELECT query_id, count(*) AS N, avg(dl) AS avgdl FROM (SELECT DISTINCT query_id, owner FROM terms) t JOIN lengths l ON l.owner IN (t.owner, '') GROUP BY 1),
 need AS (SELECT query_id, CASE WHEN count(*) <= 3 THEN count(*) ELSE ceil(count(*) * 0.75) END AS need FROM terms GROUP BY 1),
-part AS (SELECT query_id, p.id, ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / CASE WHEN avgdl = 0 THEN 1 ELSE avgdl END)) AS s
-  FROM terms t JOIN postings p USING (owner, term) JOIN dfs USING (owner, term) JOIN lengths l ON l.id = p.id JOIN scope s ON s.owner = p.owner),
+found AS (SELECT t.query_id, t.term, p.id, p.tf, count(*) OVER (PARTITION BY t.query_id, t.term) AS df FROM terms t JOIN postings p ON p.term = t.term AND p.owner IN (t.owner, '')),
+part AS (SELECT query_id, f.id, ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / CASE WHEN avgdl = 0 THEN 1 ELSE avgdl END)) AS s
+  FROM found f JOIN lengths l ON l.id = f.id JOIN scope USING (query_id)),
 kw AS (SELECT * FROM (SELECT query_id, id, round(sum(s), 9) AS kscore, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(s), 9) DESC, id) - 1 AS kpos
   FROM part JOIN need USING (query_id) GROUP BY query_id, id, need HAVING count(*) >= need) WHERE kpos < 50)"""
 VECTOR = """vec AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS pos FROM
-  (SELECT query_id, id, round(list_cosine_similarity(q_embedding::DOUBLE[], embedding::DOUBLE[]), 9) AS score FROM asked JOIN mem ON owner = user_id WHERE dead = 0)) WHERE pos < 15)"""
-FUSED = f"""{BM25}, {VECTOR},
+  (SELECT query_id, id, round(list_cosine_similarity(q_embedding::DOUBLE[], embedding::DOUBLE[]), 9) AS score FROM asked JOIN mem ON user_id IN (owner, '') WHERE dead = 0)) WHERE pos < 15)"""
+#: The intent of a query sets how much each ranking counts.
+INTENT = """intent AS (SELECT query_id, query, kind, CASE kind WHEN 'navigational' THEN 0.6::DOUBLE WHEN 'conceptual' THEN 1.15::DOUBLE ELSE 1::DOUBLE END AS wv, CASE kind WHEN 'navigational' THEN 1.4::DOUBLE WHEN 'conceptual' THEN 0.85::DOUBLE ELSE 1::DOUBLE END AS wk
+  FROM (SELECT query_id, query, CASE WHEN len(list_filter(string_split(query, ' '), lambda w: w <> '')) BETWEEN 1 AND 3 AND len(list_filter(string_split(query, ' '), lambda w: regexp_matches(regexp_replace(w, '^[.,;:!?"''()\\[\\]{}]+|[.,;:!?"''()\\[\\]{}]+$', '', 'g'), '[0-9_]|[\\p{L}\\p{Nd}][^\\p{L}\\p{Nd}\\s''’][\\p{L}\\p{Nd}]'))) > 0 THEN 'navigational'
+  WHEN regexp_matches(lower(query), '(^|[^\\p{L}\\p{Nd}])(how|why|usually|pattern|prefer|explain|tend[^\\p{L}\\p{Nd}]+to)([^\\p{L}\\p{Nd}]|$)') THEN 'conceptual' ELSE 'factual' END AS kind FROM asked))"""
+FUSED = f"""{BM25}, {VECTOR}, {INTENT},
 vr AS (SELECT *, CASE WHEN CAST(score::FLOAT AS DOUBLE) >= {FLOOR} THEN row_number() OVER (PARTITION BY query_id, CAST(score::FLOAT AS DOUBLE) >= {FLOOR} ORDER BY pos) - 1 END AS vr FROM vec),
-rrf AS (SELECT query_id, id, score, round(coalesce(1 / (61 + vr), 0) + coalesce(1 / (61 + kpos), 0), 12) AS rrf FROM vr FULL JOIN kw USING (query_id, id) WHERE vr IS NOT NULL OR kpos IS NOT NULL),
+rrf AS (SELECT query_id, id, score, round(coalesce(wv / (61 + vr), 0) + coalesce(wk / (61 + kpos), 0), 12) AS rrf FROM vr FULL JOIN kw USING (query_id, id) JOIN intent USING (query_id) WHERE vr IS NOT NULL OR kpos IS NOT NULL),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, coalesce(score, 0) DESC, id) - 1 AS pos FROM rrf)"""
 
 
@@ -36,9 +43,9 @@ def live(spark: SparkSession, d: str, vectors: bool = False) -> DataFrame:
 
 
 def postings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = live(spark, d).select(F.col("user_id").alias("owner"), "id", T.tokens("content").alias("terms"))
-    lengths = rows.select("owner", "id", F.size("terms").cast("long").alias("dl"))
-    return rows.select("owner", "id", F.explode("terms").alias("term")).groupBy("owner", "id", "term").agg(F.count("*").alias("tf")), lengths
+    """The index of the live rows but the raw ones, which a search over all layers leaves out."""
+    rows = lambda: live(spark, d).filter("layer <> 'l2_raw'").withColumnRenamed("user_id", "owner")
+    return index.postings(spark, f"rows of {d}", rows, T.tokens("content"))
 
 
 def query_terms(q: DataFrame) -> DataFrame:
@@ -48,8 +55,7 @@ def query_terms(q: DataFrame) -> DataFrame:
 @query(X.with_views("mem", sql=f"+{POSTINGS} SELECT id, term, tf, dl FROM postings JOIN lengths USING (owner, id)"))
 def postings_index(spark: SparkSession, d: str) -> DataFrame:
     """Term counts of each row."""
-    p, n = postings(spark, d)
-    return p.join(n, ["owner", "id"]).select("id", "term", "tf", "dl")
+    return postings(spark, d)[0].select("id", "term", "tf", "dl")
 
 
 def _keyword(spark: SparkSession, d: str) -> DataFrame:
@@ -72,8 +78,19 @@ def vector_search(spark: SparkSession, d: str) -> DataFrame:
     return _vector(spark, d).withColumn("score", F.round("score", 6))
 
 
+def intent(query: F.Column) -> tuple[F.Column, F.Column, F.Column]:
+    """kind, wv, wk of a query."""
+    words = F.filter(F.split(query, " "), lambda w: w != "")
+    short = F.size(words).between(1, 3) & F.exists(words, T.looks_like_identifier)
+    conceptual = F.lower(query).rlike("(^|[^\\p{L}\\p{Nd}])(how|why|usually|pattern|prefer|explain|tend[^\\p{L}\\p{Nd}]+to)([^\\p{L}\\p{Nd}]|$)")
+    kind = F.when(short, "navigational").when(conceptual, "conceptual").otherwise("factual")
+    wv, wk = (F.when(kind == "navigational", a).when(kind == "conceptual", b).otherwise(1.0) for a, b in ((0.6, 1.15), (1.4, 0.85)))
+    return kind.alias("kind"), wv.alias("wv"), wk.alias("wk")
+
+
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    return R.fuse(_vector(spark, d), _keyword(spark, d), FLOOR, F.lit(1.0), F.lit(1.0))
+    w = X.asked(spark, d).select("query_id", *intent(F.col("query")))
+    return R.fuse(_vector(spark, d).join(w, "query_id"), _keyword(spark, d).join(w, "query_id"), FLOOR)
 
 
 @query(X.with_views("mem", "asked", sql=f"+{FUSED} SELECT query_id, id, round(rrf, 6) AS rrf, pos FROM fused WHERE pos < {LIMIT}"))
@@ -200,8 +217,8 @@ def layer_quota(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(X.with_views("mem", "asked", sql=ranked_sql() + """, v AS (SELECT query_id, id, pos FROM cand WHERE layer <> 'l7_intention'), v2 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY pos, id) - 1 AS pos FROM v),
- e AS (SELECT query_id, id, pos FROM cand WHERE layer = 'l7_intention' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) <= 1), k AS (SELECT query_id, count(*) AS k FROM e GROUP BY 1),
- a AS (SELECT query_id, id, pos, CASE WHEN pos < 5 - coalesce(k, 0) THEN 0 ELSE 2 END AS o FROM v2 LEFT JOIN k USING (query_id) UNION ALL SELECT query_id, id, pos, 1 FROM e)
+ e AS (SELECT query_id, id, pos, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n FROM cand WHERE layer = 'l7_intention'), k AS (SELECT query_id, 1 AS k FROM e GROUP BY 1),
+ a AS (SELECT query_id, id, pos, CASE WHEN pos < 5 - coalesce(k, 0) THEN 0 ELSE 2 END AS o FROM v2 LEFT JOIN k USING (query_id) UNION ALL SELECT query_id, id, pos, CASE WHEN n = 1 THEN 1 ELSE 3 END FROM e)
  SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY o, pos, id) - 1 AS pos FROM a"""))
 def place_within(spark: SparkSession, d: str) -> DataFrame:
     """Extra hits take the last visible places."""
@@ -240,16 +257,13 @@ def recall(spark: SparkSession, d: str) -> DataFrame:
     c = R.renumber(c.filter(F.expr("not (layer = 'l7_intention' and ts < timestamp_ntz'2024-01-02 12:00:00')")), F.col("pos"))
     for f in (recency(), R.usage_factor(F.col("shown"), F.col("used")), session_factor()):
         c = R.stage(c, f)
-    c = R.mmr(R.near_duplicates_last(c.filter("pos < 50"), LIMIT), LIMIT)
+    c = R.mmr(R.near_duplicates_last(c, LIMIT), LIMIT)
     c = R.layer_cap(R.layer_cap(c, "l5_knowledge", 2), "l8_entity", 2)
     c = R.ensure_layer(R.ensure_layer(c, "l6_schema", LIMIT), "l7_intention", LIMIT)
     return c.filter(F.col("pos") < LIMIT).select("query_id", "pos", "id", "layer", F.round("score", 6).alias("score"), "content")
 
 
-@query("SELECT query_id, intent, CASE intent WHEN 'navigational' THEN 0.6 WHEN 'conceptual' THEN 1.15 ELSE 1.0 END::DOUBLE AS wv FROM (SELECT item_id AS query_id, CASE WHEN regexp_matches(text, '[0-9_]') AND len(string_split(text, ' ')) <= 3 THEN 'navigational' WHEN regexp_matches(lower(text), '(^|[^a-z])(how|why|usually|pattern|prefer|explain)([^a-z]|$)') OR contains(lower(text), 'tend to') THEN 'conceptual' ELSE 'factual' END AS intent FROM benchmark)")
+@query(X.with_views("asked", sql=f"+{INTENT} SELECT query_id, kind, wv, wk FROM intent"))
 def intent_weights(spark: SparkSession, d: str) -> DataFrame:
     """W5, X9."""
-    low = F.lower("text")
-    intent = F.when(F.col("text").rlike("[0-9_]") & (F.size(F.split("text", " ")) <= 3), "navigational").when(low.rlike("(^|[^a-z])(how|why|usually|pattern|prefer|explain)([^a-z]|$)") | low.contains("tend to"), "conceptual").otherwise("factual")
-    q = X.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), intent.alias("intent"))
-    return q.withColumn("wv", F.when(F.col("intent") == "navigational", 0.6).when(F.col("intent") == "conceptual", 1.15).otherwise(1.0))
+    return X.asked(spark, d).select("query_id", *intent(F.col("query")))

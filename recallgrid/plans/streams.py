@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from recallgrid import fixtures as X
 from recallgrid.functions import timewin
 from recallgrid.registry import query
+from recallgrid.sources.index import shared_folder
 from recallgrid.streaming import episodes as E
 
 
@@ -60,8 +61,7 @@ def time_phrases(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type = 'click' GROUP BY 1")
 def feedback_stream(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream of files, aggregated with a stateful operator to a table in the shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.mkdtemp()}"
-    name = f"{root.rstrip('/')}/feedback-{abs(hash((d, id(spark))))}-{datetime.now().timestamp()}"
+    name = f"{shared_folder(spark)}/feedback-{uuid.uuid4().hex}"
     schema = X.table(spark, d, "events").schema
     s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     agg = s.filter("event_type = 'click'").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

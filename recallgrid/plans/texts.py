@@ -9,13 +9,11 @@ from recallgrid import fixtures as X
 from recallgrid.functions import text as T
 from recallgrid.registry import query
 
-NAMES = "(SELECT DISTINCT p_name AS name FROM part WHERE p_partkey <= 500)"
 
-
-@query(f"SELECT term, count(*) AS n FROM (SELECT unnest({T.tokens_sql('substr(text, 1, 2000)')}) AS term FROM documents) GROUP BY 1")
+@query(f"SELECT term, count(*) AS n FROM (SELECT unnest({T.tokens_sql('text')}) AS term FROM documents) GROUP BY 1")
 def term_counts(spark: SparkSession, d: str) -> DataFrame:
     """X1, X2 over the texts."""
-    docs = X.table(spark, d, "documents").select(F.substring("text", 1, 2000).alias("text"))
+    docs = X.table(spark, d, "documents").select("text")
     return docs.select(F.explode(T.tokens("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
@@ -26,10 +24,10 @@ def digit_sets(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.array_join(T.digit_runs(F.col("text")), ",").alias("numbers"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(t) <= 60 THEN t ELSE concat((SELECT string_agg(c, '' ORDER BY i) FROM (SELECT c, i, sum(strlen(c)) OVER (ORDER BY i) AS n FROM (SELECT unnest(string_split(substr(t, 1, 60), '')) AS c, generate_subscripts(string_split(substr(t, 1, 60), ''), 1) AS i)) WHERE n <= 60), '…') END AS line FROM (SELECT doc_id, trim(regexp_replace(substr(text, 1, 300), '\\s+', ' ', 'g')) AS t FROM documents)")
+@query("SELECT doc_id, CASE WHEN strlen(t) <= 60 THEN t ELSE concat((SELECT string_agg(c, '' ORDER BY i) FROM (SELECT c, i, sum(strlen(c)) OVER (ORDER BY i) AS n FROM (SELECT unnest(string_split(substr(t, 1, 60), '')) AS c, generate_subscripts(string_split(substr(t, 1, 60), ''), 1) AS i)) WHERE n <= 60), '…') END AS line FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)")
 def one_line(spark: SparkSession, d: str) -> DataFrame:
     """A line of at most 60 bytes, cut at a whole character."""
-    docs = X.table(spark, d, "documents").select("doc_id", T.one_spaced(F.substring("text", 1, 300)).alias("t"))
+    docs = X.table(spark, d, "documents").select("doc_id", T.one_spaced(F.col("text")).alias("t"))
     return docs.select("doc_id", T.cut_bytes(F.col("t"), 60).alias("line"))
 
 
@@ -74,10 +72,10 @@ def used_in_reply(spark: SparkSession, d: str) -> DataFrame:
     return j.withColumn("used", (F.col("n_terms") >= 3) & (F.col("n_again") * 10 >= F.col("n_terms") * 3))
 
 
-@query("SELECT event_id, CASE WHEN value > 66 THEN 'high' WHEN value > 33 THEN 'medium' ELSE 'low' END AS confidence, least(300 * pow(2, event_id % 12), 7200) AS delay, concat('Task: ', event_type, ' Solution: ', CAST(event_id AS VARCHAR)) AS content FROM events WHERE event_id < 500")
+@query("SELECT event_id, CASE WHEN value > 66 THEN 'high' WHEN value > 33 THEN 'medium' ELSE 'low' END AS confidence, least(300 * pow(2, event_id % 12), 7200) AS delay, concat('Task: ', event_type, ' Solution: ', CAST(event_id AS VARCHAR)) AS content FROM events")
 def experience_texts(spark: SparkSession, d: str) -> DataFrame:
     """X23, X26, M9's text."""
-    e = X.table(spark, d, "events").filter("event_id < 500")
+    e = X.table(spark, d, "events")
     conf = F.when(F.col("value") > 66, "high").when(F.col("value") > 33, "medium").otherwise("low")
     return e.select("event_id", conf.alias("confidence"), F.least(300 * F.pow(F.lit(2.0), F.col("event_id") % 12), F.lit(7200.0)).alias("delay"), F.concat(F.lit("Task: "), "event_type", F.lit(" Solution: "), F.col("event_id").cast("string")).alias("content"))
 

@@ -18,9 +18,9 @@ def one(spark, col):
 
 
 def test_tokens(spark):
-    df = spark.createDataFrame([("What is HYATLAS_SYNC_EXTRACT on port 19528? RSI(2) Reg-T",), ("stopping passed boxes libraries makes made status",), ("",), (None,)], "t string")
+    df = spark.createDataFrame([("What is GRID_SYNC_BATCHES on port 7421? KEY(3) Sub-Q",), ("stopping passed boxes libraries makes made status",), ("",), (None,)], "t string")
     got = [r["x"] for r in df.select(T.tokens("t").alias("x")).collect()]
-    assert got[0] == ["hyatla", "sync", "extract", "port", "19528", "rsi", "reg"]
+    assert got[0] == ["grid", "sync", "batch", "port", "7421", "key", "sub"]
     assert got[1] == ["stop", "pass", "box", "library", "make", "status"]
     assert got[2] == [] and got[3] is None
 
