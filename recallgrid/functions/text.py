@@ -80,6 +80,27 @@ def name_tokens(name: Column) -> Column:
     return F.when(F.size(kept) > 0, kept).otherwise(words)
 
 
+#: Punctuation and spaces at either end.
+EDGES = "^[ .,;:!?\"'()\\[\\]{}]+|[ .,;:!?\"'()\\[\\]{}]+$"
+
+
+def normalised(text: str) -> Column:
+    """Lower case, white space collapsed, no outer punctuation."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "\\s+", " "), EDGES, "")
+
+
+def endpoints_match(a1: Column, b1: Column, a2: Column, b2: Column) -> Column:
+    """One pair of ends is equal by normalised name, the other names the same entity."""
+    equal = lambda x, y: name_tokens(x) == name_tokens(y)
+    return (equal(a1, a2) & same_entity(b1, b2)) | (same_entity(a1, a2) & equal(b1, b2))
+
+
+def owned(users: list[str], agent: str, nobody: bool = False, exact: bool = False) -> Column:
+    """Rows of the users (none: of any) and the agent (empty: of any, unless exact); nobody adds rows without both."""
+    own = (F.col("user_id").isin(users) if users else F.lit(True)) & ((F.col("agent_id") == agent) if agent or exact else F.lit(True))
+    return own | ((F.col("user_id") == "") & (F.col("agent_id") == "")) if nobody else own
+
+
 def same_entity(a: Column, b: Column) -> Column:
     """The words of one name all stand in the other."""
     x, y = name_tokens(a), name_tokens(b)
@@ -137,3 +158,29 @@ def links(text: Column) -> Column:
     pairs = F.filter(pairs, lambda x: (x["id"] != "") & F.coalesce(x["relation"].isin(*RELATIONS), F.lit(False)))
     zero = F.array().cast("array<struct<id:string,relation:string>>")
     return F.aggregate(pairs, zero, lambda a, x: F.when(F.exists(a, lambda y: y["id"] == x["id"]), a).otherwise(F.concat(a, F.array(x))))
+
+
+def clamped(text: Column, lines: int, most: int) -> Column:
+    """The first lines, trimmed, of at most so many bytes, ending with a whole character."""
+    t = F.regexp_replace(F.array_join(F.slice(F.split(text, "\n", -1), 1, lines), "\n"), "^\\s+|\\s+$", "")
+    return F.regexp_replace(F.regexp_replace(cut_bytes(t, most), "…$", ""), "\\s+$", "")
+
+
+def unix_seconds(written: Column) -> Column:
+    """Seconds since 1970 of a written time, 0 if it can't be read."""
+    return F.coalesce(F.unix_timestamp(F.try_to_timestamp(written)), F.lit(0)).cast("long")
+
+
+def confidence(share: Column) -> Column:
+    return F.when(share > 0.66, "high").when(share > 0.33, "medium").otherwise("low")
+
+
+def retry_delay(failures: Column) -> Column:
+    """Seconds until the next try: five minutes, doubled for each failure, two hours at most."""
+    return F.least(300 * F.pow(F.lit(2.0), failures - 1), F.lit(7200.0))
+
+
+def experience(task: Column, solution: Column, environment: Column) -> Column:
+    """An experience as text; the environment is left out where it is blank."""
+    env = F.when(F.trim(F.coalesce(environment, F.lit(""))) != "", F.concat(F.lit(" Environment: "), environment)).otherwise("")
+    return F.concat(F.lit("Task: "), task, F.lit(" Solution: "), solution, env)

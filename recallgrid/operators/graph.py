@@ -6,6 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def normalised(edges: DataFrame) -> DataFrame:
+    """Edges with one list of distinct sources; an old single source (0: none) comes first."""
+    return edges.withColumn("sources", F.array_distinct(F.filter(F.concat(F.array("source"), "sources"), lambda s: s != 0))).drop("source")
+
+
+def visible(edges: DataFrame, owner: str) -> DataFrame:
+    """Edges of the owner and of nobody."""
+    return edges.filter(F.col("owner").isin(owner, ""))
+
+
 def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
 

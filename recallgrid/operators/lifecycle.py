@@ -47,6 +47,44 @@ def chain_ends(successor: DataFrame, rounds: int = 40) -> DataFrame:
     return ptr.join(successor.select(F.col("id").alias("to")), "to", "left_anti").select("id", F.col("to").alias("last"))
 
 
+def relink(successor: DataFrame, gone: DataFrame) -> DataFrame:
+    """id, superseded_by, how of (id, superseded_by) after the rows gone (id) are deleted: who was replaced by one of
+    them follows the chain to a row that exists; without one it counts as dropped."""
+    g = gone.select(F.col("id").alias("superseded_by"))
+    stays = successor.join(gone, "id", "left_anti")
+    direct = stays.join(g, "superseded_by", "left_anti").select("id", "superseded_by")
+    broken = stays.join(g, "superseded_by", "left_semi")
+    # from a deleted row on, only deleted rows are followed
+    through = successor.join(gone, "id", "left_semi")
+    ends = chain_ends(through).withColumnsRenamed({"id": "superseded_by", "last": "end"})
+    end = broken.join(ends, "superseded_by", "left").select("id", F.col("end").alias("superseded_by"))
+    end = end.join(gone.select(F.col("id").alias("superseded_by"), F.lit(True).alias("_gone")), "superseded_by", "left")
+    end = end.select("id", F.when(F.col("_gone").isNull(), F.col("superseded_by")).alias("superseded_by"))
+    return direct.unionByName(end).withColumn("how", F.when(F.col("superseded_by").isNull(), "dropped").otherwise("replaced"))
+
+
+def without_cycles(plan: DataFrame) -> DataFrame:
+    """id, by of plan (user_id, id, by; one row an id), in order of id, but the steps that would close a loop.
+
+    A loop exists only where following by returns to the id; those owners' steps are walked in order, one plan of an owner at a time.
+    """
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        by, out = {}, []
+        for x in pdf.sort_values("id").itertuples():
+            at, loop = x.by, x.by == x.id
+            while not loop and at in by:
+                at = by[at]
+                loop = at == x.id
+            if not loop:
+                by[x.id] = x.by
+                out.append((x.id, x.by))
+        return pd.DataFrame(out, columns=["id", "by"], dtype="int64")
+
+    return plan.select("user_id", "id", "by").groupBy("user_id").applyInPandas(run, "id long, by long")
+
+
 def forget(rows: DataFrame, raw: DataFrame) -> DataFrame:
     """Ids of the raw rows and of live rows whose sources hold one. rows: id, sources; raw: id."""
     derived = rows.select("id", F.explode("sources").alias("s")).join(raw.select(F.col("id").alias("s")), "s", "left_semi").select("id")

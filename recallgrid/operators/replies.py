@@ -12,6 +12,19 @@ def json_span(reply: Column) -> Column:
     return F.regexp_extract(reply, "(?s)\\{.*\\}", 0)
 
 
+def text_field(reply: Column, name: str) -> Column:
+    """A field that should be a text: blank if it is of another type, null where the reply isn't JSON."""
+    v = F.try_parse_json(json_span(reply))
+    kind = F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+    return F.when(v.isNotNull() & (json_span(reply) != ""), F.when(kind == "STRING", F.try_variant_get(v, f"$.{name}", "string")).otherwise(""))
+
+
+def list_field(reply: Column, name: str) -> Column:
+    """A field that should be a list of texts: empty if it is of another type or the reply isn't JSON."""
+    v = F.try_variant_get(F.try_parse_json(json_span(reply)), f"$.{name}", "array<string>")
+    return F.coalesce(v, F.array().cast("array<string>"))
+
+
 def decode_ops(replies: DataFrame) -> DataFrame:
     """owner, n, op, id, by of replies(owner, reply); wrong types are null, what isn't JSON gives no rows."""
     v = F.from_json(json_span(F.col("reply")), "ops array<struct<op:string,id:string,by:string>>")

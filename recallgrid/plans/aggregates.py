@@ -76,13 +76,6 @@ def schema_topic(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("count"), "layer"))).filter("n = 1").select("user_id", F.col("layer").alias("topic"))
 
 
-@query(_q("SELECT user_id, greatest(count(*), 2) AS series_count, array_to_string(list_reverse(list_slice(list_reverse(list_sort(list(DISTINCT CAST(ts::DATE AS VARCHAR)))), 1, 20)), ',') AS dates FROM mem WHERE layer = 'l3_fact' AND dead = 0 GROUP BY 1"))
-def series_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Count and the newest twenty distinct dates."""
-    dates = F.slice(F.sort_array(F.collect_set(F.col("ts").cast("date").cast("string")), asc=False), 1, 20)
-    return live(spark, d).filter("layer = 'l3_fact'").groupBy("user_id").agg(F.greatest(F.count("*"), F.lit(2)).alias("series_count"), F.array_join(F.sort_array(dates), ",").alias("dates"))
-
-
 @query("SELECT event_type, count(*) AS calls, round(sum(value), 4) AS total, count(*) FILTER (value > 50) AS large FROM events GROUP BY 1")
 def pass_report(spark: SparkSession, d: str) -> DataFrame:
     """Counters summed up."""
@@ -97,9 +90,3 @@ def round_robin(spark: SparkSession, d: str) -> DataFrame:
     owners = m.agg(F.countDistinct("user_id").alias("n_owners"))
     c = c.withColumn("round", F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("newest"), "cluster"))).withColumn("rank_owner", F.dense_rank().over(Window.orderBy("owner")) - 1).crossJoin(F.broadcast(owners))
     return c.select("cluster", "owner", "round", F.row_number().over(Window.orderBy("round", (F.col("rank_owner") + 3) % F.col("n_owners"), "owner")).alias("pos"))
-
-
-@query(_q("SELECT layer, user_id, count(*) AS n FROM mem WHERE dead = 0 GROUP BY ROLLUP (layer, user_id)"))
-def layer_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """A1 with subtotals."""
-    return live(spark, d).rollup("layer", "user_id").agg(F.count("*").alias("n"))

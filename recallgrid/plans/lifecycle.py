@@ -98,13 +98,15 @@ def version_log(spark: SparkSession, d: str) -> DataFrame:
     return ingest.latest(ingest.append(log, change)).select("id", "version", "content")
 
 
-@query(_q("SELECT id, CASE WHEN id % 2 = 0 THEN NULL ELSE agent_id END AS label, 'yes' AS extracted FROM mem"))
+@query(_q("SELECT id, CASE WHEN dead = 1 THEN label WHEN id % 2 = 0 THEN NULL ELSE label END AS label, CASE WHEN dead = 1 THEN 'no' ELSE 'yes' END AS extracted, CASE WHEN dead = 0 AND id % 3 = 0 THEN 'x' ELSE agent_id END AS agent_id FROM (SELECT id, dead, nullif(label, '') AS label, agent_id FROM mem)"))
 def meta_patch(spark: SparkSession, d: str) -> DataFrame:
-    """Keys set, and removed by an empty value."""
-    m = X.mem(spark, d).select("id", F.create_map(F.lit("label"), F.col("agent_id"), F.lit("extracted"), F.lit("no")).alias("meta"))
-    change = F.when(F.col("id") % 2 == 0, F.create_map(F.lit("label"), F.lit(""), F.lit("extracted"), F.lit("yes"))).otherwise(F.create_map(F.lit("extracted"), F.lit("yes")))
-    p = m.withColumn("meta", ingest.patch_meta(F.col("meta"), change))
-    return p.select("id", F.col("meta")["label"].alias("label"), F.col("meta")["extracted"].alias("extracted"))
+    """On live rows keys are set, and removed by an empty value; the owner's columns follow only where they are named."""
+    m = X.mem(spark, d).withColumn("meta", ingest.patch_meta(F.create_map().cast("map<string,string>"), F.create_map(F.lit("label"), F.col("label"), F.lit("extracted"), F.lit("no"))))
+    change = F.map_concat(F.create_map(F.lit("extracted"), F.lit("yes")), F.when(F.col("id") % 2 == 0, F.create_map(F.lit("label"), F.lit(""))).otherwise(F.create_map().cast("map<string,string>")), F.when(F.col("id") % 3 == 0, F.create_map(F.lit("agent_id"), F.lit("x"))).otherwise(F.create_map().cast("map<string,string>")))
+    live = F.col("dead") == 0
+    agent = F.when(live & F.map_contains_key(change, "agent_id"), change["agent_id"]).otherwise(F.col("agent_id"))
+    p = m.withColumn("agent_id", agent).withColumn("meta", F.when(live, ingest.patch_meta(F.col("meta"), change)).otherwise(F.col("meta")))
+    return p.select("id", F.col("meta")["label"].alias("label"), F.col("meta")["extracted"].alias("extracted"), "agent_id")
 
 
 @query("SELECT user_id AS page, event_type AS attr, since, old_value, new_value FROM (SELECT user_id, event_type, ts AS since, lag(round(value, 2)) OVER w AS old_value, round(value, 2) AS new_value FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)) WHERE old_value IS NOT NULL AND old_value <> new_value")

@@ -31,18 +31,6 @@ def episodes_6h(spark: SparkSession, d: str) -> DataFrame:
     return E.episodes(X.table(spark, d, "events"), "6 hours")
 
 
-@query(f"SELECT * FROM ({_sessions(360)}) WHERE n >= 2")
-def episode_summaries(spark: SparkSession, d: str) -> DataFrame:
-    """Episodes of two writes or more."""
-    return E.episodes(X.table(spark, d, "events"), "6 hours").filter("n >= 2")
-
-
-@query(f"SELECT n, count(*) AS episodes FROM ({_sessions(360)}) GROUP BY 1")
-def episode_counts(spark: SparkSession, d: str) -> DataFrame:
-    """A16."""
-    return E.episodes(X.table(spark, d, "events"), "6 hours").groupBy("n").agg(F.count("*").alias("episodes"))
-
-
 @query()
 def now_page_runs(spark: SparkSession, d: str) -> DataFrame:
     """T4."""

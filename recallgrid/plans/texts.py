@@ -55,31 +55,6 @@ def event_spans(spark: SparkSession, d: str) -> DataFrame:
     return c.select("c_custkey", a.alias("event_from"), b.alias("event_to"))
 
 
-@query("SELECT conv_id, string_agg(concat(upper(role), ': ', substr(text, 1, 4000)), chr(10) || chr(10) ORDER BY turn) AS turns, count(*) AS n FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1")
-def turn_texts(spark: SparkSession, d: str) -> DataFrame:
-    """User and assistant turns of a conversation as one text."""
-    c = X.table(spark, d, "conversations").filter(F.col("role").isin("user", "assistant"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.upper("role"), F.lit(": "), F.substring("text", 1, 4000)).alias("t")))), lambda x: x["t"])
-    return c.groupBy("conv_id").agg(F.array_join(lines, "\n\n").alias("turns"), F.count("*").alias("n"))
-
-
-@query("SELECT conv_id, turn, n_terms, n_again, n_terms >= 3 AND n_again * 10 >= n_terms * 3 AS used FROM (SELECT a.conv_id, a.turn, len(a.w) AS n_terms, len(list_intersect(a.w, b.w)) AS n_again FROM (SELECT conv_id, turn, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: length(x) >= 4)) AS w FROM conversations) a JOIN (SELECT conv_id, turn, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: length(x) >= 4)) AS w FROM conversations) b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)")
-def used_in_reply(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a text's distinctive words come again in the next turn."""
-    c = X.table(spark, d, "conversations").select("conv_id", "turn", F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) >= 4)).alias("w"))
-    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
-    j = c.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.size("w").cast("long").alias("n_terms"), F.size(F.array_intersect("w", "v")).cast("long").alias("n_again"))
-    return j.withColumn("used", (F.col("n_terms") >= 3) & (F.col("n_again") * 10 >= F.col("n_terms") * 3))
-
-
-@query("SELECT event_id, CASE WHEN value > 66 THEN 'high' WHEN value > 33 THEN 'medium' ELSE 'low' END AS confidence, least(300 * pow(2, event_id % 12), 7200) AS delay, concat('Task: ', event_type, ' Solution: ', CAST(event_id AS VARCHAR)) AS content FROM events")
-def experience_texts(spark: SparkSession, d: str) -> DataFrame:
-    """X23, X26, M9's text."""
-    e = X.table(spark, d, "events")
-    conf = F.when(F.col("value") > 66, "high").when(F.col("value") > 33, "medium").otherwise("low")
-    return e.select("event_id", conf.alias("confidence"), F.least(300 * F.pow(F.lit(2.0), F.col("event_id") % 12), F.lit(7200.0)).alias("delay"), F.concat(F.lit("Task: "), "event_type", F.lit(" Solution: "), F.col("event_id").cast("string")).alias("content"))
-
-
 @query()
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     """X6."""

@@ -44,3 +44,23 @@ def write_rows(rows: DataFrame, path: str) -> None:
 
 def open_rows(spark, path: str, schema=None) -> DataFrame:
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+
+
+def checked(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """layer, n, complete: each layer's rows held against the stored counts (layer, n)."""
+    now = rows.groupBy("layer").agg(F.count("*").alias("_n"))
+    return counts.join(now, "layer", "full").select("layer", F.coalesce("_n", F.lit(0)).alias("n"), F.coalesce(F.col("_n") == F.col("n"), F.lit(False)).alias("complete"))
+
+
+def accepted(rows: DataFrame) -> DataFrame:
+    """Raw rows of an add: text, or else data, is the content; rows without either are refused."""
+    text = F.when(F.trim("text") != "", F.col("text"))
+    out = with_policy(rows.withColumn("content", F.coalesce(text, F.col("data"))).filter("content is not null"))
+    return out.withColumn("layer", F.lit("l2_raw"))
+
+
+def rewrite(rows: DataFrame, new: DataFrame, layer: str) -> DataFrame:
+    """rows with the content of new (id, new) where they are live and of the layer; embed_again marks them."""
+    out = rows.join(new, "id", "left")
+    hit = F.coalesce((F.col("layer") == layer) & (F.col("dead") == 0) & F.col("new").isNotNull(), F.lit(False))
+    return out.withColumn("content", F.when(hit, F.col("new")).otherwise(F.col("content"))).withColumn("embed_again", hit).drop("new")

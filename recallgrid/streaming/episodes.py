@@ -20,6 +20,12 @@ def episode_stream(writes: DataFrame, gap: str = "30 minutes", late: str = "10 m
     return episodes(writes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), gap)
 
 
+def status(closed: DataFrame, now: str, idle: int) -> DataFrame:
+    """user_id, open, pending at a tick: episodes that started by then, open while idle for at most so many seconds; pending for a summary if they hold two writes."""
+    e = closed.filter(F.col("start") <= F.lit(now).cast("timestamp_ntz")).withColumn("_open", F.expr(f"last + interval {idle} seconds >= timestamp_ntz'{now}'"))
+    return e.groupBy("user_id").agg(F.count(F.when(F.col("_open"), 1)).alias("open"), F.count(F.when(~F.col("_open") & (F.col("n") >= 2), 1)).alias("pending"))
+
+
 def debounce_marks(times: list[float], every: float) -> list[float]:
     """When runs start: the first write at once, later ones once for each interval, at its end."""
     runs: list[float] = []
