@@ -141,4 +141,6 @@ def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated, whole; rows that share a doc_id or lack it are rows of their own."""
     n = numbered(docs)
     bad = matches(n.select(F.col("row").alias("doc_id"), "doc.text"), bench).filter("contaminated").select(F.col("doc_id").alias("row")).distinct()
+    # a table of known size: it is broadcast as long as it is small, and no text moves
+    bad = stage(bad, "contaminated")
     return n.join(bad, "row", "left_anti").select("doc.*")

@@ -44,6 +44,8 @@ SKETCH_BITS, SKETCH_BLOCKS = 21, 64
 TRIE_SETS = 256
 #: A cell of the sketch with so many documents above eight times the mean is dealt in parts; rows of one task where a shingle's texts meet.
 HOT_CELL, MEETING = 1000, 5000
+#: Rounds at most that join up components which meet often, before all pairs left are held against each other.
+ROUNDS = 6
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -238,6 +240,12 @@ def _sets(docs: DataFrame, counts, words: int) -> DataFrame:
     return docs.mapInArrow(prefixes, "row long, doc_id long, n long, s1 long, s2 long, head array<long>, parts array<int>, bits array<long>")
 
 
+def _best(meetings: DataFrame) -> DataFrame:
+    """a, b, token: of each class (id) the two leaders (l) that it meets at most shingles."""
+    p = meetings.groupBy(F.col("id").alias("a"), F.col("l.id").alias("b")).agg(F.count("*").alias("k"), F.min("token").alias("token"))
+    return p.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("k"), "b"))).filter("k <= 2").select("a", "b", "token")
+
+
 def _links(docs: DataFrame, rows: DataFrame, counts, words: int) -> DataFrame:
     """id, component of all classes that link with another; a class is known by the least row of its copies."""
     classes = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("id"), F.first("head").alias("head"), F.first("parts").alias("parts"))
@@ -251,21 +259,30 @@ def _links(docs: DataFrame, rows: DataFrame, counts, words: int) -> DataFrame:
     first = leaders.groupBy("token", "band").agg(F.min("l").alias("f"))
     above = leaders.join(first, ["token", "band"]).select("token", F.col("l.id").alias("id"), F.col("l.n").alias("n"), F.col("l.pos").alias("pos"), F.col("f").alias("l"))
     stars = met.select("token", "id", "n", "pos", "l").unionByName(above).filter("id <> l.id").filter(_enough("n", "pos", "l.n", "l.pos"))
-    stars = stars.groupBy(F.col("id").alias("a"), F.col("l.id").alias("b")).agg(F.count("*").alias("k"), F.min("token").alias("token"))
-    stars = stars.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("k"), "b"))).filter("k <= 2").select("a", "b", "token")
-    links = _verified(docs, rows, stars, counts, words)
+    links = _verified(docs, rows, _best(stars), counts, words)
     known = stage(components(links), "known")
 
-    named = met.join(known, "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("comp"))
-    sizes = named.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("token").agg(F.sum("k").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("k", "comp"))["comp"].alias("top")).filter("lo <> hi")
-    mixed = mixed.select("token", "top", F.ceil(F.col("c") / MEETING).cast("int").alias("split"), "c")
-    mixed = stage(attach(named, mixed, ["token"], "c", met.count()).filter("top is not null"), "mixed", (met, known))
+    rows_met = met.count()
+    for r in range(ROUNDS + 1):
+        named = met.join(known, "id", "left").select("token", "id", "n", "pos", "band", F.coalesce("component", "id").alias("comp"))
+        sizes = named.groupBy("token", "comp").agg(F.count("*").alias("k"))
+        tops = sizes.groupBy("token").agg(F.sum("k").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("k", "comp")).alias("t")).filter("lo <> hi")
+        tops = tops.select("token", F.col("t.comp").alias("top"), F.ceil(F.col("c") / MEETING).cast("int").alias("split"), ((F.col("c") - F.col("t.k")) * F.col("c")).alias("pairs"), "c")
+        mixed = stage(attach(named, tops, ["token"], "c", rows_met).filter("top is not null"), "mixed", (mixed,) if r else ())
+        left = mixed.groupBy("token").agg(F.first("pairs").alias("p")).agg(F.coalesce(F.sum("p"), F.lit(0))).first()[0]
+        if r == ROUNDS or left <= 4 * rows_met:
+            break
+        # while many pairs of components would meet: those outside a token's largest component are held against one member of it, another one each round
+        one = mixed.filter("comp = top").groupBy("token", "band").agg(F.min_by(F.struct("id", "n", "pos"), F.xxhash64("id", F.lit(r))).alias("l"), F.count("*").alias("c"))
+        ask = attach(mixed.filter("comp <> top").select("token", "band", "id", "n", "pos"), one, ["token", "band"], "c", rows_met).filter("l is not null").filter(_enough("n", "pos", "l.n", "l.pos"))
+        more = _verified(docs, rows, _best(ask), counts, words)
+        links = stage(links.unionByName(more), "links", (links, more))
+        known = stage(components(links), "known", (known,))
     x = mixed.filter("comp <> top").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.explode(F.sequence(F.lit(0), F.col("split") - 1)).alias("part"))
     y = mixed.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), (F.col("comp") == F.col("top")).alias("in_top"), F.pmod(F.xxhash64("id"), F.col("split")).cast("int").alias("part"))
     rest = x.join(y, ["token", "part"]).filter(F.expr("ca <> cb and (in_top or a < b)") & _enough("na", "pa", "nb", "pb")).groupBy("a", "b").agg(F.min("token").alias("token"))
     more = _verified(docs, rows, rest, counts, words)
-    return stage(components(links.unionByName(more)), "linked", (mixed, links, more))
+    return stage(components(links.unionByName(more)), "linked", (met, known, mixed, links, more))
 
 
 def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:

@@ -92,6 +92,30 @@ def test_ngram_join_repeated_and_null_ids(spark):
     assert ngram_join.first_of_groups(d).filter("doc_id is null").count() == 2
 
 
+def test_ngram_join_near_copies(spark, monkeypatch):
+    """A large group of near copies of which many aren't similar to each other, dealt in parts, with rounds and without."""
+    rng = random.Random(13)
+    base = [rng.choice(WORDS) for _ in range(120)]
+    rows = []
+    for i in range(120):
+        t = list(base)
+        for _ in range(3):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(t)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(116)} for i, t in rows}
+    comp = {i: i for i in sets}
+    for a, b in combinations(sets, 2):
+        n = len(sets[a] & sets[b])
+        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n) and comp[a] != comp[b]:
+            lo, hi = sorted((comp[a], comp[b]))
+            comp = {k: lo if v == hi else v for k, v in comp.items()}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "HOT_CELL", 10)
+    for rounds in (0, 6):
+        monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        assert {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(d).collect()} == comp
+
+
 def test_components_and_attach(spark, monkeypatch):
     """Both ways of joining links up agree, and so do attach() with and without hot keys."""
     rng = random.Random(12)
