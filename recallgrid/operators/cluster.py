@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 
 from recallgrid.functions.vector import dot, unit
 
-BLOCKS = 8
+#: Rows of an owner in a block, about.
+BLOCK = 500
 
 
 def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """a, b, score for rows a < b of one owner with a cosine of least. rows: id, user_id, embedding."""
-    r = rows.select("id", "user_id", unit(F.col("embedding")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).alias("blk"))
-    every = F.array(*map(F.lit, range(BLOCKS)))
+    """a, b, score for rows a < b of one owner with a cosine of least. rows: id, user_id, embedding.
+
+    The number of blocks follows the owner's rows, so no task holds more than some BLOCK * BLOCK pairs.
+    """
+    n = rows.groupBy("user_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    r = rows.select("id", "user_id", unit(F.col("embedding")).alias("v")).join(n, "user_id").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
     # row-block against row-block: each pair of blocks of an owner is a key of its own
     left = r.select(F.col("id").alias("a"), "user_id", F.col("v").alias("va"), F.col("blk").alias("x"), F.explode(every).alias("y"))
     right = r.select(F.col("id").alias("b"), "user_id", F.col("v").alias("vb"), F.explode(every).alias("x"), F.col("blk").alias("y"))
@@ -26,12 +31,17 @@ def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("score")).filter(F.col("score") >= least)
 
 
-def _by_owner(rows: DataFrame, least: float, f, schema: str) -> DataFrame:
+def _with_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """user_id, a, b, score: an owner's rows (b null, the score is their time) and similar pairs."""
     pairs = similar_pairs(rows, least)
     owner = rows.select(F.col("id").alias("a"), "user_id")
     p = pairs.join(owner, "a").select("user_id", "a", "b", "score")
     r = rows.select("user_id", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("score"))
-    return r.unionByName(p).groupBy("user_id").applyInPandas(f, schema)
+    return r.unionByName(p)
+
+
+def _by_owner(rows: DataFrame, least: float, f, schema: str) -> DataFrame:
+    return _with_pairs(rows, least).groupBy("user_id").applyInPandas(f, schema)
 
 
 def _unpack(pdf: pd.DataFrame) -> tuple[list[int], dict[int, list[tuple[float, int]]]]:
@@ -69,6 +79,50 @@ def greedy_clusters(rows: DataFrame, least: float = 0.55, batch: int = 50, small
     return _by_owner(rows, least, run, "user_id string, id long, cluster int")
 
 
+def sync(clusters: list[tuple[bool, list[int]]], live: list[int], near: dict[int, list[tuple[float, int]]], batch: int, least: float = 0.55) -> list[tuple[bool, list[int]]]:
+    """Clusters (about a topic or not, members) brought up to date with the live facts, oldest first.
+
+    Facts that are gone leave, empty clusters go. A new fact joins the cluster of its nearest assigned fact if
+    that is near enough and has room; else the newest time cluster with room; else it starts one, with that nearest fact.
+    """
+    now = set(live)
+    out = [(topic, [i for i in ids if i in now]) for topic, ids in clusters]
+    out = [c for c in out if c[1]]
+    where = {i: k for k, (_, ids) in enumerate(out) for i in ids}
+
+    def room(k: int) -> bool:
+        return len(out[k][1]) < batch
+
+    for f in live:
+        if f in where:
+            continue
+        known = [(s, i) for s, i in sorted(near.get(f, []), key=lambda x: (-x[0], x[1])) if i in where]
+        target = 0 if len(out) == 1 and room(0) else None
+        if target is None and known and known[0][0] >= least and room(where[known[0][1]]):
+            target = where[known[0][1]]
+        if target is None:
+            target = next((k for k in reversed(range(len(out))) if not out[k][0] and room(k)), None)
+        if target is None:
+            out.append((False, [known[0][1]] if known and len(out) > 0 else []))
+            target = len(out) - 1
+        out[target][1].append(f)
+        where[f] = target
+    return out
+
+
+def synced(rows: DataFrame, state: DataFrame, least: float = 0.55, batch: int = 50) -> DataFrame:
+    """user_id, cluster, id of stored clusters state (user_id, cluster, topic, id) brought up to date with rows; one owner's pairs at a time."""
+
+    def run(key: tuple, pdf: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        order, near = _unpack(pdf)
+        groups = [(bool(g.topic.iloc[0]), [int(i) for i in g.id]) for _, g in old.sort_values(["cluster", "id"]).groupby("cluster")]
+        got = sync(groups, order[::-1], near, batch, least)
+        x = [(key[0], k, i) for k, (_, ids) in enumerate(got) for i in ids]
+        return pd.DataFrame(x, columns=["user_id", "cluster", "id"])
+
+    return _with_pairs(rows, least / 4).groupBy("user_id").cogroup(state.groupBy("user_id")).applyInPandas(run, "user_id string, cluster int, id long")
+
+
 def greedy_dedupe(rows: DataFrame, least: float = 0.92, nearest: int = 6) -> DataFrame:
     """id, superseded_by: from the newest on, each survivor replaces older similar rows among its nearest."""
 

@@ -35,13 +35,16 @@ def chain_ends(successor: DataFrame, rounds: int = 40) -> DataFrame:
     rounds stops only what never ends, a cycle.
     """
     ptr = successor.select("id", F.col("superseded_by").alias("to"))
-    saved = bool(ptr.sparkSession.sparkContext.getCheckpointDir())
+    saved, last = bool(ptr.sparkSession.sparkContext.getCheckpointDir()), None
     for _ in range(rounds):
         nxt = ptr.select(F.col("id").alias("to"), F.col("to").alias("next"))
         both = ptr.join(nxt, "to", "left")
         both = both.checkpoint() if saved else both.persist()
         if both.filter("next is not null and next <> to and next <> id").isEmpty():
             break
+        if last is not None and not saved:
+            last.unpersist()
+        last = both
         ptr = both.select("id", F.coalesce("next", "to").alias("to"))
     # who still points to a replaced row is on a cycle, or leads to one
     return ptr.join(successor.select(F.col("id").alias("to")), "to", "left_anti").select("id", F.col("to").alias("last"))

@@ -119,7 +119,7 @@ def page_changes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT page, string_agg(concat(attr, ': ', CAST(n AS VARCHAR)), chr(10) ORDER BY attr) AS content FROM (SELECT user_id AS page, event_type AS attr, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
 def page_documents(spark: SparkSession, d: str) -> DataFrame:
-    """One text of each page's state."""
+    """One text of each page's state."""
     s = X.table(spark, d, "events").groupBy(F.col("user_id").alias("page"), F.col("event_type").alias("attr")).agg(F.count("*").alias("n"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("attr", "n"))), lambda x: F.concat(x["attr"], F.lit(": "), x["n"].cast("string")))
     return s.groupBy("page").agg(F.array_join(lines, "\n").alias("content"))
@@ -141,12 +141,22 @@ def near_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def greedy_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """W22, W23."""
+    """W22."""
     from recallgrid.operators.cluster import greedy_clusters as run
 
     return run(X.mem(spark, d, True).filter("layer = 'l3_fact' and dead = 0"), 0.25)
 
 
+@query()
+def cluster_sync(spark: SparkSession, d: str) -> DataFrame:
+    """Stored clusters, of facts that were there before, after some facts left and others came."""
+    from recallgrid.operators.cluster import synced
+
+    facts = X.mem(spark, d, True).filter("layer = 'l3_fact'")
+    old = facts.filter("id % 3 <> 0").select("user_id", (F.col("id") % 2).cast("int").alias("cluster"), (F.col("id") % 2 == 0).alias("topic"), "id")
+    return synced(facts.filter("dead = 0"), old, 0.2, batch=4)
+
+
 @query()
 def dedupe_facts(spark: SparkSession, d: str) -> DataFrame:
     """The newest survives, older similar facts are superseded."""
@@ -157,7 +167,7 @@ def dedupe_facts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def reconcile(spark: SparkSession, d: str) -> DataFrame:
-    """Replies as data, decoded tolerantly, each id used once, folded in order."""
+    """Replies as data, decoded tolerantly, each id used once, folded in order."""
     from recallgrid.operators.replies import decode_ops, fold_ops
 
     r = X.mem(spark, d).filter("layer = 'l3_fact'").select(F.col("user_id").alias("owner"), F.concat(F.lit('Sure: {"ops":[{"op":"UPDATE","id":'), F.col("id"), F.lit(',"by":'), F.col("id") + 160, F.lit('}]} done')).alias("reply"))

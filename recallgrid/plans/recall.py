@@ -13,19 +13,28 @@ from recallgrid.sources import index
 
 FLOOR, LIMIT = 0.1, 5
 #: Steps that the checks share.
-POSTINGS = f"""tok AS (SELECT id, user_id AS owner, unnest({T.tokens_sql("content")}) AS term FROM mem WHERE dead = 0 AND layer <> 'l2_raw'),
-postings AS (SELECT owner, id, term, count(*) AS tf FROM tok GROUP BY 1, 2, 3),
-lengths AS (SELECT m.user_id AS owner, m.id, coalesce(sum(p.tf), 0) AS dl FROM mem m LEFT JOIN postings p ON p.id = m.id WHERE m.dead = 0 AND m.layer <> 'l2_raw' GROUP BY 1, 2)"""
 TERMS = f"terms AS (SELECT DISTINCT query_id, owner, unnest({T.tokens_sql('query')}) AS term FROM asked)"
-#: Rows of nobody belong to every owner's scope.
-BM25 = f"""{POSTINGS}, {TERMS},
-scope AS (SELECT query_id, count(*) AS N, avg(dl) AS avgdl FROM (SELECT DISTINCT query_id, owner FROM terms) t JOIN lengths l ON l.owner IN (t.owner, '') GROUP BY 1),
-need AS (SELECT query_id, CASE WHEN count(*) <= 3 THEN count(*) ELSE ceil(count(*) * 0.75) END AS need FROM terms GROUP BY 1),
-found AS (SELECT t.query_id, t.term, p.id, p.tf, count(*) OVER (PARTITION BY t.query_id, t.term) AS df FROM terms t JOIN postings p ON p.term = t.term AND p.owner IN (t.owner, '')),
-part AS (SELECT query_id, f.id, ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / CASE WHEN avgdl = 0 THEN 1 ELSE avgdl END)) AS s
-  FROM found f JOIN lengths l ON l.id = f.id JOIN scope USING (query_id)),
-kw AS (SELECT * FROM (SELECT query_id, id, round(sum(s), 9) AS kscore, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(s), 9) DESC, id) - 1 AS kpos
-  FROM part JOIN need USING (query_id) GROUP BY query_id, id, need HAVING count(*) >= need) WHERE kpos < 50)"""
+
+
+def _postings_sql(rows: str, x: str = "") -> str:
+    return f"""tok{x} AS (SELECT id, user_id AS owner, unnest({T.tokens_sql("content")}) AS term FROM mem WHERE dead = 0 AND {rows}),
+postings{x} AS (SELECT owner, id, term, count(*) AS tf FROM tok{x} GROUP BY 1, 2, 3),
+lengths{x} AS (SELECT m.user_id AS owner, m.id, coalesce(sum(p.tf), 0) AS dl FROM mem m LEFT JOIN postings{x} p ON p.id = m.id WHERE m.dead = 0 AND {rows} GROUP BY 1, 2)"""
+
+
+def _bm25_sql(x: str = "") -> str:
+    """Rows of nobody belong to every owner's scope."""
+    return f"""scope{x} AS (SELECT query_id, count(*) AS N, avg(dl) AS avgdl FROM (SELECT DISTINCT query_id, owner FROM terms) t JOIN lengths{x} l ON l.owner IN (t.owner, '') GROUP BY 1),
+need{x} AS (SELECT query_id, CASE WHEN count(*) <= 3 THEN count(*) ELSE ceil(count(*) * 0.75) END AS need FROM terms GROUP BY 1),
+found{x} AS (SELECT t.query_id, t.term, p.id, p.tf, count(*) OVER (PARTITION BY t.query_id, t.term) AS df FROM terms t JOIN postings{x} p ON p.term = t.term AND p.owner IN (t.owner, '')),
+part{x} AS (SELECT query_id, f.id, ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / CASE WHEN avgdl = 0 THEN 1 ELSE avgdl END)) AS s
+  FROM found{x} f JOIN lengths{x} l ON l.id = f.id JOIN scope{x} USING (query_id)),
+kw{x} AS (SELECT * FROM (SELECT query_id, id, round(sum(s), 9) AS kscore, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(s), 9) DESC, id) - 1 AS kpos
+  FROM part{x} JOIN need{x} USING (query_id) GROUP BY query_id, id, need HAVING count(*) >= need) WHERE kpos < 50)"""
+
+
+POSTINGS = _postings_sql("layer <> 'l2_raw'")
+BM25 = f"{POSTINGS}, {TERMS}, {_bm25_sql()}"
 VECTOR = """vec AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS pos FROM
   (SELECT query_id, id, round(list_cosine_similarity(q_embedding::DOUBLE[], embedding::DOUBLE[]), 9) AS score FROM asked JOIN mem ON user_id IN (owner, '') WHERE dead = 0)) WHERE pos < 15)"""
 #: The intent of a query sets how much each ranking counts.
@@ -68,6 +77,18 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
     return _keyword(spark, d).withColumn("kscore", F.round("kscore", 6))
 
 
+RAW_KW = _postings_sql("layer = 'l2_raw'", "_raw") + ", " + _bm25_sql("_raw")
+
+
+@query(X.with_views("mem", "asked", sql=f"+{BM25}, {RAW_KW} SELECT query_id, id, round(kscore, 6) AS kscore FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kscore DESC, id) AS n FROM (SELECT query_id, id, kscore FROM kw UNION ALL SELECT query_id, id, kscore FROM kw_raw)) WHERE n <= 50"))
+def keyword_with_raw(spark: SparkSession, d: str) -> DataFrame:
+    """Where raw rows are searched too they are ranked by themselves, and both lists are merged by score."""
+    raw = lambda: live(spark, d).filter("layer = 'l2_raw'").withColumnRenamed("user_id", "owner")
+    other = R.bm25(query_terms(X.asked(spark, d)), *index.postings(spark, f"raw rows of {d}", raw, T.tokens("content")), k=10 * LIMIT)
+    both = R.renumber(_keyword(spark, d).unionByName(other).drop("kpos"), F.desc("kscore"))
+    return both.filter(F.col("pos") < 10 * LIMIT).select("query_id", "id", F.round("kscore", 6).alias("kscore"))
+
+
 def _vector(spark: SparkSession, d: str) -> DataFrame:
     return R.vector_top(X.asked(spark, d), live(spark, d, True), 3 * LIMIT)
 

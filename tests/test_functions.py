@@ -76,6 +76,60 @@ def test_unit_factor_keeps_order(spark):
     assert all(r["id"] == r["pos"] for r in R.stage(hits, F.lit(1.0)).collect())
 
 
+def test_durations():
+    from recallgrid.settings import seconds
+
+    assert [seconds(x, 9) for x in ("", None, "off", "0", "90", "15m", "1h30m", "1.5s", "-5", "soon")] == [9, 9, 0, 0, 90, 900, 5400, 1.5, 9, 9]
+
+
+def test_word_pieces(spark):
+    import numpy as np
+
+    from recallgrid.functions.wordpiece import embedder, tokenise
+
+    v = {x: i for i, x in enumerate(["[CLS]", "[SEP]", "[UNK]", "play", "##ing", "ing", "the", "a"])}
+    assert tokenise("The playing", v) == [0, 6, 3, 4, 1]
+    assert tokenise("zplay", v) == [0, 2, 2, 1]  # "play" inside a word isn't "##play"
+    assert tokenise("  ", v)[0] == 0 and len(tokenise("a " * 500, v, 10)) == 10
+    got = spark.createDataFrame([("the a",)], "t string").select(embedder(v, np.eye(8, dtype=np.float32))("t").alias("v")).first()["v"]
+    assert np.allclose(got, np.array([1, 1, 0, 0, 0, 0, 1, 1]) / 2)
+
+
+def test_cluster_sync():
+    from recallgrid.operators.cluster import sync
+
+    near = {5: [(0.9, 1)], 6: [(0.3, 2)], 7: [(0.95, 1)], 8: []}
+    got = sync([(True, [1, 9]), (False, [2, 3])], [1, 2, 3, 5, 6, 7, 8], near, batch=3)
+    # 9 is gone; 5 and 7 join their nearest, which is then full; 6 is too far and goes to the time cluster; 8 finds no room
+    assert got == [(True, [1, 5, 7]), (False, [2, 3, 6]), (False, [8])]
+
+
+def test_compacted_turns(spark):
+    from recallgrid.functions.turns import NOTHING, compacted
+
+    f = lambda t: one(spark, compacted(F.lit(t), per_message=6, total=100))
+    assert f("USER: hello there\n\nTOOL: x\n\nASSISTANT: yes\n\nnot a label") == "USER: hello …\n\nASSISTANT: yes\n\nn…"
+    assert f("TOOL: only\n\nSYSTEM: this") == NOTHING and f("no labels at all") == "no labels at all"
+
+
+def test_relink_and_cycles(spark):
+    from recallgrid.operators.lifecycle import relink, without_cycles
+
+    s = spark.createDataFrame([(1, 2), (2, 3), (4, 5), (6, 7)], "id long, superseded_by long")
+    gone = spark.createDataFrame([(2,), (5,)], "id long")
+    assert {tuple(r) for r in relink(s, gone).select("id", "superseded_by", "how").collect()} == {(1, 3, "replaced"), (4, None, "dropped"), (6, 7, "replaced")}
+    p = spark.createDataFrame([("u", 1, 2), ("u", 2, 3), ("u", 3, 1), ("v", 9, 9)], "user_id string, id long, by long")
+    assert {tuple(r) for r in without_cycles(p).collect()} == {(1, 2), (2, 3)}
+
+
+def test_lists_of_hits(spark):
+    a = spark.createDataFrame([(1, 10, 0.5, 0), (1, 11, 0.4, 1)], "query_id int, id int, score double, pos int")
+    b = spark.createDataFrame([(1, 11, 0.9, 0), (1, 12, 0.1, 1)], a.schema)
+    assert [(r["id"], r["score"]) for r in R.merge_best(a, b).orderBy("pos").collect()] == [(11, 0.9), (10, 0.5), (12, 0.1)]
+    assert [r["id"] for r in R.append_new(a, b).orderBy("pos").collect()] == [10, 11, 12]
+    assert [r["id"] for r in R.place_within(a, b.withColumn("id", F.col("id") + 90), 2).orderBy("pos").collect()] == [10, 101, 11, 102]
+
+
 def test_quota(spark):
     layers = ["l3_fact", "l2_raw", "l8_entity", "l6_schema"]
     hits = spark.createDataFrame([(1, i, i, x) for i, x in enumerate(layers)], "query_id int, id int, pos int, layer string")
