@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
 CLS, SEP, UNKNOWN = "[CLS]", "[SEP]", "[UNK]"
 
@@ -34,9 +36,6 @@ def tokenise(text: str, vocabulary: dict[str, int], most: int = 128) -> list[int
 
 def embedder(vocabulary: dict[str, int], vectors: np.ndarray, most: int = 128):
     """A pandas UDF: the mean of a text's piece vectors (a row for each id; any model's table), length 1."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
         def one(t: str | None) -> np.ndarray:

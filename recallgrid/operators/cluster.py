@@ -120,7 +120,7 @@ def synced(rows: DataFrame, state: DataFrame, least: float = 0.55, batch: int =
         x = [(key[0], k, i) for k, (_, ids) in enumerate(got) for i in ids]
         return pd.DataFrame(x, columns=["user_id", "cluster", "id"])
 
-    return _with_pairs(rows, least / 4).groupBy("user_id").cogroup(state.groupBy("user_id")).applyInPandas(run, "user_id string, cluster int, id long")
+    return _with_pairs(rows, least / 4).groupBy("user_id").cogroup(state.select(F.col("user_id").alias("_owner"), "cluster", "topic", "id").groupBy("_owner")).applyInPandas(run, "user_id string, cluster int, id long")
 
 
 def greedy_dedupe(rows: DataFrame, least: float = 0.92, nearest: int = 6) -> DataFrame:
