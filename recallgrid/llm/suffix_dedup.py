@@ -4,16 +4,14 @@ Every 200-byte window holds an anchor: the least hash of its 100-byte grams, the
 The anchor depends on the window alone, so equal windows of any two documents share it. Windows in a
 row with the same anchor are a run; runs are dealt by the anchor's hash and sorted there on disk:
 (1) a run that is alone with its anchor can't repeat; (2) runs that are equal as a whole, seen by a
-digest of all their bytes, are one element of what follows, and repeat; (3) of the others (at the edges of a
-repeat) one run of each digest goes, with its bytes, to a suffix array: suffixes smaller than their
-successors are sorted directly, the rest are induced by bucket scans, and adjacent suffixes with a common
-prefix of 200 bytes or more repeat. Only starts of windows are sorted. The work is in proportion to the
-text and, for (3), to the edges of repeats.
+digest of all their bytes, repeat; (3) of the others (at the edges of a repeat) one run of each
+digest goes, with its bytes, to a suffix array: suffixes smaller than their successors are
+sorted directly, the rest are induced by bucket scans, and adjacent suffixes with a common prefix of
+200 bytes or more repeat. Only starts of windows are sorted. The work is in proportion to the text
+and, for (3), to the edges of repeats.
 
-A passage that very many texts share makes its anchors hot. They are found in every SAMPLE-th text (this only
-decides how runs are dealt, the result is the same): runs of a hot anchor stay spread, equal ones are
-summed up before they are dealt, and the different ones at the edges are split down to single windows, which
-meet by their digests, so that no task holds all of them. The suffix blocks of all other anchors are small.
+A passage that very many texts share makes its anchors hot: their runs are sorted in one task, on disk, and the
+different ones at the passage's edges are one suffix block.
 
 Defined results: null texts are empty; texts shorter than the length have nothing removed; repeated
 rows are each other's copies, so all their bytes go if they are long enough, and each gives a
@@ -31,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallgrid.llm.common import attach, chunks, documents, mix64, numbered, prefix_hash, small_batches, span_hash, stage
+from recallgrid.llm.common import chunks, documents, mix64, prefix_hash, small_batches, span_hash, stage
 
 LENGTH, GRAM = 200, 100
 
@@ -183,24 +181,17 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             t, g, d, s, e = runs(texts, length, gram)
             yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(t)), pa.array(g.view(np.int64)), pa.array(d.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["row", "anchor", "digest", "s", "e"])
 
-    schema = "row long, anchor long, digest long, s int, e int"
-    some = docs.filter(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).mapInArrow(cut, schema)
-    hot = some.groupBy("anchor").count().filter(F.col("count") >= HOT_SAMPLE).orderBy(F.desc("count"), "anchor").limit(HOT)
-    hot = F.broadcast(stage(hot.select("anchor", F.ceil(F.col("count") * SAMPLE / PART).cast("int").alias("parts")), "hot"))
-    r = docs.mapInArrow(cut, schema).join(hot, "anchor", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(-1)).cast("int")).drop("parts")
-    one = Window.partitionBy("anchor", "part").orderBy("digest")
+    r = docs.mapInArrow(cut, "row long, anchor long, digest long, s int, e int")
+    one = Window.partitionBy("anchor").orderBy("digest")
     r = r.withColumn("prev", F.lag("digest").over(one)).withColumn("next", F.lead("digest").over(one))
     # alone with the anchor: neither neighbour
-    r = r.filter("part >= 0 or prev is not null or next is not null")
+    r = r.filter("prev is not null or next is not null")
     r = r.withColumn("copy", F.coalesce(F.expr("prev = digest"), F.lit(False)) | F.coalesce(F.expr("next = digest"), F.lit(False)))
     r = r.withColumn("head", F.coalesce(F.expr("prev <> digest"), F.lit(True)))
-    r = stage(r.select("row", "anchor", "digest", "s", "e", "part", "copy", "head"), "runs")
-    whole = r.filter("copy and part < 0").select("row", "s", "e")
+    r = stage(r.select("row", "anchor", "s", "e", "copy", "head"), "runs")
+    whole = r.filter("copy").select("row", "s", "e")
     # one run of each digest where an anchor has several
-    several = r.filter("head and part < 0").select("anchor", "row", "s", "e").withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).filter("n > 1")
-    spread = r.filter("part >= 0").select("anchor", "digest", "row", "s", "e")
-    alike = stage(spread.groupBy("anchor", "digest").agg(F.count("*").alias("c"), F.min(F.struct("row", "s", "e")).alias("x")), "alike")
-    whole = whole.unionByName(attach(spread, alike.filter("c > 1").select("anchor", "digest", "c", F.lit(True).alias("hit")), ["anchor", "digest"], "c", spread.count()).filter("hit").select("row", "s", "e"))
+    several = r.filter("head").select("anchor", "row", "s", "e").withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).filter("n > 1")
     asked = several.groupBy("row").agg(F.collect_list(F.struct("anchor", "s", "e")).alias("runs"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,38 +236,22 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         yield pa.RecordBatch.from_arrays([pa.array(rows[k[first]]), pa.array(place[first].astype(np.int32)), pa.array(place[last].astype(np.int32))], ["row", "s", "e"])
 
     edges = parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort, "row long, s int, e int")
-    return whole.unionByName(edges).unionByName(_split_windows(docs, alike, length))
-
-
-def _split_windows(docs: DataFrame, alike: DataFrame, length: int) -> DataFrame:
-    """row, s, e of the windows of hot anchors' runs (x of alike) that stand in several of these runs."""
-    asked = alike.groupBy("x.row").agg(F.collect_list(F.struct("anchor", "x.s", "x.e")).alias("runs"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row, text, rs in zip(b.column("row").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("runs").to_pylist()):
-                c, inv = prefix_hash(np.frombuffer(text, np.uint8))
-                at = np.concatenate([np.arange(x["s"], x["e"] + 1) for x in rs])
-                anchor = np.repeat([x["anchor"] for x in rs], [x["e"] - x["s"] + 1 for x in rs])
-                d = span_hash(c, inv, at, at + length).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row)), pa.array(anchor), pa.array(d), pa.array(at.astype(np.int32))], ["row", "anchor", "digest", "s"])
-
-    w = docs.join(asked, "row").mapInArrow(cut, "row long, anchor long, digest long, s int")
-    w = stage(w, "windows")
-    twice = w.groupBy("anchor", "digest").agg(F.count("*").alias("c")).filter("c > 1").withColumn("hit", F.lit(True))
-    return attach(w, twice, ["anchor", "digest"], "c", w.count()).filter("hit").select("row", "s", F.col("s").alias("e"))
+    return whole.unionByName(edges)
 
 
 #: Bytes of edge runs in one suffix array, besides the rest of the last anchor's.
 BLOCK = 2 << 20
-#: Anchors with HOT_SAMPLE runs in every SAMPLE-th text are hot, the HOT largest of them at most; a part of one has some PART runs.
-SAMPLE, HOT_SAMPLE, HOT, PART = 16, 64, 2000, 500
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) for each row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
-    docs = numbered(docs).select("row", "doc_id", F.coalesce("doc.text", F.lit("")).alias("text"))
+    # doc_id names a row, unless rows share one or lack it; then a number is given, by a stage table so that reruns agree
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        docs = docs.withColumn("row", F.col("doc_id"))
+    else:
+        docs = stage(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
     spans = repeats(docs.select("row", "text"), length).groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

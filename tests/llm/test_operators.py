@@ -181,14 +181,6 @@ def test_suffix_dedup(docs, none, rows):
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
-def test_suffix_dedup_hot_anchors(spark, docs, monkeypatch):
-    """The same rows if every anchor counts as hot."""
-    want = sorted(map(str, suffix_dedup.suffix_dedup(docs).drop("kept").collect()))
-    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
-    monkeypatch.setattr(suffix_dedup, "HOT_SAMPLE", 1)
-    assert sorted(map(str, suffix_dedup.suffix_dedup(docs).drop("kept").collect())) == want
-
-
 def test_suffix_order():
     rng = random.Random(1)
     for _ in range(60):
