@@ -14,6 +14,7 @@ from recallgrid.functions.vector import cosine
 from recallgrid.operators import rank as R
 from recallgrid.plans import recall as P
 from recallgrid.registry import query
+from recallgrid.sources.index import saved
 
 LIMIT, FLOOR = P.LIMIT, P.FLOOR
 #: Relaxed floors of dated facts and of facts that name a graph neighbour.
@@ -258,15 +259,13 @@ def channel_order(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("channel", channel).groupBy("query_id", "channel").agg(F.array_position(order, F.first("channel")).alias("place"), ids.alias("ids"))
 
 
-@query()
 def recall_cascade(spark: SparkSession, d: str) -> DataFrame:
     """The whole of a search over all layers, in the order of the stages: W1, J3, W2, W3, W4, J15, J4, W6, W8, W9, F7, W10-W14, W19, W15, W17, cut."""
-    c = _windowed(spark, d).select("query_id", "id", "pos", "score")
-    c = c.join(P.live(spark, d, True), "id")
-    e = entities(spark, d)
-    c = R.stage(mentions(c, e), F.when(F.col("named"), 1.06).otherwise(1.0)).select("query_id", "id", "pos", "score")
-    extra = graph_admission(spark, d).join(c.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    c = R.place_within(c, extra.select("query_id", "id", "pos"), LIMIT).join(P.live(spark, d, True), "id")
+    c = saved(_windowed(spark, d).select("query_id", "id", "pos", "score"), "windowed")
+    c = c.join(P.live(spark, d).select("id", "content"), "id")
+    c = saved(R.stage(mentions(c, entities(spark, d)), F.when(F.col("named"), 1.06).otherwise(1.0)).select("query_id", "id", "pos", "score"), "boosted")
+    extra = saved(graph_admission(spark, d), "admitted").join(c.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    c = saved(R.place_within(c, extra.select("query_id", "id", "pos"), LIMIT), "placed").join(P.live(spark, d, True), "id")
     _, due = T.event_span(F.col("event_at"))
     now = F.lit(X.NOW).cast("timestamp_ntz")
     old = F.when(due.isNotNull(), now >= due.cast("timestamp_ntz") + F.expr("interval 1 day")).otherwise(F.expr(f"timestampdiff(SECOND, ts, timestamp_ntz'{X.NOW}') > 7 * 86400"))
@@ -278,9 +277,10 @@ def recall_cascade(spark: SparkSession, d: str) -> DataFrame:
     age = (F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(ref.cast("timestamp"))) / 86400.0
     for f in (R.recency_factor(age, F.when(durable, 180.0).otherwise(R.half_life_days(F.col("layer")))), R.usage_factor(F.col("shown"), F.col("used")), P.session_factor()):
         c = R.stage(c, f)
-    c = R.mmr(R.near_duplicates_last(c, LIMIT), LIMIT).select("query_id", "id", "pos", "layer")
+    c = saved(R.mmr(R.near_duplicates_last(c, LIMIT), LIMIT).select("query_id", "id", "pos", "layer"), "ranked")
     c = R.place_within(c, linked(spark, d, c), LIMIT).drop("layer").join(P.live(spark, d).select("id", "layer"), "id")
     c = R.layer_cap(R.layer_cap(c, "l5_knowledge", max(1, 2 * LIMIT // 5)), "l8_entity", 2)
+    c = saved(c, "capped")
     s = supporting(spark, d, c).select("query_id", "id", F.col("n").alias("pos"), F.lit("l6_schema").alias("layer"))
     c = R.ensure_layer(R.ensure_layer(R.append_new(c, s), "l6_schema", LIMIT), "l7_intention", LIMIT)
     return c.filter(F.col("pos") < LIMIT).select("query_id", "pos", "id", "layer")

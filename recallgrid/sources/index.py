@@ -26,6 +26,13 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of the shared folder, so that what builds on it doesn't compute it again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_postings(rows: DataFrame, terms: F.Column, path: str) -> None:
     """rows: owner, id and what terms reads; writes postings (owner, term, id, tf, dl) and sizes (owner, n, total)."""
     t = rows.select("owner", "id", terms.alias("terms"))
