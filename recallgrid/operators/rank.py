@@ -142,39 +142,6 @@ def ensure_layer(hits: DataFrame, layer: str, limit: int) -> DataFrame:
     return d.withColumn("pos", at.cast("int")).drop("_has", "_in", "_facts", "_size", "_out")
 
 
-def mmr_order(scores: list[float], vectors: list, eligible: list[bool], lam: float = 0.75, window: int = 10) -> list[int]:
-    """Greedy order of a short list: relevance (min-max scaled) against the highest cosine to those chosen; others keep their places."""
-    import numpy as np
-
-    n = min(len(scores), max(3, window))
-    rel = np.array(scores[:n], float)
-    span = rel.max() - rel.min() if n else 0
-    rel = (rel - rel.min()) / span if span else np.ones(n)
-    slots = [i for i in range(n) if eligible[i] and vectors[i] is not None]
-    unit_v = {i: np.asarray(vectors[i], float) / (np.linalg.norm(vectors[i]) or 1) for i in slots}
-    left, chosen = list(slots), []
-    while left:
-        best = max(left, key=lambda i: (lam * rel[i] - (1 - lam) * max([0.0, *(float(unit_v[i] @ unit_v[j]) for j in chosen)]), -i))
-        chosen.append(best)
-        left.remove(best)
-    order = list(range(len(scores)))
-    for slot, i in zip(slots, chosen):
-        order[slot] = i
-    return order
-
-
-def mmr(hits: DataFrame, limit: int, lam: float = 0.75) -> DataFrame:
-    """hits with embedding: the head of 2 * limit in MMR order. A group is one query's head, which the caller has cut."""
-    import pandas as pd
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        order = mmr_order([1 / (RRF_K + i + 1) for i in range(len(pdf))], list(pdf["embedding"]), list(pdf["layer"].isin(["l2_raw", "l3_fact", "l4_summary", "l5_knowledge"])), lam, 2 * limit)
-        return pdf.iloc[order].assign(pos=range(len(pdf)))
-
-    return hits.groupBy("query_id").applyInPandas(one, hits.schema)
-
-
 def merge_best(*lists: DataFrame) -> DataFrame:
     """query_id, id, score, pos: lists of hits by id, each at its best score, best first."""
     both = lists[0].select("query_id", "id", "score")
@@ -189,28 +156,3 @@ def append_new(hits: DataFrame, extra: DataFrame) -> DataFrame:
     x = extra.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti").join(n, "query_id", "left")
     both = hits.unionByName(x.withColumn("pos", F.col("pos") + F.coalesce("_last", F.lit(-1)) + 1).drop("_last"), allowMissingColumns=True)
     return renumber(both, F.col("pos"))
-
-
-def near_duplicates_last(hits: DataFrame, limit: int, least: float = 0.95) -> DataFrame:
-    """In the head of 2 * limit, hits with a cosine of least to one kept before them and the same numbers go behind the kept ones."""
-    import numpy as np
-    import pandas as pd
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        import re
-
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        kept, late = [], []
-        for i in range(min(len(pdf), 2 * limit)):
-            v = pdf["embedding"][i]
-            if v is None:
-                kept.append(i)
-                continue
-            v = np.asarray(v, float) / (np.linalg.norm(v) or 1)
-            num = frozenset(re.findall("[0-9]+", pdf["content"][i] or ""))
-            same = any(k[1] is not None and float(v @ k[1]) >= least and k[2] == num for k in [x for x in kept if isinstance(x, tuple)])
-            (late if same else kept).append(i if same else (i, v, num))
-        head = [x[0] if isinstance(x, tuple) else x for x in kept] + late
-        return pdf.iloc[head + list(range(len(head), len(pdf)))].assign(pos=range(len(pdf)))
-
-    return hits.groupBy("query_id").applyInPandas(one, hits.schema)

@@ -14,7 +14,6 @@ from recallgrid.functions.vector import cosine
 from recallgrid.operators import rank as R
 from recallgrid.plans import recall as P
 from recallgrid.registry import query
-from recallgrid.sources.index import saved
 
 LIMIT, FLOOR = P.LIMIT, P.FLOOR
 #: Relaxed floors of dated facts and of facts that name a graph neighbour.
@@ -32,7 +31,7 @@ BEST_SQL = f"{P.VECTOR}, {CLAUSE_SQL}, best AS (SELECT query_id, id, max(score)
 #: The spans that the phrases mean on 2024-02-01, a Thursday, written out.
 SPAN_SQL = f"""win AS (SELECT query_id, q_embedding, owner, f, t FROM asked JOIN (VALUES (0, TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-06'), (1, TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01'), (2, TIMESTAMP '2024-01-22', TIMESTAMP '2024-01-29'), (3, TIMESTAMP '2024-01-18', TIMESTAMP '2024-02-02')) v(k, f, t) ON query_id % {len(PHRASES)} = k)"""
 RANGE_SQL = """CASE WHEN length(event_at) = 10 THEN event_at::TIMESTAMP WHEN length(event_at) = 7 THEN (event_at || '-01')::TIMESTAMP ELSE ts END AS rf, CASE WHEN length(event_at) = 10 THEN event_at::TIMESTAMP + INTERVAL 1 DAY WHEN length(event_at) = 7 THEN (event_at || '-01')::TIMESTAMP + INTERVAL 1 MONTH ELSE ts + INTERVAL 1 SECOND END AS rt"""
-NAME_SQL = f"""word AS (SELECT query_id, query, owner, list_filter(string_split(query, ' '), lambda w: w <> '') AS w FROM asked), names AS (SELECT DISTINCT owner, w[2] AS name, w[3] AS other FROM word WHERE query_id % 2 = 0 AND len(w) >= 3),
+NAME_SQL = f"""word AS (SELECT query_id, query, owner FROM asked), names AS (SELECT DISTINCT owner, w[1] AS name, w[2] AS other FROM (SELECT user_id AS owner, list_filter(string_split(content, ' '), lambda w: length(w) BETWEEN 3 AND 5) AS w FROM mem WHERE layer = 'l8_entity' AND dead = 0) WHERE len(w) >= 2),
 ent AS (SELECT query_id, name FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY strlen(name) DESC, name) AS n FROM (SELECT DISTINCT query_id, n.name FROM word q JOIN names n USING (owner) WHERE len({T.tokens_sql('n.name')}) > 0 AND list_has_all({T.tokens_sql('q.query')}, {T.tokens_sql('n.name')}))) WHERE n <= {ENTITIES})"""
 
 
@@ -79,11 +78,21 @@ def window_facts(spark: SparkSession, d: str) -> DataFrame:
     return R.renumber(inside.select("query_id", "id", "score"), F.desc("score")).filter(F.col("pos") < LIMIT)
 
 
+def entity_names(spark: SparkSession, d: str) -> DataFrame:
+    """owner, name, other: the owner's entity pages by name, and the name that the graph links to each (here the first two short words of a page)."""
+    w = F.filter(F.split("content", " "), lambda w: F.length(w).between(3, 5))
+    p = P.live(spark, d).filter("layer = 'l8_entity'").select(F.col("user_id").alias("owner"), w.alias("w")).filter("size(w) >= 2")
+    return p.select("owner", F.get("w", F.lit(0)).alias("name"), F.get("w", F.lit(1)).alias("other")).distinct()
+
+
 def entities(spark: SparkSession, d: str) -> DataFrame:
-    """query_id, name, other: the owner's entities that a query names, the longest ENTITIES, and what the graph links them to."""
-    q = X.asked(spark, d).select("query_id", "query", "owner").withColumn("w", F.filter(F.split("query", " "), lambda w: w != ""))
-    names = q.filter("query_id % 2 = 0 and size(w) >= 3").select("owner", F.get("w", F.lit(1)).alias("name"), F.get("w", F.lit(2)).alias("other")).distinct()
-    hit = q.join(names, "owner").withColumn("nt", T.tokens("name")).filter((F.size("nt") > 0) & (F.size(F.array_except("nt", T.tokens("query"))) == 0))
+    """query_id, name, other: the owner's entities that a query names, the longest ENTITIES, and what the graph links them to.
+
+    A name is found by its first token, so a query meets only the names that share one with it.
+    """
+    q = X.asked(spark, d).select("query_id", "owner", T.tokens("query").alias("qt")).withColumn("first", F.explode(F.array_distinct("qt")))
+    names = entity_names(spark, d).withColumn("nt", T.tokens("name")).withColumn("first", F.get("nt", F.lit(0)))
+    hit = q.join(names, ["owner", "first"]).filter(F.size(F.array_except("nt", "qt")) == 0)
     n = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc(F.octet_length("name")), "name"))
     return hit.withColumn("n", n).filter(F.col("n") <= ENTITIES).select("query_id", "name", "other")
 
@@ -257,30 +266,3 @@ def channel_order(spark: SparkSession, d: str) -> DataFrame:
     channel = F.when(F.col("layer") == "l8_entity", "pages").when(F.col("layer").isin("l1_profile", "l6_schema"), "profile").when(F.col("layer") == "l7_intention", "proactive").when((F.col("layer") == "l3_fact") & (F.col("label") == "experience"), "experiences").otherwise("normal")
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("id").cast("string").alias("id")))), lambda x: x["id"]), ",")
     return c.withColumn("channel", channel).groupBy("query_id", "channel").agg(F.array_position(order, F.first("channel")).alias("place"), ids.alias("ids"))
-
-
-def recall_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """The whole of a search over all layers, in the order of the stages: W1, J3, W2, W3, W4, J15, J4, W6, W8, W9, F7, W10-W14, W19, W15, W17, cut."""
-    c = saved(_windowed(spark, d).select("query_id", "id", "pos", "score"), "windowed")
-    c = c.join(P.live(spark, d).select("id", "content"), "id")
-    c = saved(R.stage(mentions(c, entities(spark, d)), F.when(F.col("named"), 1.06).otherwise(1.0)).select("query_id", "id", "pos", "score"), "boosted")
-    extra = saved(graph_admission(spark, d), "admitted").join(c.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    c = saved(R.place_within(c, extra.select("query_id", "id", "pos"), LIMIT), "placed").join(P.live(spark, d, True), "id")
-    _, due = T.event_span(F.col("event_at"))
-    now = F.lit(X.NOW).cast("timestamp_ntz")
-    old = F.when(due.isNotNull(), now >= due.cast("timestamp_ntz") + F.expr("interval 1 day")).otherwise(F.expr(f"timestampdiff(SECOND, ts, timestamp_ntz'{X.NOW}') > 7 * 86400"))
-    c = R.renumber(c.filter(~((F.col("layer") == "l7_intention") & old)), F.col("pos"))
-    used = P.usage(spark, d).withColumnRenamed("uid", "id")
-    c = c.join(used, "id", "left")
-    durable = (F.col("layer") == "l3_fact") & F.col("label").isin("user_preferences", "decision", "technical_lesson", "negative_knowledge")
-    ref = F.greatest("ts", F.coalesce(F.when(F.col("last") <= now, F.col("last")), F.col("ts")))
-    age = (F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(ref.cast("timestamp"))) / 86400.0
-    for f in (R.recency_factor(age, F.when(durable, 180.0).otherwise(R.half_life_days(F.col("layer")))), R.usage_factor(F.col("shown"), F.col("used")), P.session_factor()):
-        c = R.stage(c, f)
-    c = saved(R.mmr(R.near_duplicates_last(c, LIMIT), LIMIT).select("query_id", "id", "pos", "layer"), "ranked")
-    c = R.place_within(c, linked(spark, d, c), LIMIT).drop("layer").join(P.live(spark, d).select("id", "layer"), "id")
-    c = R.layer_cap(R.layer_cap(c, "l5_knowledge", max(1, 2 * LIMIT // 5)), "l8_entity", 2)
-    c = saved(c, "capped")
-    s = supporting(spark, d, c).select("query_id", "id", F.col("n").alias("pos"), F.lit("l6_schema").alias("layer"))
-    c = R.ensure_layer(R.ensure_layer(R.append_new(c, s), "l6_schema", LIMIT), "l7_intention", LIMIT)
-    return c.filter(F.col("pos") < LIMIT).select("query_id", "pos", "id", "layer")

@@ -258,32 +258,6 @@ def channels(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("query_id", "channel").agg(F.count("*").alias("n"), ids.alias("ids"))
 
 
-@query()
-def mmr_rank(spark: SparkSession, d: str) -> DataFrame:
-    """W14."""
-    return R.mmr(candidates(spark, d).filter(F.col("pos") < 2 * LIMIT), LIMIT).select("query_id", "id", "pos")
-
-
-@query()
-def near_duplicates_last(spark: SparkSession, d: str) -> DataFrame:
-    """W13."""
-    return R.near_duplicates_last(candidates(spark, d).filter(F.col("pos") < 2 * LIMIT), LIMIT).select("query_id", "id", "pos")
-
-
-@query()
-def recall(spark: SparkSession, d: str) -> DataFrame:
-    """The whole cascade: W1-W4, W6, W8, F7, W10-W14, W15, W17, cut."""
-    c = candidates(spark, d).join(usage(spark, d), F.col("id") == F.col("uid"), "left")
-    c = R.stage(R.stage(c, window_factor()), F.when(F.lower("content").contains("the"), 1.06).otherwise(1.0))
-    c = R.renumber(c.filter(F.expr("not (layer = 'l7_intention' and ts < timestamp_ntz'2024-01-02 12:00:00')")), F.col("pos"))
-    for f in (recency(), R.usage_factor(F.col("shown"), F.col("used")), session_factor()):
-        c = R.stage(c, f)
-    c = R.mmr(R.near_duplicates_last(c, LIMIT), LIMIT)
-    c = R.layer_cap(R.layer_cap(c, "l5_knowledge", 2), "l8_entity", 2)
-    c = R.ensure_layer(R.ensure_layer(c, "l6_schema", LIMIT), "l7_intention", LIMIT)
-    return c.filter(F.col("pos") < LIMIT).select("query_id", "pos", "id", "layer", F.round("score", 6).alias("score"), "content")
-
-
 @query(X.with_views("asked", sql=f"+{INTENT} SELECT query_id, kind, wv, wk FROM intent"))
 def intent_weights(spark: SparkSession, d: str) -> DataFrame:
     """W5, X9."""

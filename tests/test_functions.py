@@ -65,10 +65,54 @@ def test_time_windows(phrase, a, b):
     assert got == (None if a is None else tuple(datetime.combine(date.fromisoformat(x), datetime.min.time(), NOW.tzinfo) for x in (a, b)))
 
 
-def test_mmr():
-    order = R.mmr_order([3, 2, 1], [[1, 0], [1, 0], [0, 1]], [True] * 3, 0.5, 3)
-    assert order[0] == 0 and order[1] == 2
-    assert R.mmr_order([3, 2, 1], [[1, 0], [1, 0], [0, 1]], [True, False, True], 0.5, 3)[1] == 1
+def folded_ids(spark, rows, limit, *folds):
+    """rows: unit vector, layer, numbers, in their order."""
+    from recallgrid.operators.search import folded
+
+    df = spark.createDataFrame([(1, i, i, u, layer, nums) for i, (u, layer, nums) in enumerate(rows)], "query_id int, id int, pos int, u array<double>, layer string, nums array<string>")
+    return [r["id"] for r in folded(df, limit, *folds).orderBy("pos").collect()]
+
+
+def test_mmr(spark):
+    from recallgrid.operators.search import spread
+
+    x, y = [1.0, 0.0], [0.0, 1.0]
+    fact = lambda u: (u, "l3_fact", [])
+    # the second of two equal vectors gives way to another aspect; the first keeps its place
+    assert folded_ids(spark, [fact(x), fact(x), fact(y)], 2, spread(0.5)) == [0, 2, 1]
+    # other layers and hits without a vector keep their slots
+    assert folded_ids(spark, [fact(x), (x, "l8_entity", []), fact(x), fact(None), fact(y)], 3, spread(0.5)) == [0, 1, 4, 3, 2]
+    # fewer than three hits, and hits behind the head, stay
+    assert folded_ids(spark, [fact(x), fact(x)], 2, spread(0.5)) == [0, 1]
+    assert folded_ids(spark, [fact(x), fact(x), fact(x), fact(x), fact(y)], 2, spread(0.5)) == [0, 1, 2, 3, 4]
+
+
+def test_near_duplicates_last(spark):
+    from recallgrid.operators.search import duplicates_last
+
+    x, near, y = [1.0, 0.0], [0.96, 0.28], [0.0, 1.0]
+    f = lambda u, *n: (u, "l3_fact", list(n))
+    assert folded_ids(spark, [f(x), f(near), f(y), f(x, "7"), f(None), f(x)], 3, duplicates_last(0.95)) == [0, 2, 3, 4, 1, 5]
+    # compared with kept hits only, and within the head only
+    assert folded_ids(spark, [f(x), f(near), f([0.8432, 0.5376])], 2, duplicates_last(0.95)) == [0, 2, 1]
+    assert folded_ids(spark, [f(x), f(y), f(x), f(y)], 1, duplicates_last(0.95)) == [0, 1, 2, 3]
+
+
+def test_schema_quota(spark):
+    """A schema behind the facts found: appended to a short list, else in the place of the last hit that is no page and not the only fact."""
+    from recallgrid.operators.search import Rules, Store, with_schema
+
+    def run(layers, limit):
+        h = spark.createDataFrame([(1, i, i, x, "o") for i, x in enumerate(layers)], "query_id int, id long, pos int, layer string, owner string")
+        ev = spark.createDataFrame([(90, "o", 5, 0), (91, "o", 6, 0), (91, "o", 6, 1), (92, "other", 9, 0)], "id long, owner string, ts int, fact long")
+        got = with_schema(h, Store(*[None] * 6, ev), Rules(now="", limit=limit))
+        return [r["id"] for r in got.orderBy("pos").collect()]
+
+    assert run(["l3_fact", "l4_summary", "l4_summary"], 3) == [0, 1, 91]
+    assert run(["l3_fact", "l3_fact", "l8_entity"], 3) == [0, 91, 2]
+    assert run(["l3_fact", "l8_entity"], 2) == [0, 1]
+    assert run(["l3_fact", "l6_schema"], 2) == [0, 1]
+    assert run(["l3_fact"], 3) == [0, 91]
 
 
 def test_unit_factor_keeps_order(spark):
