@@ -75,6 +75,21 @@ def mem_sql(vectors: bool) -> str:
 MEM = mem_sql(True)
 
 
+#: How far a row's vector lies from its topic's: near copies, the same topic, loosely related.
+APART = (0.2, 0.5, 1.0)
+
+
+def topical(spark: SparkSession, d: str) -> DataFrame:
+    """mem with vectors of topics: the vector of a topic plus some of the row's own, so that the thresholds of production act (cosines of 0.96 to 0.5 in a topic)."""
+    m = mem(spark, d, True).withColumn("_t", F.floor(F.col("id") / 60) % 4 * 7 + 1)
+    t = table(spark, d, "embeddings").select(F.col("vec_id").alias("_t"), F.col("embedding").alias("_e"))
+    w = F.get(F.array(*map(F.lit, APART)), (F.col("id") % 3).cast("int"))
+    return m.join(t, "_t").withColumn("embedding", F.zip_with("_e", "embedding", lambda a, b: a.cast("double") + w * b.cast("double"))).drop("_t", "_e")
+
+
+TOPICAL = f"SELECT m.* EXCLUDE (embedding), list_transform(range(1, len(m.embedding) + 1), lambda i: CAST(t.embedding[i] AS DOUBLE) + {list(APART)}[m.id % 3 + 1]::DOUBLE * CAST(m.embedding[i] AS DOUBLE)) AS embedding FROM mem m JOIN embeddings t ON t.vec_id = CAST(floor(m.id / 60) AS BIGINT) % 4 * 7 + 1"
+
+
 def asked(spark: SparkSession, d: str, words: int = 3) -> DataFrame:
     """Queries, one of each benchmark item: query_id, query (its first short words), owner, q_embedding."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.filter(F.split("text", " "), lambda w: F.length(w).between(3, 5)), 1, words), " ").alias("query"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("owner"))
@@ -117,6 +132,6 @@ RETIRED = "SELECT id, superseded_by FROM (SELECT id, lead(id) OVER (PARTITION BY
 
 def with_views(*names: str, sql: str) -> str:
     """sql with the named views in front."""
-    views = {"mem": MEM, "asked": ASKED, "edges": EDGES, "retired": RETIRED}
-    need = reduce(lambda a, n: [*a, *(["mem"] if n == "retired" and "mem" not in a else []), *([n] if n not in a else [])], names, [])
+    views = {"mem": MEM, "topical": TOPICAL, "asked": ASKED, "edges": EDGES, "retired": RETIRED}
+    need = reduce(lambda a, n: [*a, *(["mem"] if n in ("retired", "topical") and "mem" not in a else []), *([n] if n not in a else [])], names, [])
     return "WITH " + ", ".join(f"{n} AS ({views[n]})" for n in need) + (", " if sql.lstrip().startswith("+") else " ") + sql.lstrip().removeprefix("+")

@@ -1,86 +1,195 @@
-"""Similarity pairs within owners, greedy clusters and greedy de-duplication.
+"""Similar pairs by a pivot index, and greedy clusters and de-duplication by rounds.
 
-Pairs come from an equi-join on the owner and a block of rows, so a large owner is many tasks. The
-greedy walks need an order; they run for each owner over the pairs only, not over the rows' vectors.
+Pairs are exact. Rows of one group (an owner, with whatever else must be equal) lie in the cell of their nearest
+pivot; two rows whose cosine reaches the threshold are at most a known distance apart, so by the triangle inequality a row
+asks only in cells whose range of distances to their pivot it can reach. Cells are dealt as blocks of bounded
+size and compared as matrices. Vectors without any structure leave little to prune; then a group is
+compared block by block, still by many tasks.
+
+The greedy walks are serial by definition: each row, newest first, depends on newer ones. Here they go in rounds:
+all rows that no undecided newer row can affect any more are decided at once, by joins, as the walk would decide them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallgrid.functions.vector import dot, unit
+from recallgrid.operators.meeting import Columns, dense, matrix, meet, packed
+from recallgrid.sources.index import saved
+
+#: Rows of a cell in a block, and pivots: rows of a bounded sample.
+BLOCK, PIVOTS = 2000, 32
+
+
+def similar_pairs(rows: DataFrame, least: float, by: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """a, b, score for rows a < b that are equal in by and have a cosine (6 digits) of least, over 0. rows: id, embedding and by."""
+    dims = max(1, rows.agg(F.max(F.size("embedding"))).first()[0] or 0)
+    sample = rows.select("embedding").orderBy(F.xxhash64("id"), "id").limit(PIVOTS).toArrow().column("embedding").combine_chunks()
+    p, whole = dense(sample, dims) if len(sample) else (np.zeros((0, dims)), np.zeros(0, bool))
+    whole = whole & (p != 0).any(axis=1)
+    p = p[whole] / np.sqrt((p[whole] ** 2).sum(axis=1, keepdims=True)) if whole.any() else np.eye(1, dims)
+    p = np.unique(p, axis=0)
+    reach = float(np.sqrt(max(0.0, 2 - 2 * (least - 1e-6)))) + 1e-6
+
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Unit vectors, their distances to all pivots, the nearest one and its distance."""
+        for b in batches:
+            m, ok = dense(b.column("embedding"), dims)
+            ok &= (m != 0).any(axis=1)
+            v = m[ok] / np.sqrt((m[ok] ** 2).sum(axis=1, keepdims=True)) if ok.any() else m[:0]
+            d = np.sqrt(np.maximum(2 - 2 * (v @ p.T), 0))
+            keep = pa.array(np.flatnonzero(ok))
+            home = d.argmin(axis=1) if len(d) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(keep) for c in ("id", "g", "h")), pa.array(home.astype(np.int32)), pa.array(d[np.arange(len(d)), home]), packed(v), packed(d)], ["id", "g", "h", "home", "near", "v", "d"])
+
+    keyed = rows.select("id", F.xxhash64(*by).alias("g"), F.hash(*by).cast("long").alias("h"), "embedding")
+    pts = saved(keyed.mapInArrow(points, "id long, g long, h long, home int, near double, v binary, d binary"), "points")
+    cells = pts.groupBy("g", "home").agg(F.min("near").alias("lo"), F.max("near").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # no more than PIVOTS cells a group
+    cells = cells.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("home", "lo", "hi", "blocks"))).alias("cells"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row lies in a block of its own cell, and asks in all blocks of each cell that it can reach."""
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                s = b.slice(at, 1000)
+                n = s.num_rows
+                if not n:
+                    continue
+                d, home, near = matrix(s.column("d"), "f8"), s.column("home").to_numpy(), s.column("near").to_numpy()
+                ids = s.column("id").to_numpy()
+                at_, cell, blk, role = [], [], [], []
+                for i, cs in enumerate(s.column("cells").to_pylist()):
+                    for c in cs:
+                        q = c["home"]
+                        if q == home[i]:
+                            at_.append(i), cell.append(q), blk.append(int(ids[i]) % c["blocks"]), role.append(0)
+                        if c["lo"] - reach <= d[i, q] <= c["hi"] + reach and d[i, q] - near[i] <= 2 * reach:
+                            for k in range(c["blocks"]):
+                                at_.append(i), cell.append(q), blk.append(k), role.append(1)
+                take = pa.array(np.array(at_, np.int64))
+                yield pa.RecordBatch.from_arrays([s.column("g").take(take), pa.array(cell, pa.int32()), pa.array(blk, pa.int32()), pa.array(role, pa.int32()), *(s.column(c).take(take) for c in ("id", "h", "v"))], ["g", "cell", "blk", "role", "id", "h", "v"])
+
+    def compare(index: Columns) -> Callable[[Columns], list[Columns]]:
+        def pairs(q: Columns) -> list[Columns]:
+            out, step = [], max(1, (1 << 21) // len(index["id"]))
+            for s in range(0, len(q["id"]), step):
+                score = q["v"][s : s + step] @ index["v"].T
+                a, b = np.nonzero(score >= least - 1e-6)
+                ok = (q["id"][a + s] < index["id"][b]) & (q["h"][a + s] == index["h"][b])
+                a, b = a[ok], b[ok]
+                if len(a):
+                    out.append({"a": q["id"][a + s], "b": index["id"][b], "score": score[a, b]})
+            return out
+
+        return pairs
+
+    dealt = pts.join(cells, "g").mapInArrow(ask, "g long, cell int, blk int, role int, id long, h long, v binary")
+    met = meet(dealt, ["g", "cell", "blk"], {"v": "f8"}, compare, "a long, b long, score double")
+    return met.withColumn("score", F.round("score", 6)).filter(F.col("score") >= least)
+
+
+# --- rounds ----------------------------------------------------------------------------------------
+
+
+def survivors(edges: DataFrame) -> DataFrame:
+    """id, by: who goes, and the first of those that stay and point to it. edges: src, dst, o (the place of src in the walk; src comes before dst).
+
+    A row stays if no row that stays points to it. In a round those that nothing undecided points to stay, and what they point to goes.
+    """
+    edges = saved(edges, "walk")
+    left, gone = edges, None
+    while not left.isEmpty():
+        stay = left.select("src").distinct().join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_anti")
+        out = saved(left.join(stay, "src").select(F.col("dst").alias("src")).distinct(), "gone")
+        gone = out if gone is None else gone.unionByName(out)
+        rest = left.join(stay, "src", "left_anti").join(out, "src", "left_anti")
+        left = saved(rest.join(out.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst", "o"), "left")
+    if gone is None:
+        return edges.select(F.col("dst").alias("id"), F.col("src").alias("by"))
+    kept = edges.join(gone, "src", "left_anti")
+    return kept.groupBy(F.col("dst").alias("id")).agg(F.min_by("src", "o").alias("by"))
 
-#: Rows of an owner in a block, about.
-BLOCK = 500
 
+def _ordered(rows: DataFrame) -> DataFrame:
+    """id, user_id, o, n: each row's place in its owner's walk, the newest first, and how many there are."""
+    w = Window.partitionBy("user_id")
+    return rows.select("id", "user_id", (F.row_number().over(w.orderBy(F.desc("ts"), F.desc("id"))) - 1).cast("long").alias("o"), F.count("*").over(w).alias("n"))
 
-def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """a, b, score for rows a < b of one owner with a cosine of least. rows: id, user_id, embedding.
 
-    The number of blocks follows the owner's rows, so no task holds more than some BLOCK * BLOCK pairs.
-    """
-    n = rows.groupBy("user_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    r = rows.select("id", "user_id", unit(F.col("embedding")).alias("v")).join(n, "user_id").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    # row-block against row-block: each pair of blocks of an owner is a key of its own
-    left = r.select(F.col("id").alias("a"), "user_id", F.col("v").alias("va"), F.col("blk").alias("x"), F.explode(every).alias("y"))
-    right = r.select(F.col("id").alias("b"), "user_id", F.col("v").alias("vb"), F.explode(every).alias("x"), F.col("blk").alias("y"))
-    pairs = left.join(right, ["user_id", "x", "y"]).filter("a < b")
-    return pairs.select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("score")).filter(F.col("score") >= least)
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "score").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "score"))
 
 
-def _with_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """user_id, a, b, score: an owner's rows (b null, the score is their time) and similar pairs."""
-    pairs = similar_pairs(rows, least)
-    owner = rows.select(F.col("id").alias("a"), "user_id")
-    p = pairs.join(owner, "a").select("user_id", "a", "b", "score")
-    r = rows.select("user_id", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("score"))
-    return r.unionByName(p)
+def greedy_dedupe(rows: DataFrame, least: float = 0.92, nearest: int = 6) -> DataFrame:
+    """id, superseded_by: from the newest on, each survivor replaces older rows with the same numbers among its nearest (itself one of them).
 
+    rows: id, user_id, ts, embedding, nums (a set).
+    """
+    near = _both_ways(similar_pairs(rows, least)).withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("score"), "y"))).filter(F.col("k") < nearest)
+    at = saved(_ordered(rows).join(rows.select("id", "nums"), "id"), "order")
+    e = near.join(at.select(F.col("id").alias("x"), F.col("o").alias("xo"), F.col("nums").alias("xn")), "x").join(at.select(F.col("id").alias("y"), F.col("o").alias("yo"), F.col("nums").alias("yn")), "y")
+    return survivors(e.filter("xo < yo and xn = yn").select(F.col("x").alias("src"), F.col("y").alias("dst"), F.col("xo").alias("o"))).withColumnRenamed("by", "superseded_by")
 
-def _by_owner(rows: DataFrame, least: float, f, schema: str) -> DataFrame:
-    return _with_pairs(rows, least).groupBy("user_id").applyInPandas(f, schema)
 
+def taken(near: DataFrame, order: DataFrame, batch: int) -> DataFrame:
+    """seed, id: the walk in which each free row, newest first, becomes a seed and takes its nearest free rows, batch - 1 at most.
 
-def _unpack(pdf: pd.DataFrame) -> tuple[list[int], dict[int, list[tuple[float, int]]]]:
-    own = pdf[pdf.b.isna()].sort_values(["score", "a"], ascending=False)
-    near: dict[int, list[tuple[float, int]]] = {int(i): [] for i in own.a}
-    for x in pdf[pdf.b.notna()].itertuples():
-        near[int(x.a)].append((x.score, int(x.b)))
-        near[int(x.b)].append((x.score, int(x.a)))
-    return [int(i) for i in own.a], near
+    near: seed, id, k (the order in which it asks); order: id, o, distinct among rows that may compete. A seed is decided once it
+    comes before every other undecided seed that could take it or one of the rows that it could take.
+    """
+    seeds = saved(order.select(F.col("id").alias("seed"), "o"), "seeds")
+    asks = saved(near.join(seeds, "seed").select("seed", "id", "k", "o").unionByName(seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("k"), "o")), "asks")
+    out = None
+    while not asks.isEmpty():
+        first = asks.groupBy("id").agg(F.min("o").alias("first"))
+        ready = asks.join(first, "id").groupBy("seed").agg(F.min("first").alias("m"), F.max("o").alias("o")).filter("m = o").select("seed")
+        got = asks.join(ready, "seed").withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy("k"))).filter(F.col("n") <= batch)
+        got = saved(got.select("seed", "id"), "got")
+        out = got if out is None else out.unionByName(got)
+        used = got.select("id").distinct()
+        # what is taken is no seed and can't be taken again
+        asks = saved(asks.join(used, "id", "left_anti").join(used.withColumnRenamed("id", "seed"), "seed", "left_anti"), "asks")
+    return out if out is not None else asks.select("seed", "id")
 
 
 def greedy_clusters(rows: DataFrame, least: float = 0.55, batch: int = 50, small: int = 5) -> DataFrame:
-    """user_id, id, cluster: newest rows are seeds and take their nearest free rows; small clusters dissolve into chunks by time."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order, near = _unpack(pdf)
-        free, out, rest, k = set(order), [], [], 0
-        for seed in order:
-            if seed not in free:
-                continue
-            members = [seed, *[i for _, i in sorted(near[seed], key=lambda x: (-x[0], x[1])) if i in free and i != seed][: batch - 1]]
-            free -= set(members)
-            if len(members) < small:
-                rest += members
-            else:
-                out += [(i, k) for i in members]
-                k += 1
-        place = {i: n for n, i in enumerate(order)}
-        rest.sort(key=place.get)
-        for at in range(0, len(rest), batch):
-            out += [(i, k) for i in rest[at : at + batch]]
-            k += 1
-        return pd.DataFrame({"user_id": pdf.user_id.iloc[0], "id": [x[0] for x in out], "cluster": [x[1] for x in out]})
-
-    return _by_owner(rows, least, run, "user_id string, id long, cluster int")
+    """user_id, cluster, topic, id: newest rows are seeds and take their nearest free rows; small clusters dissolve into chunks by time.
+
+    An owner of no more than batch rows is one chunk. The last chunk is pulled back, so that it is full; two chunks may
+    share rows then. A seed looks at its 2 * batch nearest rows, itself among them. rows: id, user_id, ts, embedding.
+    """
+    order = saved(_ordered(rows), "order")
+    many = order.filter(F.col("n") > batch)
+    near = _both_ways(similar_pairs(rows, least)).withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("score"), "y"))).filter(F.col("k") < 2 * batch)
+    near = near.join(many.select(F.col("id").alias("x")), "x").select(F.col("x").alias("seed"), F.col("y").alias("id"), "k")
+    # places are distinct in an owner, and rows of two owners never compete
+    got = taken(near, many, batch).join(order, "id")
+    got = saved(got.withColumn("size", F.count("*").over(Window.partitionBy("seed"))).join(order.select(F.col("id").alias("seed"), F.col("o").alias("so")), "seed"), "clusters")
+    owner = Window.partitionBy("user_id")
+    topics = got.filter(F.col("size") >= small).withColumn("cluster", F.dense_rank().over(owner.orderBy("so")) - 1)
+    count = topics.groupBy("user_id").agg((F.max("cluster") + 1).alias("topics"))
+    rest = got.filter(F.col("size") < small).select("user_id", "id", "o").unionByName(order.filter(F.col("n") <= batch).select("user_id", "id", "o"))
+    rest = rest.withColumns({"p": F.row_number().over(owner.orderBy("o")) - 1, "m": F.count("*").over(owner)})
+    # a row of the last batch is also in the last, pulled back, chunk
+    own, last = F.floor(F.col("p") / batch), F.floor((F.col("m") - 1) / batch)
+    chunk = F.explode(F.array_distinct(F.when((F.col("p") >= F.col("m") - batch) & (F.col("m") > batch), F.array(own, last)).otherwise(F.array(own))))
+    rest = rest.select("user_id", "id", chunk.alias("c")).join(count, "user_id", "left").withColumn("cluster", F.col("c") + F.coalesce("topics", F.lit(0)))
+    return topics.select("user_id", F.col("cluster").cast("long").alias("cluster"), F.lit(True).alias("topic"), "id").unionByName(rest.select("user_id", F.col("cluster").cast("long").alias("cluster"), F.lit(False).alias("topic"), "id"))
+
+
+# --- clusters brought up to date -------------------------------------------------------------------
 
 
 def sync(clusters: list[tuple[bool, list[int]]], live: list[int], near: dict[int, list[tuple[float, int]]], batch: int, least: float = 0.55) -> list[tuple[bool, list[int]]]:
-    """Clusters (about a topic or not, members) brought up to date with the live facts, oldest first.
+    """Clusters (about a topic or not, members) brought up to date with the live facts, in their order.
 
     Facts that are gone leave, empty clusters go. A new fact joins the cluster of its nearest assigned fact if
     that is near enough and has room; else the newest time cluster with room; else it starts one, with that nearest fact.
@@ -110,30 +219,31 @@ def sync(clusters: list[tuple[bool, list[int]]], live: list[int], near: dict[int
     return out
 
 
-def synced(rows: DataFrame, state: DataFrame, least: float = 0.55, batch: int = 50) -> DataFrame:
-    """user_id, cluster, id of stored clusters state (user_id, cluster, topic, id) brought up to date with rows; one owner's pairs at a time."""
+def nearest_of(some: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """x, y, score: the k nearest rows of the same owner for each of some (id, user_id, embedding), by an equi-join on the owner."""
+    q = some.select(F.col("id").alias("x"), "user_id", unit(F.col("embedding")).alias("q"))
+    p = q.join(rows.select(F.col("id").alias("y"), "user_id", unit(F.col("embedding")).alias("v")), "user_id").filter("x <> y")
+    p = p.select("x", "y", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+    return p.withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("score"), "y"))).filter(F.col("k") <= k).drop("k")
+
+
+def synced(rows: DataFrame, state: DataFrame, least: float = 0.55, batch: int = 50, nearest: int = 10) -> DataFrame:
+    """user_id, cluster, id of stored clusters state (user_id, cluster, topic, id) brought up to date with rows, the newest first.
+
+    A group is one owner's ids and the nearest rows of its new ones: no vectors, and nearest pairs a new row.
+    """
+    new = rows.join(state.select("id").distinct(), "id", "left_anti")
+    near = nearest_of(new, rows, nearest).join(rows.select(F.col("id").alias("x"), "user_id"), "x").select("user_id", F.col("x").alias("a"), F.col("y").alias("b"), "score", F.lit(0).cast("long").alias("o"))
+    listed = _ordered(rows).select("user_id", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("score"), "o")
 
     def run(key: tuple, pdf: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        order, near = _unpack(pdf)
+        order = [int(i) for i in pdf[pdf.b.isna()].sort_values("o").a]
+        near: dict[int, list[tuple[float, int]]] = {}
+        for x in pdf[pdf.b.notna()].itertuples():
+            near.setdefault(int(x.a), []).append((x.score, int(x.b)))
         groups = [(bool(g.topic.iloc[0]), [int(i) for i in g.id]) for _, g in old.sort_values(["cluster", "id"]).groupby("cluster")]
-        got = sync(groups, order[::-1], near, batch, least)
+        got = sync(groups, order, near, batch, least)
         x = [(key[0], k, i) for k, (_, ids) in enumerate(got) for i in ids]
         return pd.DataFrame(x, columns=["user_id", "cluster", "id"])
 
-    return _with_pairs(rows, least / 4).groupBy("user_id").cogroup(state.select(F.col("user_id").alias("_owner"), "cluster", "topic", "id").groupBy("_owner")).applyInPandas(run, "user_id string, cluster int, id long")
-
-
-def greedy_dedupe(rows: DataFrame, least: float = 0.92, nearest: int = 6) -> DataFrame:
-    """id, superseded_by: from the newest on, each survivor replaces older similar rows among its nearest."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order, near = _unpack(pdf)
-        place, gone = {i: n for n, i in enumerate(order)}, {}
-        for i in order:
-            if i not in gone:
-                for _, j in sorted(near[i], key=lambda x: (-x[0], x[1]))[:nearest]:
-                    if place[j] > place[i] and j not in gone:
-                        gone[j] = i
-        return pd.DataFrame({"id": list(gone), "superseded_by": list(gone.values())}, dtype="int64")
-
-    return _by_owner(rows, least, run, "id long, superseded_by long")
+    return listed.unionByName(near).groupBy("user_id").cogroup(state.select(F.col("user_id").alias("_owner"), "cluster", "topic", "id").groupBy("_owner")).applyInPandas(run, "user_id string, cluster int, id long")

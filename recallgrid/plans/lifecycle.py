@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallgrid import fixtures as X
+from recallgrid.functions import text as T
+from recallgrid.operators import cluster
 from recallgrid.operators import lifecycle as L
+from recallgrid.operators.cluster import similar_pairs
 from recallgrid.registry import query
 from recallgrid.sources import ingest
 
@@ -131,38 +134,69 @@ def dedupe_exact(spark: SparkSession, d: str) -> DataFrame:
     return X.mem(spark, d).filter("dead = 0").select("id", F.min("id").over(Window.partitionBy("user_id", F.lower(F.trim("content")))).alias("keep"))
 
 
-@query(X.with_views("mem", sql="SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM mem a JOIN mem b ON a.user_id = b.user_id AND a.id < b.id AND a.layer = 'l3_fact' AND b.layer = 'l3_fact' AND a.dead = 0 AND b.dead = 0 WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.3"))
+NEAR = 0.92
+_COS = "round(list_cosine_similarity(a.embedding, b.embedding), 6)"
+_LIVE = "live AS (SELECT *, list_sort(list_distinct(regexp_extract_all(content, '([0-9]+)', 1))) AS nums FROM topical WHERE dead = 0)"
+_PAIRS = f"pairs AS (SELECT a.id AS a, b.id AS b, {_COS} AS score, a.nums = b.nums AS same FROM live a JOIN live b ON a.user_id = b.user_id AND a.id < b.id WHERE {_COS} >= {{least}})"
+
+
+def live(spark: SparkSession, d: str) -> DataFrame:
+    """Live rows with vectors of topics and their sets of numbers."""
+    return X.topical(spark, d).filter("dead = 0").withColumn("nums", T.digit_runs(F.col("content")))
+
+
+@query(X.with_views("topical", sql=f"+{_LIVE}, {_PAIRS.format(least=NEAR)} SELECT a, b, score FROM pairs"))
 def near_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Similar facts of one owner."""
-    from recallgrid.operators.cluster import similar_pairs
+    """Near copies among the rows of one owner."""
+    return similar_pairs(live(spark, d), NEAR)
 
-    return similar_pairs(X.mem(spark, d, True).filter("layer = 'l3_fact' and dead = 0"), 0.3)
 
+@query(X.with_views("topical", sql=f"+{_LIVE}, {_PAIRS.format(least=NEAR)} SELECT a, b, score FROM pairs WHERE same"))
+def near_pairs_same_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Near copies of one owner with the same set of numbers, which is part of the join's key."""
+    return similar_pairs(live(spark, d), NEAR, ("user_id", "nums"))
+
+
+#: Windows of production hold 50 facts, clusters 5 at least; owners of the test tables have fewer rows than that.
+BATCH, SMALL = 6, 3
+_PLACED = "plc AS (SELECT user_id, id, nums, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) - 1 AS o, count(*) OVER (PARTITION BY user_id) AS n FROM live)"
+_NEAR = "nn AS (SELECT user_id, o, list(j ORDER BY k) AS near FROM (SELECT x.user_id, x.o, y.o AS j, x.nums = y.nums AS same, row_number() OVER (PARTITION BY x.id ORDER BY p.score DESC, y.id) AS k FROM (SELECT a, b, score FROM pairs UNION ALL SELECT b, a, score FROM pairs) p JOIN plc x ON x.id = p.a JOIN plc y ON y.id = p.b) WHERE k < {k} AND {also} GROUP BY 1, 2)"
+_CLUSTERED = f"""{_LIVE}, {_PAIRS.format(least=0.55)}, {_PLACED}, {_NEAR.format(k=2 * BATCH, also="true")},
+wk AS (SELECT user_id, n, 0::BIGINT AS i, []::BIGINT[] AS used, []::BIGINT[] AS members FROM (SELECT DISTINCT user_id, n FROM plc WHERE n > {BATCH})
+  UNION ALL SELECT user_id, n, i + 1, list_concat(used, m), m FROM (SELECT w.*, CASE WHEN list_contains(used, i) THEN [] ELSE list_prepend(i, list_slice(list_filter(coalesce(near, []), lambda j: NOT list_contains(used, j)), 1, {BATCH - 1})) END AS m FROM wk w LEFT JOIN nn ON nn.user_id = w.user_id AND nn.o = w.i WHERE i < n)),
+tp AS (SELECT user_id, members, row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS c FROM wk WHERE len(members) >= {SMALL}),
+ro AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY o) - 1 AS p, count(*) OVER (PARTITION BY user_id) AS m FROM (SELECT user_id, unnest(members) AS o FROM wk WHERE len(members) BETWEEN 1 AND {SMALL - 1} UNION ALL SELECT user_id, o FROM plc WHERE n <= {BATCH})),
+ck AS (SELECT user_id, c, CASE WHEN c > 0 AND (c + 1) * {BATCH} > m THEN m - {BATCH} ELSE c * {BATCH} END AS lo, least((c + 1) * {BATCH}, m) AS hi FROM (SELECT user_id, m, unnest(range((m + {BATCH - 1}) // {BATCH})) AS c FROM (SELECT DISTINCT user_id, m FROM ro))),
+cl AS (SELECT user_id, c AS cluster, true AS topic, unnest(members) AS o FROM tp UNION ALL SELECT r.user_id, k.c + coalesce(t.n, 0), false, r.o FROM ro r JOIN ck k ON k.user_id = r.user_id AND r.p >= k.lo AND r.p < k.hi LEFT JOIN (SELECT user_id, count(*) AS n FROM tp GROUP BY 1) t ON t.user_id = r.user_id)"""
 
-@query()
-def greedy_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """W22."""
-    from recallgrid.operators.cluster import greedy_clusters as run
 
-    return run(X.mem(spark, d, True).filter("layer = 'l3_fact' and dead = 0"), 0.25)
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_recursive(X.with_views("topical", sql=f"+{_CLUSTERED} SELECT c.user_id, cluster, topic, id FROM cl c JOIN plc USING (user_id, o)")))
+def greedy_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Topic clusters in the order of their seeds, then the others in full chunks by time."""
+    return cluster.greedy_clusters(live(spark, d), batch=BATCH, small=SMALL)
 
 
 @query()
 def cluster_sync(spark: SparkSession, d: str) -> DataFrame:
     """Stored clusters, of facts that were there before, after some facts left and others came."""
-    from recallgrid.operators.cluster import synced
-
-    facts = X.mem(spark, d, True).filter("layer = 'l3_fact'")
+    facts = X.topical(spark, d)
     old = facts.filter("id % 3 <> 0").select("user_id", (F.col("id") % 2).cast("int").alias("cluster"), (F.col("id") % 2 == 0).alias("topic"), "id")
-    return synced(facts.filter("dead = 0"), old, 0.2, batch=4)
+    return cluster.synced(facts.filter("dead = 0"), old, batch=BATCH)
 
 
-@query()
-def dedupe_facts(spark: SparkSession, d: str) -> DataFrame:
-    """The newest survives, older similar facts are superseded."""
-    from recallgrid.operators.cluster import greedy_dedupe
+_DEDUPED = f"""{_LIVE}, {_PAIRS.format(least=NEAR)}, {_PLACED}, {_NEAR.format(k=6, also="same AND j > o")},
+wk AS (SELECT user_id, n, 0::BIGINT AS i, []::BIGINT[] AS gone, []::BIGINT[] AS out_ FROM (SELECT DISTINCT user_id, n FROM plc)
+  UNION ALL SELECT user_id, n, i + 1, list_concat(gone, m), m FROM (SELECT w.*, CASE WHEN list_contains(gone, i) THEN [] ELSE list_filter(coalesce(near, []), lambda j: NOT list_contains(gone, j)) END AS m FROM wk w LEFT JOIN nn ON nn.user_id = w.user_id AND nn.o = w.i WHERE i < n))"""
 
-    return greedy_dedupe(X.mem(spark, d, True).filter("layer = 'l3_fact' and dead = 0"), 0.3)
+
+@query(_recursive(X.with_views("topical", sql=f"+{_DEDUPED} SELECT g.id, s.id AS superseded_by FROM (SELECT user_id, i - 1 AS so, unnest(out_) AS o FROM wk) w JOIN plc g ON g.user_id = w.user_id AND g.o = w.o JOIN plc s ON s.user_id = w.user_id AND s.o = w.so")))
+def dedupe_facts(spark: SparkSession, d: str) -> DataFrame:
+    """The newest survives, older near copies with the same numbers are superseded."""
+    return cluster.greedy_dedupe(live(spark, d))
 
 
 @query()

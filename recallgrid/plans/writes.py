@@ -264,17 +264,6 @@ def page_reindex(spark: SparkSession, d: str) -> DataFrame:
 # --- rules on pairs and rows ---------------------------------------------------------------------
 
 
-@query(X.with_views("mem", sql=f"+{FACTS} SELECT a.id AS a, b.id AS b FROM facts a JOIN facts b ON a.user_id = b.user_id AND a.id < b.id WHERE round({COS.format(a='a.embedding', b='b.embedding')}, 6) >= {LOW} AND {NUMS.format(t='a.content')} = {NUMS.format(t='b.content')}"))
-def near_pairs_same_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """J16, U3, M14's rule: similar facts of one owner whose sets of numbers agree."""
-    from recallgrid.operators.cluster import similar_pairs
-
-    f = facts(spark, d)
-    n = f.select("id", T.digit_runs(F.col("content")).alias("nums"))
-    p = similar_pairs(f, LOW).join(n.select(F.col("id").alias("a"), F.col("nums").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("nums").alias("nb")), "b")
-    return p.filter(F.col("na") == F.col("nb")).select("a", "b")
-
-
 @query("WITH e AS (SELECT p_partkey AS id, p_name AS a, lag(p_name) OVER (ORDER BY p_partkey) AS b, concat(p_name, ' v', CAST(p_partkey % 5 AS VARCHAR), '.0') AS c FROM part) SELECT id, a = b AS same_name, true AS same_versioned FROM e WHERE b IS NOT NULL")
 def same_endpoints(spark: SparkSession, d: str) -> DataFrame:
     """An edge's ends match if one is equal by normalised name and the other is the same entity; a version label is no difference."""

@@ -206,11 +206,68 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert sorted(map(tuple, spark.table("ep").collect())) == sorted(map(tuple, episodes(w, "6 hours").collect()))
 
 
+def test_similar_pairs(spark, monkeypatch):
+    """The pivot index gives the pairs of brute force, dealt in blocks or not, with zero, null and short vectors about."""
+    import numpy as np
+
+    from recallgrid.operators import cluster
+
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(12, 16))
+    v = [(base[i % 12] * (1 + i % 3) + rng.normal(size=16) * 0.25).tolist() for i in range(240)] + [[0.0] * 16, None, [1.0], [2.0], [None] * 16]
+    rows = [(i, f"u{i % 2}", "n" if i % 5 else None, x) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "id long, user_id string, num string, embedding array<double>").repartition(3)
+    u = {i: np.pad(np.array(x, float), (0, 16 - len(x))) for i, x in enumerate(v) if x and None not in x and any(x)}
+    cos = lambda a, b: round(float(u[a] @ u[b] / np.linalg.norm(u[a]) / np.linalg.norm(u[b])), 6)
+    want = {(a, b): cos(a, b) for a in u for b in u if a < b and rows[a][1] == rows[b][1] and cos(a, b) >= 0.8}
+    assert len(want) > 500
+    for block in (2000, 5):
+        monkeypatch.setattr(cluster, "BLOCK", block)
+        got = {(r["a"], r["b"]): r["score"] for r in cluster.similar_pairs(df, 0.8).collect()}
+        assert got == want
+        keyed = {(r["a"], r["b"]) for r in cluster.similar_pairs(df, 0.8, ("user_id", "num")).collect()}
+        assert keyed == {(a, b) for a, b in want if rows[a][2] == rows[b][2]}
+    assert cluster.similar_pairs(df.limit(0), 0.8).count() == 0
+
+
+def test_rounds_equal_the_walk(spark):
+    """Random edges and lists: rounds decide as one walk from the newest on does."""
+    import random
+
+    from recallgrid.operators.cluster import survivors, taken
+
+    rng = random.Random(8)
+    e = sorted({(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(150)) if a < b})
+    gone: dict[int, int] = {}
+    for i in range(60):
+        if i not in gone:
+            for a, b in e:
+                if a == i and b not in gone:
+                    gone[b] = i
+    got = survivors(spark.createDataFrame([(a, b, a) for a, b in e], "src long, dst long, o long")).collect()
+    assert {r["id"]: r["by"] for r in got} == gone
+    asks = {i: rng.sample([j for j in range(60) if j != i], rng.randrange(6)) for i in range(60)}
+    used: set[int] = set()
+    want = set()
+    for i in range(60):
+        if i not in used:
+            members = [i, *[j for j in asks[i] if j not in used][:2]]
+            used |= set(members)
+            want |= {(i, j) for j in members}
+    near = spark.createDataFrame([(i, j, k + 1) for i, x in asks.items() for k, j in enumerate(x)], "seed long, id long, k int")
+    assert {tuple(r) for r in taken(near, spark.createDataFrame([(i, i) for i in range(60)], "id long, o long"), 3).collect()} == want
+
+
 def test_greedy_dedupe_and_clusters(spark):
     from recallgrid.operators.cluster import greedy_clusters, greedy_dedupe
 
-    rows = [(i, "u", datetime(2024, 1, 1 + i), v) for i, v in enumerate([[1.0, 0.0], [1.0, 0.05], [0.0, 1.0], [1.0, 0.02]])] + [(9, "v", datetime(2024, 1, 9), [1.0, 0.0])]
-    df = spark.createDataFrame(rows, "id long, user_id string, ts timestamp, embedding array<double>")
-    assert {(r["id"], r["superseded_by"]) for r in greedy_dedupe(df, 0.92).collect()} == {(0, 3), (1, 3)}
-    got = {(r["user_id"], r["id"]): r["cluster"] for r in greedy_clusters(df, 0.9, small=2).collect()}
-    assert got[("u", 0)] == got[("u", 1)] == got[("u", 3)] != got[("u", 2)] and ("v", 9) in got
+    rows = [(i, "u", datetime(2024, 1, 1 + i), v, ["7"] if i == 5 else []) for i, v in enumerate([[1.0, 0.0], [1.0, 0.05], [0.0, 1.0], [1.0, 0.02], [0.1, 1.0], [1.0, 0.01]])] + [(9, "v", datetime(2024, 1, 9), [1.0, 0.0], [])]
+    df = spark.createDataFrame(rows, "id long, user_id string, ts timestamp, embedding array<double>, nums array<string>")
+    # the newest has other numbers and replaces nothing
+    assert {(r["id"], r["superseded_by"]) for r in greedy_dedupe(df, 0.92).collect()} == {(0, 3), (1, 3), (2, 4)}
+    got = {(r["user_id"], r["cluster"], r["topic"], r["id"]) for r in greedy_clusters(df, 0.9, batch=4, small=3).collect()}
+    assert got == {("u", 0, True, i) for i in (5, 0, 1, 3)} | {("u", 1, False, i) for i in (2, 4)} | {("v", 0, False, 9)}
+    # the last chunk is pulled back: of five rows the chunks of three share one
+    df = spark.createDataFrame([(i, "u", datetime(2024, 1, 9 - i), [float(i == j) for j in range(5)]) for i in range(5)], "id long, user_id string, ts timestamp, embedding array<double>")
+    got = {(r["cluster"], r["id"]) for r in greedy_clusters(df, batch=3, small=2).collect()}
+    assert got == {(0, 0), (0, 1), (0, 2), (1, 2), (1, 3), (1, 4)}
