@@ -17,7 +17,8 @@ isn't one task's. Either way gives the same rows.
 
 Defined results: null and empty texts and items match nothing; windows with fewer than LITERALS plain
 words are not used; repeated rows give their pairs once; rows of one doc_id are read as one document, rows with
-null ids are left out here (clean() reads every row by itself); of equally good occurrences the one at the
+null ids are left out here (clean() reads every row by itself); every text under an item_id is an item of its own, told
+under that id, and so are items without one; of equally good occurrences the one at the
 largest shift is told; a text of any length is read whole; empty tables give no rows; columns besides
 doc_id/text and item_id/text are ignored, whatever their names.
 """
@@ -97,19 +98,21 @@ def plain_windows(rows: DataFrame, key: str, size: int, whole: bool) -> DataFram
 
 def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, item_windows, coverage, consistent, contaminated: the best occurrence of each pair that shares a window."""
-    items = bench.filter("item_id is not null").dropDuplicates(["item_id"]).select("item_id", "text")
+    # an id may stand for several texts: each is an item of its own
+    named = stage(bench.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("item", F.monotonically_increasing_id()), "named")
+    items = named.select("item", "text")
     docs = docs.filter("doc_id is not null").select("doc_id", "text")
-    b = stage(windows(items, "item_id"), "items")
-    left = stage(items.join(b.select(F.col("item_id").alias("_id")).distinct(), F.col("item_id") == F.col("_id"), "left_anti"), "left")
-    sizes = [r["n"] for r in _words(left, "item_id").select(F.least(F.size("words"), F.lit(WINDOW)).alias("n")).filter("n > 0").distinct().collect()]
+    b = stage(windows(items, "item"), "items")
+    left = stage(items.join(b.select(F.col("item").alias("_id")).distinct(), F.col("item") == F.col("_id"), "left_anti"), "left")
+    sizes = [r["n"] for r in _words(left, "item").select(F.least(F.size("words"), F.lit(WINDOW)).alias("n")).filter("n > 0").distinct().collect()]
     d = windows(docs, "doc_id")
     for n in sorted(sizes):
         # items of just n words, or of WINDOW and more
-        mine = left.join(_words(left, "item_id").filter(F.least(F.size("words"), F.lit(WINDOW)) == n).select(F.col("item_id").alias("_id")), F.col("item_id") == F.col("_id"), "left_semi")
-        b = b.unionByName(plain_windows(mine, "item_id", n, n < SHORTEST))
+        mine = left.join(_words(left, "item").filter(F.least(F.size("words"), F.lit(WINDOW)) == n).select(F.col("item").alias("_id")), F.col("item") == F.col("_id"), "left_semi")
+        b = b.unionByName(plain_windows(mine, "item", n, n < SHORTEST))
         d = d.unionByName(plain_windows(docs, "doc_id", n, n < SHORTEST))
     b = stage(b.withColumnsRenamed({"pos": "ipos", "slots": "islots"}), "bench")
-    sizes = b.groupBy("item_id").agg(F.count("*").alias("item_windows"))
+    sizes = b.groupBy("item").agg(F.count("*").alias("item_windows"))
     d = d.withColumnRenamed("slots", "dslots")
     width = b.agg(F.coalesce(F.sum(40 + F.octet_length(F.coalesce(F.array_join("islots", ",", "-"), F.lit("")))), F.lit(0))).first()[0]
     if width <= BROADCAST_BYTES:
@@ -117,19 +120,19 @@ def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
     else:
         every = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
         hit = d.withColumn("part", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(PARTS)).cast("int")).join(b.withColumn("part", every), ["h", "part"])
-    hit = hit.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", F.filter(F.zip_with("islots", "dslots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"].isNotNull()).alias("slots"))
-    by = ["doc_id", "item_id", "shift"]
+    hit = hit.select("doc_id", "item", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", F.filter(F.zip_with("islots", "dslots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"].isNotNull()).alias("slots"))
+    by = ["doc_id", "item", "shift"]
     # repeated rows hit alike: each place of an occurrence counts once
     hit = stage(hit.groupBy(*by, "ipos").agg(F.first("slots").alias("slots")), "hits")
     w = Window.partitionBy(*by)
     filled = hit.select(*by, F.explode("slots").alias("s")).groupBy(*by, "s.a").agg(F.min("s.b").alias("lo"), F.max("s.b").alias("hi")).groupBy(*by).agg(F.min(F.col("lo") == F.col("hi")).alias("consistent"))
     runs = hit.select(*by, "ipos").withColumn("g", F.col("ipos") - F.row_number().over(w.orderBy("ipos")))
     runs = runs.groupBy(*by, "g").count().groupBy(*by).agg(F.sum("count").alias("n_windows"), F.max("count").alias("run"))
-    found = runs.join(filled, by, "left").join(sizes, "item_id").withColumn("consistent", F.coalesce("consistent", F.lit(True)))
+    found = runs.join(filled, by, "left").join(sizes, "item").withColumn("consistent", F.coalesce("consistent", F.lit(True)))
     found = found.withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
     found = found.withColumn("contaminated", F.col("consistent") & ((F.col("coverage") >= COVER) | (F.col("run") >= RUN)))
     best = F.max_by(F.struct("n_windows", "item_windows", "coverage", "consistent", "contaminated"), F.struct("contaminated", "n_windows", "shift"))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", "x.n_windows", "x.item_windows", F.round("x.coverage", 6).alias("coverage"), "x.consistent", "x.contaminated")
+    return found.join(named.select("item", "item_id"), "item").groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", "x.n_windows", "x.item_windows", F.round("x.coverage", 6).alias("coverage"), "x.consistent", "x.contaminated")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

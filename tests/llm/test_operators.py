@@ -640,3 +640,32 @@ def test_toxicity_rows(docs, none):
     got = toxicity.toxicity(docs, labels).collect()
     assert len(got) == docs.count() and all(r["score"] == 0 and r["predicted"] == 0 for r in got)
     assert toxicity.toxicity(none, labels).count() == 0
+
+
+def test_decontamination_items_that_share_an_id(spark):
+    """Every text under an item_id is an item; so are texts without one."""
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(20)) for _ in range(4)]
+    b = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[2])], "item_id long, text string")
+    d = spark.createDataFrame([(i, "before " + t + " after") for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(d, b).filter("contaminated").collect()} == {(0, 1), (1, 1), (2, None)}
+    assert [r["doc_id"] for r in decontaminate.clean(d, b).collect()] == [3]
+
+
+def test_secret_links_beside_one_long_part():
+    """A very long endpoint doesn't make every weak candidate look at all parts."""
+    one = "user: alice key aB3dE5fG7hI9jK1lM2nO3pQ4 host: db.example.com\n\n"
+    text = one * 20_000 + "url: https://example.com/" + "a" * 1_000_000
+    began = time.perf_counter()
+    got = secrets.find_secrets(text)
+    assert time.perf_counter() - began < 20 and got[-1] == secrets.find_secrets(one * 20_000)[-1]
+
+
+def test_anchors_do_not_depend_on_the_chunk():
+    """A window's anchor is the same alone and within a large buffer, with hashes that often tie."""
+    rng = np.random.default_rng(3)
+    u = rng.integers(97, 99, 4000, dtype=np.uint8).tobytes()
+    alone = [x[0] for x in (suffix_dedup.runs([u[i : i + 200]])[1] for i in range(0, 3800, 97))]
+    t, g, d, s, e = suffix_dedup.runs([u, b"z" * 300_000])
+    within = [int(g[(t == 0) & (s <= i) & (e >= i)][0]) for i in range(0, 3800, 97)]
+    assert [int(x) for x in alone] == within
