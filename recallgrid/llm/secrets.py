@@ -70,17 +70,16 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     strong = [(s, e, k) for k, s, e in base if k in ("access",)]
     ids = [(m.start(1), m.end(1), "identifier") for m in IDENTIFIER.finditer(text)] if ":" in text or "=" in text else []
     ends = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)] if ":" in text or "=" in text else []
-    parts = sorted(strong + ids + ends)
-    if not parts or not (weak or base):
+    # parts of one kind don't overlap: their starts and their ends rise, so a window of each is found by two searches
+    kinds = [(x, [p[0] for p in x], [p[1] for p in x]) for x in (strong, ids, ends) if x]
+    if not kinds or not (weak or base):
         return []
     starts = scopes(text)
     scope = lambda at: bisect.bisect_right(starts, at)
-    begins, reach = [p[0] for p in parts], max(e - s for s, e, _ in parts)
 
     def near(s: int, e: int) -> list[tuple[int, int, str]]:
-        a = bisect.bisect_left(begins, s - LINK_CHARS - reach)
-        b = bisect.bisect_right(begins, e + LINK_CHARS)
-        return [p for p in parts[a:b] if p[1] >= s - LINK_CHARS and scope(p[0]) == scope(s) and not (p[0] < e and s < p[1])]
+        found = (p for x, begins, stops in kinds for p in x[bisect.bisect_left(stops, s - LINK_CHARS) : bisect.bisect_right(begins, e + LINK_CHARS)])
+        return [p for p in found if scope(p[0]) == scope(s) and not (p[0] < e and s < p[1])]
 
     out: set[Span] = set()
     for s, e in weak:
