@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from recallgrid.llm.common import chunks, documents, mix64, prefix_hash, small_batches, span_hash, stage
 
 LENGTH, GRAM = 200, 100
+#: Bits of a place in a chunk (no chunk and no text has more bytes); the others are the hash's.
+PLACE_BITS = 32
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -54,9 +56,8 @@ def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np
         return empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty
     c, inv = prefix_hash(u)
     g = mix64((c[gram:] - c[:-gram]) * inv[: len(c) - gram])
-    bits = max(1, int(len(u)).bit_length())
-    low = np.uint64((1 << bits) - 1)
-    # the high bits of the hash, then the place: the first of equals is least
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    # the high bits of the hash, then the place: the first of equals is least, whatever else is in the chunk
     key = (g & ~low) | np.arange(len(g), dtype=np.uint64)
     anchor = (sliding_min(key, length - gram + 1) & low).astype(np.int64)
     start = np.arange(len(anchor))
