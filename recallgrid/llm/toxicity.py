@@ -9,7 +9,7 @@ Labels belong to texts, not windows. Training starts from all windows of toxic t
 of the text's weight, against random windows of clean texts; no word statistics by label are used. Then it
 takes, of each toxic text, the windows that the network itself scores highest, if they stand out above
 what it gives to clean texts, and the windows of clean texts that it scores highest.
-The classifier is fitted on at most TOXIC + CLEAN labelled rows of at most FIT_BYTES, picked by the hash of
+The classifier is fitted on at most TOXIC + CLEAN labelled rows of at most FIT_BYTES (FIT_TOTAL together), picked by the hash of
 doc_id, in whose texts all windows (toxic) or CLEAN_WINDOWS random ones (clean) are used; every text is
 scored whole, whatever its length.
 
@@ -25,14 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallgrid.llm.common import chunks, documents, prefix_hash, small_batches, span_hash
 
 FOLDS, HELD_OUT = 5, 0
 WINDOW, STRIDE = 32, 16
-TOXIC, CLEAN, CLEAN_WINDOWS, FIT_BYTES = 800, 2000, 3, 200_000
+TOXIC, CLEAN, CLEAN_WINDOWS, FIT_BYTES, FIT_TOTAL = 800, 2000, 3, 200_000, 32 << 20
 VOCABULARY, TRIGRAMS, D_WORD, D_CHAR, HIDDEN = 20000, 4096, 12, 8, 8
 EPOCHS, BATCH, RATE, DECAY, SEED = 9, 512, 0.02, 0.1, 11
 #: Steps of training at least.
@@ -286,7 +286,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("y")).filter("y in (0, 1)").filter(_fold(F.col("_id")) != HELD_OUT)
     known = known.groupBy("_id").agg(F.max("y").alias("y"))
     some = known.filter("y = 1").orderBy(F.xxhash64("_id"), "_id").limit(TOXIC).unionByName(known.filter("y = 0").orderBy(F.xxhash64("_id"), "_id").limit(CLEAN))
-    rows = docs.filter(F.octet_length(F.coalesce("text", F.lit(""))) <= FIT_BYTES).join(F.broadcast(some), docs["doc_id"] == F.col("_id")).select("_id", "y", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["_id"]).orderBy("_id").collect()
+    text = F.coalesce("text", F.lit(""))
+    # of several texts under one id the least; of each label as many as fit into half of FIT_TOTAL, in the order of the hash
+    rows = docs.filter(F.octet_length(text) <= FIT_BYTES).join(F.broadcast(some), docs["doc_id"] == F.col("_id")).groupBy("_id", "y").agg(F.min(text).alias("text"))
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(F.xxhash64("_id"), "_id"))
+    rows = rows.withColumn("_b", so_far).filter(F.col("_b") <= FIT_TOTAL // 2).orderBy("_id").collect()
     return train([r["text"].encode() for r in rows], np.array([r["y"] for r in rows], np.int64))
 
 
