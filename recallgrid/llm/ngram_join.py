@@ -163,9 +163,14 @@ class Trie:
         return found
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    """id: all ids of a stored table of pairs (a, b), each side made distinct before they meet."""
+    return pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
+
+
 def _close(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b, token) but those whose parities differ in more places than similar sets can."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    asked = _ids(pairs)
     bits = rows.select(F.col("row").alias("id"), "n", "bits").join(asked, "id", "left_semi")
     x, y = (bits.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
     # similar sizes have as many bits or twice as many, which fold by halves
@@ -190,7 +195,7 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, counts, words:
         for b, texts in chunks(needed()):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([_ordered(s, counts.value).tobytes() for s in shingle_sets(texts, words)], pa.binary())], ["id", "path"])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    asked = _ids(pairs)
     paths = docs.select(F.col("row").alias("id"), "text", F.pmod(F.xxhash64("row"), F.lit(1 << 22)).alias("bit")).mapInArrow(sets, "id long, path binary").join(asked, "id", "left_semi")
     many = pairs.groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > TRIE_SETS).select("token", F.ceil(F.col("c") / TRIE_SETS).alias("blocks"), "c")
     dealt = attach(pairs, many, ["token"], "c", pairs.count())
