@@ -40,18 +40,27 @@ def between(edges: DataFrame, kept: DataFrame) -> DataFrame:
     return edges.join(k, edges.src == k.id, "left_semi").join(k.withColumnRenamed("id", "id2"), F.col("dst") == F.col("id2"), "left_semi")
 
 
+#: What an edge is known by: nobody's edge and an owner's are two.
+KEY = ("owner", "src", "relation", "dst")
+#: Up to so many removed sources are broadcast (some 20 MB); more are joined by hash.
+FEW_SOURCES = 1 << 20
+
+
 def upsert(edges: DataFrame, new: DataFrame) -> DataFrame:
-    """One row of each key; the first recording stays, sources are joined."""
+    """One row of each key; the first recording stays, sources are joined. One shuffle, on the key."""
     both = edges.unionByName(new)
-    return both.groupBy("src", "relation", "dst").agg(F.min("recorded_at").alias("recorded_at"), F.min("valid_from").alias("valid_from"), F.max("valid_to").alias("valid_to"), F.array_distinct(F.flatten(F.collect_list("sources"))).alias("sources"))
+    return both.groupBy(*KEY).agg(F.min("recorded_at").alias("recorded_at"), F.min("valid_from").alias("valid_from"), F.max("valid_to").alias("valid_to"), F.array_distinct(F.flatten(F.collect_set("sources"))).alias("sources"))
 
 
 def remove_sources(edges: DataFrame, gone: DataFrame) -> DataFrame:
     """Edges without the sources gone (s); those that had only such go, those that never had any stay."""
-    s = edges.select("src", "relation", "dst", F.explode("sources").alias("s"))
-    left = s.join(gone, "s", "left_anti").groupBy("src", "relation", "dst").agg(F.sort_array(F.collect_list("s")).alias("_left"))
-    out = edges.join(left, ["src", "relation", "dst"], "left").withColumn("_left", F.coalesce("_left", F.array().cast(edges.schema["sources"].dataType)))
-    return out.filter((F.size("_left") > 0) | (F.size("sources") == 0)).withColumn("sources", F.col("_left")).drop("_left")
+    g = gone.select(F.col("s").alias("_s")).distinct().withColumn("_gone", F.lit(True))
+    g = F.broadcast(g) if gone.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES else g
+    rest = [c for c in edges.columns if c not in (*KEY, "sources")]
+    # the edge's columns travel with its sources: one shuffle on the key
+    x = edges.select(*KEY, *rest, F.explode_outer("sources").alias("_s")).join(g, "_s", "left")
+    out = x.groupBy(*KEY).agg(*[F.first(c).alias(c) for c in rest], F.count("_s").alias("_had"), F.sort_array(F.collect_list(F.when(F.col("_gone").isNull(), F.col("_s")))).alias("sources"))
+    return out.filter((F.size("sources") > 0) | (F.col("_had") == 0)).select(*edges.columns)
 
 
 def documents(edges: DataFrame) -> DataFrame:

@@ -17,16 +17,16 @@ def _q(sql: str) -> str:
     return X.with_views("edges", sql=sql)
 
 
-_NEW = "SELECT concat('s', l_suppkey) AS src, concat('p', l_partkey) AS dst, l_returnflag AS relation, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS dy, l_orderkey AS source FROM lineitem"
+_NEW = "SELECT l_linestatus AS owner, concat('s', l_suppkey) AS src, concat('p', l_partkey) AS dst, l_returnflag AS relation, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS dy, l_orderkey AS source FROM lineitem"
 
 
-@query(f"SELECT src, relation, dst, min(dy) AS recorded_at, len(list_distinct(list(source))) AS n_sources FROM ({_NEW}) GROUP BY 1, 2, 3")
+@query(f"SELECT owner, src, relation, dst, min(dy) AS recorded_at, len(list_distinct(list(source))) AS n_sources FROM ({_NEW}) GROUP BY 1, 2, 3, 4")
 def edge_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Half of the lines are the graph, the others are added; one edge of each key, the first recording stays, sources are joined."""
+    """Half of the lines are the graph, the others are added; one edge of each owner's key, the first recording stays, sources are joined."""
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
-    e = X.table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.col("l_returnflag").alias("relation"), day.alias("recorded_at"), day.alias("valid_from"), day.alias("valid_to"), F.array("l_orderkey").alias("sources"), "l_linenumber")
-    old = G.upsert(e.filter("l_linenumber % 2 = 0").drop("l_linenumber").limit(0), e.filter("l_linenumber % 2 = 0").drop("l_linenumber"))
-    return G.upsert(old, e.filter("l_linenumber % 2 = 1").drop("l_linenumber")).select("src", "relation", "dst", "recorded_at", F.size("sources").cast("long").alias("n_sources"))
+    e = X.table(spark, d, "lineitem").select(F.col("l_linestatus").alias("owner"), F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.col("l_returnflag").alias("relation"), day.alias("recorded_at"), day.alias("valid_from"), day.alias("valid_to"), F.array("l_orderkey").alias("sources"), "l_linenumber")
+    old, new = (e.filter(f"l_linenumber % 2 = {k}").drop("l_linenumber") for k in (0, 1))
+    return G.upsert(old, new).select("owner", "src", "relation", "dst", "recorded_at", F.size("sources").cast("long").alias("n_sources"))
 
 
 @query(_q("SELECT src, relation, dst, list_sort(list_distinct(list_filter(list_concat([CASE WHEN n % 2 = 0 THEN 0 ELSE sources[1] END], CASE WHEN n % 2 = 0 THEN sources ELSE [] END), lambda s: s <> 0)))[1] AS first_source FROM edges WHERE owner = 'O' OR owner = ''"))

@@ -10,6 +10,7 @@ from recallgrid.functions import text as T
 from recallgrid.operators import cluster
 from recallgrid.operators import lifecycle as L
 from recallgrid.operators.cluster import similar_pairs
+from recallgrid.operators.replies import accepted_ops, reconciled
 from recallgrid.registry import query
 from recallgrid.sources import ingest
 
@@ -199,10 +200,41 @@ def dedupe_facts(spark: SparkSession, d: str) -> DataFrame:
     return cluster.greedy_dedupe(live(spark, d))
 
 
-@query()
+RELATED = 0.70
+#: What a model would reply about a new fact and its nearest candidates: every kind of op, unknown ids, blank texts, wrong relations.
+_OPS = """[{'n': 0, 'op': 'LINK', 'fact': fact, 't': [c[1], c[2]], 'text': '', 'rel': CASE WHEN fact % 3 = 0 THEN 'cousin' ELSE 'related' END, 'why': ''},
+ {'n': 1, 'op': 'UPDATE', 'fact': fact, 't': [c[2], 999999999], 'text': CASE WHEN fact % 20 = 0 THEN '' ELSE concat('merged ', CAST(fact AS VARCHAR)) END, 'rel': '', 'why': ''},
+ {'n': 2, 'op': 'SUPERSEDE', 'fact': fact, 't': [c[2], c[3]], 'text': '', 'rel': '', 'why': CASE WHEN fact % 40 = 0 THEN 'newer' ELSE '' END},
+ {'n': 3, 'op': 'LINK', 'fact': c[1], 't': [c[4]], 'text': '', 'rel': 'contrasts', 'why': ''},
+ {'n': 4, 'op': 'SUPERSEDE', 'fact': c[1], 't': [c[3], c[4], c[5]], 'text': '', 'rel': '', 'why': ' older '},
+ {'n': 5, 'op': 'LINK', 'fact': c[1], 't': [c[6]], 'text': '', 'rel': 'same_series', 'why': ''}]"""
+_SHOWN = f"{_LIVE}, {_PAIRS.format(least=RELATED)}, cd AS (SELECT fact, list(id ORDER BY score DESC, id)[1:8] AS c FROM (SELECT a AS fact, b AS id, score FROM pairs UNION ALL SELECT b, a, score FROM pairs) WHERE fact % 10 = 0 GROUP BY 1)"
+_ACCEPTED = f"""{_SHOWN}, op AS (SELECT fact AS reply, c, unnest({_OPS}) AS o FROM cd),
+ot AS (SELECT reply, o.n AS n, o.op AS op, o.fact AS fact, list_filter(o.t, lambda t: list_contains(c, t)) AS t, o.text AS text, o.rel AS rel, trim(o.why) AS why FROM op WHERE o.fact IS NOT NULL),
+fo AS (SELECT reply, 0::BIGINT AS i, []::BIGINT[] AS used, false AS ok, []::BIGINT[] AS got FROM (SELECT DISTINCT reply FROM ot)
+  UNION ALL SELECT reply, i + 1, CASE WHEN ok2 AND op <> 'LINK' THEN list_concat(used, [fact], free) ELSE used END, ok2, CASE WHEN op = 'LINK' THEN t ELSE free END FROM (SELECT *, CASE WHEN list_contains(used, fact) THEN false WHEN op = 'LINK' THEN rel IN ('related', 'contrasts', 'same_series') AND len(t) > 0 AND len(free) = len(t) WHEN op = 'UPDATE' THEN text <> '' AND len(free) > 0 ELSE len(free) > 0 END AS ok2
+    FROM (SELECT f.reply, f.i, f.used, coalesce(o.op, '') AS op, o.fact, coalesce(o.t, []) AS t, o.text, o.rel, list_filter(coalesce(o.t, []), lambda x: NOT list_contains(f.used, x)) AS free FROM fo f LEFT JOIN ot o ON o.reply = f.reply AND o.n = f.i WHERE f.i < 6))),
+ac AS (SELECT o.*, f.got FROM fo f JOIN ot o ON o.reply = f.reply AND o.n = f.i - 1 WHERE f.ok),
+iv AS (SELECT reply, n, fact, text, -(reply * 1000 + n + 1) AS merged, unnest(list_distinct(list_prepend(fact, got))) AS id FROM ac WHERE op = 'UPDATE')"""
+
+
+@query(_recursive(X.with_views("topical", sql=f"""+{_ACCEPTED}
+SELECT 'written' AS change, merged AS id, CAST(NULL AS BIGINT) AS other, arg_max(l.event_at, (l.ts, l.id)) AS how, concat(max(CASE WHEN l.id = fact THEN label END), ': ', any_value(text)) AS detail FROM iv JOIN live l USING (id) GROUP BY merged
+UNION ALL SELECT 'retired', id, other, how, detail FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY reply, n) AS k FROM (SELECT reply, n, id, merged AS other, 'updated' AS how, '' AS detail FROM iv UNION ALL SELECT reply, n, unnest(got), fact, 'replaced', CASE WHEN why = '' THEN 'reason not recorded' ELSE why END FROM ac WHERE op = 'SUPERSEDE')) WHERE k = 1
+UNION ALL SELECT DISTINCT 'linked', id, other, rel, '' FROM (SELECT fact AS id, unnest(got) AS other, rel FROM ac WHERE op = 'LINK' UNION ALL SELECT unnest(got), fact, rel FROM ac WHERE op = 'LINK')""")))
 def reconcile(spark: SparkSession, d: str) -> DataFrame:
-    """Replies as data, decoded tolerantly, each id used once, folded in order."""
-    from recallgrid.operators.replies import decode_ops, fold_ops
-
-    r = X.mem(spark, d).filter("layer = 'l3_fact'").select(F.col("user_id").alias("owner"), F.concat(F.lit('Sure: {"ops":[{"op":"UPDATE","id":'), F.col("id"), F.lit(',"by":'), F.col("id") + 160, F.lit('}]} done')).alias("reply"))
-    return fold_ops(decode_ops(r))
+    """Replies about new facts and their candidates (0.70 or nearer, eight at most), decoded and applied: merged rows, retired rows, links."""
+    rows = live(spark, d)
+    p = cluster.similar_pairs(rows, RELATED)
+    near = p.select(F.col("a").alias("fact"), F.col("b").alias("id"), "score").unionByName(p.select(F.col("b").alias("fact"), F.col("a").alias("id"), "score")).filter("fact % 10 = 0")
+    near = near.withColumn("k", F.row_number().over(Window.partitionBy("fact").orderBy(F.desc("score"), "id"))).filter("k <= 8")
+    c = near.groupBy("fact").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda x: x["id"]).alias("c"))
+    at = lambda *k: F.array(*[F.get("c", F.lit(i - 1)).cast("string") for i in k])
+    f, first, blank = F.col("fact").cast("string"), F.get("c", F.lit(0)).cast("string"), F.lit("")
+    op = lambda name, fact, targets, text=blank, rel=blank, why=blank: F.struct(F.lit(name).alias("op"), fact.alias("fact"), targets.alias("targets"), text.alias("text"), rel.alias("relation"), why.alias("reason"))
+    ops = F.array(
+        op("link", f, at(1, 2), rel=F.when(F.col("fact") % 3 == 0, "cousin").otherwise("Related")), op("UPDATE", f, F.concat(at(2), F.array(F.lit("999999999"))), F.when(F.col("fact") % 20 == 0, " ").otherwise(F.concat(F.lit("merged "), f))),
+        op(" supersede", f, at(2, 3), why=F.when(F.col("fact") % 40 == 0, "newer").otherwise("")), op("LINK", first, at(4), rel=F.lit("contrasts")), op("SUPERSEDE", first, at(3, 4, 5), why=F.lit(" older ")), op("LINK", first, at(6), rel=F.lit("same_series")),
+    )
+    replies = c.select(F.col("fact").alias("reply"), F.lit("").alias("owner"), F.concat(F.lit("Sure:\n```json\n"), F.to_json(F.struct(ops.alias("ops"))), F.lit("\n```")).alias("text"), F.array_union(F.array("fact"), F.slice("c", 1, 1)).alias("new"), F.col("c").alias("shown"))
+    return reconciled(rows, accepted_ops(replies))

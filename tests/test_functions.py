@@ -9,7 +9,7 @@ from recallgrid.functions import text as T
 from recallgrid.functions import timewin
 from recallgrid.operators import rank as R
 from recallgrid.operators.lifecycle import chain_ends
-from recallgrid.operators.replies import decode_ops
+from recallgrid.operators.replies import accepted_ops, reconciled
 from recallgrid.streaming.episodes import debounce_marks, episode_stream, episodes
 
 
@@ -187,9 +187,37 @@ def test_chain_with_cycle(spark):
 
 
 def test_replies(spark):
-    rows = [("o", 'text ```{"ops":[{"op":"update","id":"5","by":6},{"op":"nope","id":1,"by":2}]}```'), ("o", "no json")]
-    got = decode_ops(spark.createDataFrame(rows, "owner string, reply string")).collect()
-    assert [(r["op"], r["id"], r["by"]) for r in got] == [("UPDATE", 5, 6)]
+    """Tolerant decoding, ids that were shown only, each id used once in a reply, and what the ops change."""
+    import json
+
+    ops = [
+        {"op": "link", "fact": "1", "targets": ["10", "99"], "relation": "Related"}, {"op": "UPDATE", "fact": 1, "targets": ["11", "11", "x"], "text": " both "},
+        {"op": "SUPERSEDE", "fact": "1", "targets": ["12"]}, {"op": "LINK", "fact": "2", "targets": ["11"], "relation": "related"}, {"op": "SUPERSEDE", "fact": "2", "targets": ["11", "12"]},
+        {"op": "SUPERSEDE", "fact": "7", "targets": ["10"]}, {"op": "UPDATE", "fact": "3", "targets": ["10"], "text": " "}, {"op": "LINK", "fact": "3", "targets": ["10"], "relation": "cousin"}, {"op": "ADD", "fact": "3"}, {"op": "SUPERSEDE", "fact": "3"},
+    ]
+    rows = [(0, "o", "Sure ```" + json.dumps({"ops": ops}) + "``` done", [1, 2, 3], [10, 11, 12]), (1, "o", "no json", [1], [10]), (2, "o", '{"ops": "none"}', [1], [10]), (3, "o", None, [1], [10]), (4, "o", '{"ops":[{"op":"SUPERSEDE","fact":"4","targets":["12","13"],"reason":"old"}]}', [4], [12, 13])]
+    got = accepted_ops(spark.createDataFrame(rows, "reply long, owner string, text string, new array<long>, shown array<long>"))
+    assert sorted((r["reply"], r["n"], r["op"], r["fact"], r["targets"]) for r in got.collect()) == [(0, 0, "LINK", 1, [10]), (0, 1, "UPDATE", 1, [11]), (0, 4, "SUPERSEDE", 2, [12]), (4, 0, "SUPERSEDE", 4, [12, 13])]
+    live = spark.createDataFrame([(1, 5, "decision", ""), (2, 5, "", ""), (4, 5, "", ""), (10, 1, "", ""), (11, 9, "", "2024-01"), (12, 1, "", "")], "id long, ts int, label string, event_at string")
+    changed = {(r["change"], r["id"], r["other"], r["how"], r["detail"]) for r in reconciled(live, got).collect()}
+    # 13 isn't live any more; 12 is retired once, by the first reply
+    assert changed == {
+        ("written", -2, None, "2024-01", "decision: both"), ("retired", 1, -2, "updated", ""), ("retired", 11, -2, "updated", ""), ("retired", 12, 2, "replaced", "reason not recorded"),
+        ("linked", 1, 10, "related", ""), ("linked", 10, 1, "related", ""),
+    }
+
+
+def test_edges_of_owners(spark):
+    """Two owners' edges with the same ends are two; sources go with their edge."""
+    from recallgrid.operators.graph import remove_sources, upsert
+
+    cols = "owner string, src string, relation string, dst string, recorded_at long, valid_from long, valid_to long, sources array<long>"
+    a = spark.createDataFrame([("u", "a", "r", "b", 5, 5, 5, [1, 2]), ("v", "a", "r", "b", 3, 3, 3, [1]), ("v", "c", "r", "b", 3, 3, 3, [])], cols)
+    b = spark.createDataFrame([("u", "a", "r", "b", 2, 2, 9, [2, 3])], cols)
+    up = upsert(a, b)
+    assert {(r["owner"], r["src"], r["recorded_at"], r["valid_to"], *sorted(r["sources"])) for r in up.collect()} == {("u", "a", 2, 9, 1, 2, 3), ("v", "a", 3, 3, 1), ("v", "c", 3, 3)}
+    gone = spark.createDataFrame([(1,), (3,), (3,)], "s long")
+    assert {(r["owner"], r["src"], *r["sources"]) for r in remove_sources(up, gone).collect()} == {("u", "a", 2), ("v", "c")}
 
 
 def test_debounce():
