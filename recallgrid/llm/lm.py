@@ -38,7 +38,7 @@ COMMON, WIDTH, LEAST = 1 << 18, 0.5, 4096
 BANDS = (1 / 64, 1 / 16, 1 / 4, 1)
 DIM, NOISE, BATCH, RATE, SEED = 24, 32, 2048, 0.04, 7
 #: Places are dealt into so many parts by hash; each round trains on one part. Examples that a task holds at a time.
-EVERY, ROUNDS, EXAMPLES = 4, 4, 1 << 21
+EVERY, ROUNDS, EXAMPLES = 2, 2, 1 << 21
 #: Tokens scored at a time.
 BLOCK = 1 << 12
 #: Distinct words that a task holds before it sends their counts on.
