@@ -34,7 +34,7 @@ def test_same_rows(name, spark, sf, duck):
 
 
 #: No facts are similar enough in the smallest tables; test_functions.py has rows of its own for it.
-EMPTY_HERE = {"dedupe_facts", "backlog_apply"}
+EMPTY_HERE = {"backlog_apply"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql()) - EMPTY_HERE))
