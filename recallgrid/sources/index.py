@@ -1,7 +1,7 @@
-"""The inverted index of a set of rows as stored tables, built once for each input and session.
+"""The inverted index of a set of rows as stored tables, built once for each state of its input and session.
 
-Postings lie sorted by owner and term, with each row's length beside them, so a query reads the asked terms
-only and joins nothing else. They are written to the shared folder that spark.checkpoint.dir names (to a
+Postings lie sorted by owner and term, with each row's length beside them, so a query joins the asked terms
+and nothing else. They are written to the shared folder that spark.checkpoint.dir names (to a
 local one only in local mode).
 """
 
@@ -41,9 +41,19 @@ def write_postings(rows: DataFrame, terms: F.Column, path: str) -> None:
     t.groupBy("owner").agg(F.count("*").alias("n"), F.sum(F.size("terms")).cast("long").alias("total")).write.parquet(f"{path}/sizes")
 
 
-def postings(spark: SparkSession, key: str, rows: Callable[[], DataFrame], terms: F.Column) -> tuple[DataFrame, DataFrame]:
-    """postings and sizes of rows(), which key stands for in this session."""
-    k = (spark.sparkContext.applicationId, key)
+def version(spark: SparkSession, *paths: str) -> int:
+    """A number that changes with the names, sizes or times of the files of tables (one listing a table)."""
+    seen = []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        seen += [(x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in (fs.listStatus(p) if fs.exists(p) else [])]
+    return hash(tuple(sorted(seen)))
+
+
+def postings(spark: SparkSession, key: str, rows: Callable[[], DataFrame], terms: F.Column, inputs: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """postings and sizes of rows(), which key stands for in this session, as long as the files of inputs stay as they are."""
+    k = (spark.sparkContext.applicationId, key, version(spark, *inputs))
     if k not in _BUILT:
         path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
         write_postings(rows(), terms, path)

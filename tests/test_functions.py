@@ -220,6 +220,21 @@ def test_edges_of_owners(spark):
     assert {(r["owner"], r["src"], *r["sources"]) for r in remove_sources(up, gone).collect()} == {("u", "a", 2), ("v", "c")}
 
 
+def test_index_follows_its_input(spark, tmp_path):
+    from recallgrid.sources import index
+
+    path = str(tmp_path / "rows.parquet")
+
+    def words():
+        rows = lambda: spark.read.parquet(path)
+        return {(r["term"], r["tf"]) for r in index.postings(spark, "rows", rows, F.split("t", " "), (path,))[0].collect()}
+
+    spark.createDataFrame([("o", 1, "a b a")], "owner string, id long, t string").write.parquet(path)
+    assert words() == words() == {("a", 2), ("b", 1)}
+    spark.createDataFrame([("o", 1, "c")], "owner string, id long, t string").write.mode("overwrite").parquet(path)
+    assert words() == {("c", 1)}
+
+
 def test_debounce():
     assert debounce_marks([0, 1, 5, 20, 100], 10) == [0, 10, 20, 100]
 
