@@ -82,10 +82,11 @@ def edge_documents(spark: SparkSession, d: str) -> DataFrame:
     return G.documents(X.edges(spark, d).filter("valid_to > 10600"))
 
 
-@query(X.with_views("mem", sql="+s AS (SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, id DESC) AS n, count(*) OVER (PARTITION BY session_id) AS c FROM mem WHERE dead = 0 AND layer NOT IN ('l1_profile', 'l8_entity')) SELECT a.session_id, a.id AS src, b.id AS dst FROM s a JOIN s b ON a.session_id = b.session_id AND a.n = 1 AND b.n BETWEEN 2 AND 6 WHERE a.c BETWEEN 2 AND 20"))
+@query(X.with_views("mem", sql="+s AS (SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, id DESC) AS n, count(*) OVER (PARTITION BY session_id) AS c FROM (SELECT * FROM mem WHERE dead = 0 AND layer NOT IN ('l1_profile', 'l8_entity') QUALIFY row_number() OVER (PARTITION BY layer ORDER BY ts DESC, id DESC) <= 200)) SELECT a.session_id, a.id AS src, b.id AS dst FROM s a JOIN s b ON a.session_id = b.session_id AND a.n = 1 AND b.n BETWEEN 2 AND 6 WHERE a.c BETWEEN 2 AND 20"))
 def session_edges(spark: SparkSession, d: str) -> DataFrame:
-    """A star from the first row of each session, at most five edges."""
+    """A star from the first row of each session, at most five edges, among the 200 newest rows of each layer (each task sends no more than these)."""
     m = X.mem(spark, d).filter("dead = 0").filter(~F.col("layer").isin("l1_profile", "l8_entity"))
+    m = m.withColumn("r", F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("ts"), F.desc("id")))).filter("r <= 200").drop("r")
     w = Window.partitionBy("session_id")
     s = m.withColumn("n", F.row_number().over(w.orderBy(F.desc("ts"), F.desc("id")))).withColumn("c", F.count("*").over(w))
     s = s.withColumn("src", F.first("id").over(w.orderBy(F.desc("ts"), F.desc("id"))))

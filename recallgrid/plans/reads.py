@@ -74,10 +74,18 @@ def owner_groups(spark: SparkSession, d: str) -> DataFrame:
     return m.join(canon, "user_id").groupBy("canonical", "agent_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query(_q(f"SELECT id FROM mem WHERE dead = 0 AND len(list_filter(['eresan', 'the'], lambda t: NOT list_contains({T.tokens_sql('content')}, t))) < 2"))
+_IDENT = "regexp_matches(regexp_replace(w, '^[.,;:!?\"''()\\[\\]{}]+|[.,;:!?\"''()\\[\\]{}]+$', '', 'g'), '[0-9_]|[\\p{L}\\p{Nd}][^\\p{L}\\p{Nd}\\s''’][\\p{L}\\p{Nd}]')"
+
+
+@query(_q(f"+l AS (SELECT id, user_id, {T.tokens_sql('content')} AS toks, content FROM mem WHERE dead = 0), w AS (SELECT id AS query_id, user_id, list_filter(string_split(content, ' '), lambda w: {_IDENT})[1] AS word FROM l), q AS (SELECT query_id, user_id, {T.tokens_sql('word')} AS terms FROM w WHERE word IS NOT NULL) SELECT query_id, id FROM q JOIN l USING (user_id) WHERE len(terms) > 0 AND list_has_all(toks, terms)"))
 def identifier_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that hold any of the asked terms."""
-    return live(spark, d).filter(F.size(F.array_except(F.array(F.lit("eresan"), F.lit("the")), T.tokens("content"))) < 2).select("id")
+    """A query that is an identifier (the first one of each row) is answered by the owner's rows that hold every term of it; found by the terms."""
+    m = live(spark, d).select("id", "user_id", "content")
+    word = F.get(F.filter(F.split("content", " "), T.looks_like_identifier), F.lit(0))
+    q = m.select(F.col("id").alias("query_id"), "user_id", word.alias("word")).filter("word is not null").select("query_id", "user_id", F.array_distinct(T.tokens("word")).alias("terms"))
+    q = q.select("query_id", "user_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    rows = m.select("id", "user_id", F.explode(F.array_distinct(T.tokens("content"))).alias("term"))
+    return q.join(rows, ["user_id", "term"]).groupBy("query_id", "id").agg(F.count("*").alias("held"), F.first("n").alias("n")).filter("held = n").select("query_id", "id")
 
 
 @query(_q(f"SELECT id FROM mem WHERE layer = 'l7_intention' AND dead = 0 AND date_diff('second', ts, TIMESTAMP '{X.NOW}') <= 29.5 * 86400"))

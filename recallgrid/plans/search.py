@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recallgrid import fixtures as X
 from recallgrid.functions import text as T
+from recallgrid.operators import rank as R
 from recallgrid.operators import search as S
 from recallgrid.plans import cascade as C
 from recallgrid.plans import recall as P
@@ -127,3 +128,20 @@ def near_duplicates_last(spark: SparkSession, d: str) -> DataFrame:
 def mmr_rank(spark: SparkSession, d: str) -> DataFrame:
     """W14, after W13: marginal relevance over the head, as a fold in the JVM."""
     return S.folded(_heads(spark, d), RULES.limit, S.duplicates_last(RULES.near), S.spread(RULES.spread)).select("query_id", "id", "pos")
+
+
+@query()
+def recall(spark: SparkSession, d: str) -> DataFrame:
+    """A shorter cascade over the fused hits, with fixed signals: W1-W4, W6, W8, F7, W10-W15, W17, cut."""
+    from recallgrid.functions.vector import unit
+
+    c = P.candidates(spark, d).join(P.usage(spark, d), F.col("id") == F.col("uid"), "left")
+    c = c.withColumns({"u": unit(F.col("embedding")), "nums": T.digit_runs(F.col("content"))})
+    c = R.stage(R.stage(c, P.window_factor()), F.when(F.lower("content").contains("the"), 1.06).otherwise(1.0))
+    c = R.renumber(c.filter(F.expr("not (layer = 'l7_intention' and ts < timestamp_ntz'2024-01-02 12:00:00')")), F.col("pos"))
+    for f in (P.recency(), R.usage_factor(F.col("shown"), F.col("used")), P.session_factor()):
+        c = R.stage(c, f)
+    c = S.folded(c.select("query_id", "pos", "id", "layer", "score", "content", "u", "nums"), RULES.limit, S.duplicates_last(RULES.near), S.spread(RULES.spread))
+    c = R.layer_cap(R.layer_cap(c, "l5_knowledge", 2), "l8_entity", 2)
+    c = R.ensure_layer(R.ensure_layer(c, "l6_schema", RULES.limit), "l7_intention", RULES.limit)
+    return c.filter(F.col("pos") < RULES.limit).select("query_id", "pos", "id", "layer", F.round("score", 6).alias("score"), "content")

@@ -280,11 +280,22 @@ def catchup_batch(spark: SparkSession, d: str) -> DataFrame:
     return r.filter("tries < 3 and timestampdiff(SECOND, ts, timestamp_ntz'2024-01-08 00:00:00') <= 7 * 86400").orderBy("ts", "id").limit(20).select("id", "user_id")
 
 
-@query(_q("SELECT user_id, layer AS cluster FROM (SELECT user_id, layer, count(*) AS members, bit_xor(hash(id)) IS NOT NULL AS x, max(id) % 4 AS fails, max(id) % 3 = 0 AS unchanged, max(id) % 48 AS hours FROM mem WHERE dead = 0 GROUP BY 1, 2) WHERE members >= 2 AND NOT unchanged AND NOT (fails >= 3 AND hours < 24)"))
+#: The clock of the due rule, so that some failures lie less than a day back.
+DUE_AT = "2024-01-01 12:00:00"
+_FP = "md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id))"
+
+
+@query(_q(f"""SELECT user_id, cluster FROM (SELECT user_id, layer AS cluster, count(*) AS members, {_FP} AS fp, {_FP} FILTER (id % 11 <> 0) AS done, {_FP} FILTER (id % 7 <> 0) AS failed, count(*) FILTER (origin = 'click') AS fails, max(ts) FILTER (origin = 'click') AS failed_at FROM mem WHERE dead = 0 GROUP BY 1, 2)
+WHERE members >= 2 AND fp IS DISTINCT FROM done AND NOT (fails >= 3 AND failed IS NOT DISTINCT FROM fp AND date_diff('second', failed_at, TIMESTAMP '{DUE_AT}') < 86400)""".replace(f"{_FP} FILTER (id % 11 <> 0)", "md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (id % 11 <> 0))").replace(f"{_FP} FILTER (id % 7 <> 0)", "md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (id % 7 <> 0))")))
 def due_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Two members at least, members changed since the last pass, and not failed three times on the same members within a day."""
-    c = X.mem(spark, d).filter("dead = 0").groupBy("user_id", F.col("layer").alias("cluster")).agg(F.count("*").alias("members"), F.max("id").alias("m"))
-    return c.filter("members >= 2 and m % 3 <> 0 and not (m % 4 >= 3 and m % 48 < 24)").select("user_id", "cluster")
+    """Two members at least, a fingerprint of the members that differs from that of the last pass, and not failed three times on the same members within a day."""
+    ids = lambda cond: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.expr(cond), F.col("id")))), lambda i: i.cast("string")), ","))
+    click = F.col("origin") == "click"
+    state = X.mem(spark, d).filter("dead = 0").groupBy("user_id", F.col("layer").alias("cluster")).agg(
+        F.count("*").alias("members"), ids("true").alias("fp"), ids("id % 11 <> 0").alias("done"), ids("id % 7 <> 0").alias("failed"), F.count(F.when(click, 1)).alias("fails"), F.max(F.when(click, F.col("ts"))).alias("failed_at"),
+    )
+    recent = F.expr(f"timestampdiff(SECOND, failed_at, timestamp_ntz'{DUE_AT}') < 86400")
+    return state.filter((F.col("members") >= 2) & (F.col("fp") != F.col("done")) & ~F.coalesce((F.col("fails") >= 3) & (F.col("failed") == F.col("fp")) & recent, F.lit(False))).select("user_id", "cluster")
 
 
 @query(_q("SELECT w.rule, count(m.id) AS n FROM (SELECT unnest(['vector', 'clause', 'any', 'exact']) AS rule) w LEFT JOIN mem m ON dead = 0 AND CASE rule WHEN 'vector' THEN (user_id IN ('src1', 'src2') AND agent_id = 'en') OR (user_id = '' AND agent_id = '') WHEN 'clause' THEN user_id IN ('src1', 'src2') AND agent_id = 'en' WHEN 'any' THEN agent_id = 'en' ELSE user_id = 'src1' AND agent_id = '' END GROUP BY 1"))
