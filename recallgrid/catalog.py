@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recallgrid.plans import aggregates, cascade, graphs, lifecycle, reads, recall, rules, search, streams, texts, writes  # noqa: F401
+from recallgrid.plans import aggregates, cascade, extractions, graphs, lifecycle, reads, recall, rules, search, streams, texts, writes  # noqa: F401
 from recallgrid.registry import QUERIES, SQL
 
 

@@ -147,6 +147,15 @@ def event_span(date: Column) -> tuple[Column, Column]:
     return F.coalesce(day, month), F.coalesce(F.date_add(day, 1), F.add_months(month, 1))
 
 
+def event_date(written: Column) -> Column:
+    """YYYY-MM-DD (of the first ten characters) or YYYY-MM of a written date; blank if it is neither."""
+    t = F.trim(written)
+    day = F.substring(t, 1, 10)
+    whole = day.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(day, "yyyy-MM-dd").isNotNull()
+    month = t.rlike("^[0-9]{4}-(0[1-9]|1[0-2])$")
+    return F.when(whole, day).when(month, t).otherwise("")
+
+
 # Relations of a link.
 RELATIONS = ("related", "contrasts", "same_series")
 

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallgrid.functions.vector import dot, unit
@@ -28,8 +28,11 @@ from recallgrid.sources.index import saved
 BLOCK, PIVOTS = 2000, 32
 
 
-def similar_pairs(rows: DataFrame, least: float, by: tuple[str, ...] = ("user_id",)) -> DataFrame:
-    """a, b, score for rows a < b that are equal in by and have a cosine (6 digits) of least, over 0. rows: id, embedding and by."""
+def similar_pairs(rows: DataFrame, least: float, by: tuple[str, ...] = ("user_id",), new: Column | None = None) -> DataFrame:
+    """a, b, score for rows a < b that are equal in by and have a cosine (6 digits) of least, over 0. rows: id, embedding and by.
+
+    With new, a condition on rows, only pairs with a new row in them, which alone ask: stored rows aren't compared with each other.
+    """
     dims = max(1, rows.agg(F.max(F.size("embedding"))).first()[0] or 0)
     sample = rows.select("embedding").orderBy(F.xxhash64("id"), "id").limit(PIVOTS).toArrow().column("embedding").combine_chunks()
     p, whole = dense(sample, dims) if len(sample) else (np.zeros((0, dims)), np.zeros(0, bool))
@@ -47,16 +50,16 @@ def similar_pairs(rows: DataFrame, least: float, by: tuple[str, ...] = ("user_id
             d = np.sqrt(np.maximum(2 - 2 * (v @ p.T), 0))
             keep = pa.array(np.flatnonzero(ok))
             home = d.argmin(axis=1) if len(d) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(keep) for c in ("id", "g", "h")), pa.array(home.astype(np.int32)), pa.array(d[np.arange(len(d)), home]), packed(v), packed(d)], ["id", "g", "h", "home", "near", "v", "d"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(keep) for c in ("id", "g", "h", "fresh")), pa.array(home.astype(np.int32)), pa.array(d[np.arange(len(d)), home]), packed(v), packed(d)], ["id", "g", "h", "fresh", "home", "near", "v", "d"])
 
-    keyed = rows.select("id", F.xxhash64(*by).alias("g"), F.hash(*by).cast("long").alias("h"), "embedding")
-    pts = saved(keyed.mapInArrow(points, "id long, g long, h long, home int, near double, v binary, d binary"), "points")
+    keyed = rows.select("id", F.xxhash64(*by).alias("g"), F.hash(*by).cast("long").alias("h"), (F.lit(1) if new is None else F.coalesce(new, F.lit(False)).cast("int")).alias("fresh"), "embedding")
+    pts = saved(keyed.mapInArrow(points, "id long, g long, h long, fresh int, home int, near double, v binary, d binary"), "points")
     cells = pts.groupBy("g", "home").agg(F.min("near").alias("lo"), F.max("near").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     # no more than PIVOTS cells a group
     cells = cells.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("home", "lo", "hi", "blocks"))).alias("cells"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row lies in a block of its own cell, and asks in all blocks of each cell that it can reach."""
+        """Each row lies in a block of its own cell, and asks, if new, in all blocks of each cell that it can reach."""
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 s = b.slice(at, 1000)
@@ -64,18 +67,18 @@ def similar_pairs(rows: DataFrame, least: float, by: tuple[str, ...] = ("user_id
                 if not n:
                     continue
                 d, home, near = matrix(s.column("d"), "f8"), s.column("home").to_numpy(), s.column("near").to_numpy()
-                ids = s.column("id").to_numpy()
+                ids, fresh = s.column("id").to_numpy(), s.column("fresh").to_numpy()
                 at_, cell, blk, role = [], [], [], []
                 for i, cs in enumerate(s.column("cells").to_pylist()):
                     for c in cs:
                         q = c["home"]
                         if q == home[i]:
                             at_.append(i), cell.append(q), blk.append(int(ids[i]) % c["blocks"]), role.append(0)
-                        if c["lo"] - reach <= d[i, q] <= c["hi"] + reach and d[i, q] - near[i] <= 2 * reach:
+                        if fresh[i] and c["lo"] - reach <= d[i, q] <= c["hi"] + reach and d[i, q] - near[i] <= 2 * reach:
                             for k in range(c["blocks"]):
                                 at_.append(i), cell.append(q), blk.append(k), role.append(1)
                 take = pa.array(np.array(at_, np.int64))
-                yield pa.RecordBatch.from_arrays([s.column("g").take(take), pa.array(cell, pa.int32()), pa.array(blk, pa.int32()), pa.array(role, pa.int32()), *(s.column(c).take(take) for c in ("id", "h", "v"))], ["g", "cell", "blk", "role", "id", "h", "v"])
+                yield pa.RecordBatch.from_arrays([s.column("g").take(take), pa.array(cell, pa.int32()), pa.array(blk, pa.int32()), pa.array(role, pa.int32()), *(s.column(c).take(take) for c in ("id", "h", "fresh", "v"))], ["g", "cell", "blk", "role", "id", "h", "fresh", "v"])
 
     def compare(index: Columns) -> Callable[[Columns], list[Columns]]:
         def pairs(q: Columns) -> list[Columns]:
@@ -83,15 +86,18 @@ def similar_pairs(rows: DataFrame, least: float, by: tuple[str, ...] = ("user_id
             for s in range(0, len(q["id"]), step):
                 score = q["v"][s : s + step] @ index["v"].T
                 a, b = np.nonzero(score >= least - 1e-6)
-                ok = (q["id"][a + s] < index["id"][b]) & (q["h"][a + s] == index["h"][b])
+                x, y = q["id"][a + s], index["id"][b]
+                # two new rows meet twice, a new and a stored one once
+                ok = (x != y) & ((x < y) | (index["fresh"][b] == 0)) & (q["h"][a + s] == index["h"][b])
                 a, b = a[ok], b[ok]
                 if len(a):
-                    out.append({"a": q["id"][a + s], "b": index["id"][b], "score": score[a, b]})
+                    x, y = q["id"][a + s], index["id"][b]
+                    out.append({"a": np.minimum(x, y), "b": np.maximum(x, y), "score": score[a, b]})
             return out
 
         return pairs
 
-    dealt = pts.join(cells, "g").mapInArrow(ask, "g long, cell int, blk int, role int, id long, h long, v binary")
+    dealt = pts.join(cells, "g").mapInArrow(ask, "g long, cell int, blk int, role int, id long, h long, fresh int, v binary")
     met = meet(dealt, ["g", "cell", "blk"], {"v": "f8"}, compare, "a long, b long, score double")
     return met.withColumn("score", F.round("score", 6)).filter(F.col("score") >= least)
 

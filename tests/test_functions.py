@@ -270,6 +270,9 @@ def test_similar_pairs(spark, monkeypatch):
         assert got == want
         keyed = {(r["a"], r["b"]) for r in cluster.similar_pairs(df, 0.8, ("user_id", "num")).collect()}
         assert keyed == {(a, b) for a, b in want if rows[a][2] == rows[b][2]}
+        asked = cluster.similar_pairs(df, 0.8, new=cluster.F.col("id") % 3 == 0).collect()
+        assert len(asked) == len({(r["a"], r["b"]) for r in asked})
+        assert {(r["a"], r["b"]): r["score"] for r in asked} == {(a, b): s for (a, b), s in want.items() if a % 3 == 0 or b % 3 == 0}
     assert cluster.similar_pairs(df.limit(0), 0.8).count() == 0
 
 
