@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recallgrid.functions import text as T
+from recallgrid.operators.cluster import similar_pairs
+from recallgrid.sources.index import saved
+
 
 def normalised(edges: DataFrame) -> DataFrame:
     """Edges with one list of distinct sources; an old single source (0: none) comes first."""
@@ -67,3 +71,37 @@ def documents(edges: DataFrame) -> DataFrame:
     """id, content: a text row of each edge; the id is a hash of its lower-case parts."""
     key = F.concat_ws("\x1f", F.lower("src"), F.lower("relation"), F.lower("dst"))
     return edges.select(F.concat(F.lit("l5-"), F.substring(F.sha2(key, 256), 1, 16)).alias("id"), F.concat_ws(" ", "src", F.replace(F.col("relation"), F.lit("_"), F.lit(" ")), "dst").alias("content"))
+
+
+#: Two tiers of a restatement: the same text but for its wording, and the same two entities.
+SAME, SAME_ENDS = 0.92, 0.80
+
+
+def restatements(docs: DataFrame, same: float = SAME, ends: float = SAME_ENDS) -> DataFrame:
+    """id, by: new edge documents that aren't indexed, and the indexed one that says the same. docs: id, user_id, agent_id, src, relation, dst, embedding, fresh.
+
+    New ones come in order of id. Each is held against the nearest of its owner and agent that is indexed by then (ties: the least id):
+    it restates that one if they are near and have the same numbers, or are less near, have the same numbers apart from version
+    labels and connect the same entities. Only pairs of the lower tier can matter; they go in rounds, which decide
+    whatever has its nearest one decided, and so equal the walk.
+    """
+    text = F.concat_ws(" ", F.trim("src"), F.replace(F.trim("relation"), F.lit("_"), F.lit(" ")), F.trim("dst"))
+    a = docs.select("id", "fresh", "src", "dst", T.digit_runs(text).alias("nums"), T.digit_runs(F.array_join(T.name_tokens(text), " ")).alias("bare"))
+    p = similar_pairs(docs, ends, ("user_id", "agent_id"), new=F.col("fresh"))
+    x, y = (a.select(*[F.col(c).alias(f"{s}_{c}") for c in a.columns]) for s in "xy")
+    both = p.join(x, F.col("b") == F.col("x_id")).join(y, F.col("a") == F.col("y_id"))
+    # the later of two new ones asks; a new one asks a stored one, whichever id is less
+    swap = ~F.col("x_fresh")
+    e = lambda i, j, k, m: T.endpoints_match(F.col(i), F.col(j), F.col(k), F.col(m))
+    joined = e("y_src", "y_dst", "x_src", "x_dst") | e("y_src", "y_dst", "x_dst", "x_src") | e("x_src", "x_dst", "y_src", "y_dst") | e("x_src", "x_dst", "y_dst", "y_src")
+    match = ((F.col("score") >= same) & (F.col("x_nums") == F.col("y_nums"))) | ((F.col("x_bare") == F.col("y_bare")) & joined)
+    left = saved(both.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("y"), "score", match.alias("match")), "near-edges")
+    out = left.filter("false").select(F.col("x").alias("id"), F.col("y").alias("by"))
+    while not left.isEmpty():
+        open_ = left.select(F.col("x").alias("y")).distinct()
+        top = left.groupBy("x").agg(F.max_by(F.struct("y", "match"), F.struct("score", -F.col("y"))).alias("t")).select("x", "t.*")
+        done = saved(top.join(open_, "y", "left_anti"), "decided")
+        gone = done.filter("match").select(F.col("x").alias("id"), F.col("y").alias("by"))
+        out = out.unionByName(gone)
+        left = saved(left.join(done.select("x"), "x", "left_anti").join(gone.select(F.col("id").alias("y")), "y", "left_anti"), "near-edges")
+    return out

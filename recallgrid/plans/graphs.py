@@ -103,3 +103,32 @@ def semantic_edges(spark: SparkSession, d: str) -> DataFrame:
     top = vector_top(q, n, 4, same_owner=False).filter("query_id <> id")
     k = F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))
     return top.withColumn("k", k).filter("k <= 3").select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "k")
+
+
+_DIGITS = "list_sort(list_distinct(regexp_extract_all({}, '([0-9]+)', 1)))"
+_SCORE = "round(list_cosine_similarity(x.embedding, y.embedding), 6)"
+_RESTATED = f"""+k AS (SELECT *, CAST(substr(src, 2) AS BIGINT) AS s, CAST(substr(dst, 2) AS BIGINT) AS p, strpos('ANR', relation) - 1 AS c FROM edges),
+ed AS MATERIALIZED (SELECT (s * 10000000 + p) * 3 + c AS id, src AS user_id, p, concat(dst, CASE WHEN relation = 'R' THEN concat(' v', CAST(n % 3 + 1 AS VARCHAR)) ELSE '' END, ' ', relation, ' ', src) AS txt, recorded_at >= 9500 AS fresh,
+ list_transform(range(1, len(t.embedding) + 1), lambda i: CAST(t.embedding[i] AS DOUBLE) + {list(X.APART)}[(p + c) % 3 + 1]::DOUBLE * CAST(o.embedding[i] AS DOUBLE)) AS embedding FROM k JOIN embeddings t ON t.vec_id = p % 40 JOIN embeddings o ON o.vec_id = (s * 31 + p * 7 + c) % (SELECT count(*) FROM embeddings)),
+nm AS (SELECT *, {_DIGITS.format("txt")} AS nums, {_DIGITS.format("regexp_replace(txt, ' v[0-9]+', '')")} AS bare FROM ed),
+cd AS MATERIALIZED (SELECT x.id AS x, y.id AS y, {_SCORE} AS score, ({_SCORE} >= {G.SAME} AND x.nums = y.nums) OR (x.bare = y.bare AND x.p = y.p) AS ok FROM nm x JOIN nm y ON x.user_id = y.user_id AND x.fresh AND x.id <> y.id AND (NOT y.fresh OR y.id < x.id) WHERE {_SCORE} >= {G.SAME_ENDS}),
+nn AS (SELECT x, list({{'y': y, 'ok': ok}} ORDER BY score DESC, y) AS near FROM cd GROUP BY 1),
+pl AS (SELECT id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY id) - 1 AS o, count(*) OVER (PARTITION BY user_id) AS m FROM ed WHERE fresh),
+wk AS (SELECT user_id, m, 0::BIGINT AS i, []::BIGINT[] AS gone, 0::BIGINT AS x, CAST(NULL AS BIGINT) AS y FROM (SELECT DISTINCT user_id, m FROM pl)
+ UNION ALL SELECT user_id, m, i + 1, CASE WHEN t.ok THEN list_append(gone, nx) ELSE gone END, nx, CASE WHEN t.ok THEN t.y END FROM (SELECT w.user_id, w.m, w.i, w.gone, q.id AS nx, list_filter(coalesce(c.near, []), lambda z: NOT list_contains(w.gone, z.y))[1] AS t FROM wk w JOIN pl q ON q.user_id = w.user_id AND q.o = w.i LEFT JOIN nn c ON c.x = q.id WHERE w.i < w.m))
+SELECT x AS id, y AS "by" FROM wk WHERE y IS NOT NULL"""
+
+
+@query(_q(_RESTATED).replace("WITH ", "WITH RECURSIVE ", 1))
+def restated_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges recorded from some day on are new; those that restate what their supplier's nearest indexed edge says, with dealt vectors of a topic for each group of parts."""
+    s, p, c = F.substring("src", 2, 20).cast("long"), F.substring("dst", 2, 20).cast("long"), F.instr(F.lit("ANR"), F.col("relation")) - 1
+    e = X.edges(spark, d).select("src", "dst", "relation", "n", "recorded_at", s.alias("s"), p.alias("p"), c.cast("long").alias("c"))
+    own = X.with_vectors(e, spark, d, F.col("s") * 31 + F.col("p") * 7 + F.col("c"))
+    t = X.table(spark, d, "embeddings").filter("vec_id < 40").select(F.col("vec_id").alias("_t"), F.col("embedding").alias("_e"))
+    w = F.get(F.array(*map(F.lit, X.APART)), ((F.col("p") + F.col("c")) % 3).cast("int"))
+    docs = own.join(t, F.col("p") % 40 == F.col("_t")).select(
+        ((F.col("s") * 10000000 + F.col("p")) * 3 + F.col("c")).alias("id"), F.col("src").alias("user_id"), F.lit("").alias("agent_id"), F.concat("dst", F.when(F.col("relation") == "R", F.concat(F.lit(" v"), (F.col("n") % 3 + 1).cast("string"))).otherwise("")).alias("src"),
+        "relation", F.col("src").alias("dst"), F.zip_with("_e", "embedding", lambda a, b: a.cast("double") + w * b.cast("double")).alias("embedding"), (F.col("recorded_at") >= 9500).alias("fresh"),
+    )
+    return G.restatements(docs)
