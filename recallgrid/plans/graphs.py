@@ -106,14 +106,15 @@ def semantic_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 _DIGITS = "list_sort(list_distinct(regexp_extract_all({}, '([0-9]+)', 1)))"
-_SCORE = "round(list_cosine_similarity(x.embedding, y.embedding), 6)"
+_SCORE = "round(array_cosine_similarity(x.embedding, y.embedding), 6)"
 _RESTATED = f"""+k AS (SELECT *, CAST(substr(src, 2) AS BIGINT) AS s, CAST(substr(dst, 2) AS BIGINT) AS p, strpos('ANR', relation) - 1 AS c FROM edges),
 ed AS MATERIALIZED (SELECT (s * 10000000 + p) * 3 + c AS id, src AS user_id, p, concat(dst, CASE WHEN relation = 'R' THEN concat(' v', CAST(n % 3 + 1 AS VARCHAR)) ELSE '' END, ' ', relation, ' ', src) AS txt, recorded_at >= 9500 AS fresh,
- list_transform(range(1, len(t.embedding) + 1), lambda i: CAST(t.embedding[i] AS DOUBLE) + {list(X.APART)}[(p + c) % 3 + 1]::DOUBLE * CAST(o.embedding[i] AS DOUBLE)) AS embedding FROM k JOIN embeddings t ON t.vec_id = p % 40 JOIN embeddings o ON o.vec_id = (s * 31 + p * 7 + c) % (SELECT count(*) FROM embeddings)),
-nm AS (SELECT *, {_DIGITS.format("txt")} AS nums, {_DIGITS.format("regexp_replace(txt, ' v[0-9]+', '')")} AS bare FROM ed),
-cd AS MATERIALIZED (SELECT x.id AS x, y.id AS y, {_SCORE} AS score, ({_SCORE} >= {G.SAME} AND x.nums = y.nums) OR (x.bare = y.bare AND x.p = y.p) AS ok FROM nm x JOIN nm y ON x.user_id = y.user_id AND x.fresh AND x.id <> y.id AND (NOT y.fresh OR y.id < x.id) WHERE {_SCORE} >= {G.SAME_ENDS}),
-nn AS (SELECT x, list({{'y': y, 'ok': ok}} ORDER BY score DESC, y) AS near FROM cd GROUP BY 1),
-pl AS (SELECT id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY id) - 1 AS o, count(*) OVER (PARTITION BY user_id) AS m FROM ed WHERE fresh),
+ list_transform(range(1, len(t.embedding) + 1), lambda i: CAST(t.embedding[i] AS DOUBLE) + {list(X.APART)}[(p + c) % 3 + 1]::DOUBLE * CAST(o.embedding[i] AS DOUBLE))::DOUBLE[64] AS embedding FROM k JOIN embeddings t ON t.vec_id = p % 40 JOIN embeddings o ON o.vec_id = (s * 31 + p * 7 + c) % (SELECT count(*) FROM embeddings)),
+nm AS (SELECT id, p, {_DIGITS.format("txt")} AS nums, {_DIGITS.format("regexp_replace(txt, ' v[0-9]+', '')")} AS bare FROM ed),
+pr AS MATERIALIZED (SELECT x.id AS x, y.id AS y, {_SCORE} AS score FROM ed x JOIN ed y ON x.user_id = y.user_id AND x.fresh AND x.id <> y.id AND (NOT y.fresh OR y.id < x.id) WHERE {_SCORE} >= {G.SAME_ENDS}),
+cd AS (SELECT r.x, r.y, r.score, (r.score >= {G.SAME} AND a.nums = b.nums) OR (a.bare = b.bare AND a.p = b.p) AS ok FROM pr r JOIN nm a ON a.id = r.x JOIN nm b ON b.id = r.y),
+nn AS MATERIALIZED (SELECT x, list({{'y': y, 'ok': ok}} ORDER BY score DESC, y) AS near FROM cd GROUP BY 1),
+pl AS MATERIALIZED (SELECT id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY id) - 1 AS o, count(*) OVER (PARTITION BY user_id) AS m FROM ed JOIN nn ON nn.x = ed.id),
 wk AS (SELECT user_id, m, 0::BIGINT AS i, []::BIGINT[] AS gone, 0::BIGINT AS x, CAST(NULL AS BIGINT) AS y FROM (SELECT DISTINCT user_id, m FROM pl)
  UNION ALL SELECT user_id, m, i + 1, CASE WHEN t.ok THEN list_append(gone, nx) ELSE gone END, nx, CASE WHEN t.ok THEN t.y END FROM (SELECT w.user_id, w.m, w.i, w.gone, q.id AS nx, list_filter(coalesce(c.near, []), lambda z: NOT list_contains(w.gone, z.y))[1] AS t FROM wk w JOIN pl q ON q.user_id = w.user_id AND q.o = w.i LEFT JOIN nn c ON c.x = q.id WHERE w.i < w.m))
 SELECT x AS id, y AS "by" FROM wk WHERE y IS NOT NULL"""
