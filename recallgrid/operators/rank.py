@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallgrid.functions.vector import dot, unit
+from recallgrid.operators.nearest import nearest
 
 RRF_K = 60
 
@@ -24,10 +24,6 @@ def stage(df: DataFrame, factor: Column) -> DataFrame:
     return w.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_w"), "pos")) - 1).drop("_w")
 
 
-#: Queries that are held against all rows at once; a larger set must name owners.
-QUERY_SET = 100_000
-
-
 def scoped(queries: DataFrame) -> DataFrame:
     """queries with a row for each owner whose rows they see: their own, and nobody's."""
     return queries.withColumn("scope", F.explode(F.array_distinct(F.array("owner", F.lit("")))))
@@ -36,21 +32,13 @@ def scoped(queries: DataFrame) -> DataFrame:
 def vector_top(queries: DataFrame, rows: DataFrame, k: int, same_owner: bool = True) -> DataFrame:
     """query_id, id, score, pos: the k rows of each query by cosine. Exact.
 
-    With an owner the pairs come from an equi-join on it (rows of nobody belong to every owner); without, the
-    query set, of at most QUERY_SET rows, is held against all rows in one pass. row_number() <= k becomes a
-    limit in each map task before the shuffle.
+    With an owner a query sees its own rows and those of nobody, without all of them; blocks of rows meet parts of the queries
+    (operators/nearest.py), and the lists of a query's scopes are one.
     """
-    q = queries.select("query_id", "owner", unit(F.col("q_embedding")).alias("q"))
-    r = rows.select("id", F.col("user_id").alias("scope"), unit(F.col("embedding")).alias("v"))
-    if same_owner:
-        pairs = scoped(q).join(r, "scope")
-    else:
-        if (n := q.limit(QUERY_SET + 1).count()) > QUERY_SET:
-            raise ValueError(f"more than {QUERY_SET} queries without an owner ({n})")
-        pairs = r.drop("scope").crossJoin(F.broadcast(q.drop("owner")))
-    scored = pairs.select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), 9).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).select("query_id", "id", "score", (F.col("rk") - 1).alias("pos"))
+    q = queries.select(F.col("query_id").alias("id"), "owner", F.col("q_embedding").alias("embedding"))
+    q = scoped(q).select("id", F.col("scope").alias("user_id"), "embedding") if same_owner else q
+    near = nearest(q, rows.select("id", "user_id", "embedding"), k, ("user_id",) if same_owner else (), own=True)
+    return near.select(F.col("x").alias("query_id"), F.col("y").alias("id"), "score", (F.col("k") - 1).alias("pos"))
 
 
 def required_terms(n: Column) -> Column:
