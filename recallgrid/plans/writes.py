@@ -15,9 +15,10 @@ from recallgrid import fixtures as X
 from recallgrid.functions import text as T
 from recallgrid.functions.vector import cosine
 from recallgrid.operators import lifecycle as L
+from recallgrid.operators.nearest import nearest as nearest_rows
 from recallgrid.registry import query
 from recallgrid.sources import ingest
-from recallgrid.sources.index import shared_folder
+from recallgrid.sources.index import saved, shared_folder
 
 RESTATED, RELATED, MERGED = 0.92, 0.70, 0.65
 NUMS = "list_sort(list_distinct(regexp_extract_all({t}, '([0-9]+)', 1)))"
@@ -74,16 +75,18 @@ NEAR = f"""{FACTS}, neu AS (SELECT f.*, v.embedding AS nv FROM facts f JOIN embe
 near AS (SELECT * FROM (SELECT n.id AS fact, n.content AS text, o.id, o.content, o.label, round({COS.format(a='n.nv', b='o.embedding')}, 9) AS score, row_number() OVER (PARTITION BY n.id ORDER BY round({COS.format(a='n.nv', b='o.embedding')}, 9) DESC, o.id) AS k FROM neu n JOIN facts o ON o.user_id = n.user_id AND o.id <> n.id))"""
 
 
-def nearest(spark: SparkSession, d: str) -> DataFrame:
-    """fact, text, id, content, label, score, k: facts of the owner by their nearness to a new text (here that of every fact with an id divisible by 20, with another vector)."""
+def nearest(spark: SparkSession, d: str, k: int, shown: str = "true") -> DataFrame:
+    """fact, id, score, k: the first k facts of the owner for which shown holds, by their nearness to a new text (here that of every fact with an id divisible by 20, with another vector)."""
     f = facts(spark, d)
-    new = X.with_vectors(f.filter("id % 20 = 0").select(F.col("id").alias("fact"), F.col("content").alias("text"), "user_id"), spark, d, F.col("fact") * 3 + 1, "nv")
-    p = new.join(f.select("id", "user_id", "content", "label", "embedding"), "user_id").filter("id <> fact").withColumn("score", F.round(cosine(F.col("nv"), F.col("embedding")), 9))
-    return p.withColumn("k", F.row_number().over(Window.partitionBy("fact").orderBy(F.desc("score"), "id"))).select("fact", "text", "id", "content", "label", "score", "k")
+    new = X.with_vectors(f.filter("id % 20 = 0").select("id", "user_id"), spark, d, F.col("id") * 3 + 1)
+    return nearest_rows(new, f.filter(shown).select("id", "user_id", "embedding"), k, ("user_id",)).select(F.col("x").alias("fact"), F.col("y").alias("id"), "score", "k")
 
 
-def same_numbers(a: str, b: str) -> F.Column:
-    return T.digit_runs(F.col(a)) == T.digit_runs(F.col(b))
+def same_numbers(pairs: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """pairs (fact, id) whose texts have the same numbers."""
+    nums = X.mem(spark, d).filter("layer = 'l3_fact' and dead = 0").select("id", T.digit_runs(F.col("content")).alias("nums"))
+    both = pairs.join(nums, "id").join(nums.select(F.col("id").alias("fact"), F.col("nums").alias("mine")), "fact")
+    return both.filter(F.col("nums") == F.col("mine")).drop("nums", "mine")
 
 
 #: Synthetic vectors are seldom as near as real ones; the thresholds here let the rules act.
@@ -96,9 +99,9 @@ st AS (SELECT fact, id, 3 AS o, 'restated' AS how FROM near WHERE k = 1 AND scor
 SELECT id, fact AS superseded_by, how FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY fact, o) AS n FROM st) WHERE n = 1"""))
 def promote_facts(spark: SparkSession, d: str) -> DataFrame:
     """A new fact retires its nearest restatement with the same numbers, and the shown facts that it replaces or updates (replacing wins)."""
-    n = nearest(spark, d)
-    shown = n.filter((F.col("k") <= 6) & (F.col("score") >= LOW / 2)).select("fact", "id", "k")
-    restated = n.filter((F.col("k") == 1) & (F.col("score") >= LOW) & same_numbers("content", "text")).select("fact", "id", F.lit(3).alias("o"), F.lit("restated").alias("how"))
+    n = saved(nearest(spark, d, 6), "nearest")
+    shown = n.filter(F.col("score") >= LOW / 2).select("fact", "id", "k")
+    restated = same_numbers(n.filter((F.col("k") == 1) & (F.col("score") >= LOW)), spark, d).select("fact", "id", F.lit(3).alias("o"), F.lit("restated").alias("how"))
     replaced = shown.filter("k in (2, 3)").select("fact", "id", F.lit(1).alias("o"), F.lit("replaced").alias("how"))
     updated = shown.filter("k in (3, 4)").select("fact", "id", F.lit(2).alias("o"), F.lit("updated").alias("how"))
     every = restated.unionByName(replaced).unionByName(updated)
@@ -109,16 +112,14 @@ def promote_facts(spark: SparkSession, d: str) -> DataFrame:
 @query(_q(f"+{NEAR} SELECT fact, arg_min(id, k) AS id FROM (SELECT *, row_number() OVER (PARTITION BY fact ORDER BY k) AS kk FROM near WHERE label = 'experience') WHERE kk <= 10 AND score >= {LOW} AND {NUMS.format(t='content')} = {NUMS.format(t='text')} GROUP BY 1"))
 def write_experiences(spark: SparkSession, d: str) -> DataFrame:
     """M9: of the ten nearest experiences, the nearest that is the same lesson, with the same numbers, is updated."""
-    n = nearest(spark, d).filter("label = 'experience'").withColumn("kk", F.row_number().over(Window.partitionBy("fact").orderBy("k")))
-    n = n.filter((F.col("kk") <= 10) & (F.col("score") >= LOW) & same_numbers("content", "text"))
+    n = same_numbers(nearest(spark, d, 10, "label = 'experience'").filter(F.col("score") >= LOW), spark, d)
     return n.groupBy("fact").agg(F.min_by("id", "k").alias("id"))
 
 
 @query(_q(f"+{NEAR} SELECT fact, id, row_number() OVER (PARTITION BY fact ORDER BY k) AS n FROM near WHERE label <> 'experience' AND score >= {LOW / 2} QUALIFY n <= 8"))
 def reconcile_candidates(spark: SparkSession, d: str) -> DataFrame:
     """M10's candidates: the nearest facts of the owner above a threshold, no experiences, eight at most."""
-    n = nearest(spark, d).filter((F.col("label") != "experience") & (F.col("score") >= LOW / 2))
-    return n.withColumn("n", F.row_number().over(Window.partitionBy("fact").orderBy("k"))).filter("n <= 8").select("fact", "id", "n")
+    return nearest(spark, d, 8, "label <> 'experience'").filter(F.col("score") >= LOW / 2).select("fact", "id", F.col("k").alias("n"))
 
 
 MERGE = f"""{FACTS}, grp AS (SELECT user_id, agent_id, floor(id / 160) AS g, f.*, (id * 11 + 3) % 5 = 0 AS invented FROM facts f),
