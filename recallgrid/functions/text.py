@@ -169,10 +169,10 @@ def links(text: Column) -> Column:
     return F.aggregate(pairs, zero, lambda a, x: F.when(F.exists(a, lambda y: y["id"] == x["id"]), a).otherwise(F.concat(a, F.array(x))))
 
 
-def clamped(text: Column, lines: int, most: int) -> Column:
-    """The first lines, trimmed, of at most so many bytes, ending with a whole character."""
-    t = F.regexp_replace(F.array_join(F.slice(F.split(text, "\n", -1), 1, lines), "\n"), "^\\s+|\\s+$", "")
-    return F.regexp_replace(F.regexp_replace(cut_bytes(t, most), "…$", ""), "\\s+$", "")
+def clamped(text: Column, lines: int, most: int, space: str = "\\s") -> Column:
+    """The first lines, without space (a pattern of one character) around them, of at most so many bytes, ending with a whole character."""
+    t = F.regexp_replace(F.array_join(F.slice(F.split(text, "\n", -1), 1, lines), "\n"), f"^{space}+|{space}+\\z", "")
+    return F.regexp_replace(F.regexp_replace(cut_bytes(t, most), "…\\z", ""), f"{space}+\\z", "")
 
 
 def unix_seconds(written: Column) -> Column:
