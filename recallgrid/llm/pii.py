@@ -46,7 +46,6 @@ DOMAIN = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*"
 AT = re.compile(rf"(?<!\x20)[\x20]*[\[({{<][\x20]*(?:at|arroba|chez)[\x20]*[\])}}>][\x20]*|(?<!\x20)[\x20]+(?:at|arroba)[\x20]+(?={DOMAIN}[\x20]*(?:[\[({{<][\x20]*(?:{DOT_WORD}|\.)|[\x20]{DOT_WORD}[\x20]))", re.IGNORECASE)
 DOT = re.compile(rf"(?<!\x20)[\x20]*[\[({{<][\x20]*(?:{DOT_WORD}|\.)[\x20]*[\])}}>][\x20]*|(?<!\x20)[\x20]+{DOT_WORD}[\x20]+(?=[A-Za-z0-9-])", re.IGNORECASE)
 SIGNED = re.compile(rf"[\[({{<][\x20]*(?:at|arroba|chez|@)[\x20]*[\])}}>]|[\x20](?:at|arroba)[\x20]+{DOMAIN}[\x20]*(?:[\[({{<\x20]+{DOT_WORD}|[\[({{<][\x20]*\.)", re.IGNORECASE)
-BRACKET_DOT = re.compile(r"[\[({<]\x20*\.\x20*[\])}>]")
 SPELLED = re.compile(r"(?<!\w)(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + r")(?:[\x20-]+(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + r"|[0-9])(?!\w)){5,}", re.IGNORECASE)
 SPELLED_DIGIT = re.compile("|".join(sorted(DIGITS, key=len, reverse=True)), re.IGNORECASE)
 SPELLED_PART = re.compile(SPELLED_DIGIT.pattern + r"|[\x20-]+", re.IGNORECASE)
@@ -63,7 +62,6 @@ UNITS = frozenset([*DIGITS, *"0123456789"])
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN_CHARS = LOCAL_CHARS - frozenset("_%+")
 SPELLED_WORDS = tuple(DIGITS)
-DOT_WORDS = ("dot", "punkt", "punto", "point")
 
 
 def spelled_digits(text: str) -> bool:
@@ -73,14 +71,12 @@ def spelled_digits(text: str) -> bool:
 
 
 def signed(text: str) -> bool:
-    low = text.lower()
-    return (any(c in text for c in "[({<") or any(w in low for w in DOT_WORDS)) and bool(SIGNED.search(text))
+    """Whether AT or SIGN can match: every text is searched."""
+    return bool(SIGNED.search(text))
 
 
 def dots(text: str) -> list[re.Match]:
     """The dot disguises of a text."""
-    if not (any(w in text.lower() for w in DOT_WORDS) or any(c in text for c in "[({<") and BRACKET_DOT.search(text)):
-        return []
     return list(DOT.finditer(text))
 
 
