@@ -193,3 +193,14 @@ def experience(task: Column, solution: Column, environment: Column) -> Column:
     """An experience as text; the environment is left out where it is blank."""
     env = F.when(F.trim(F.coalesce(environment, F.lit(""))) != "", F.concat(F.lit(" Environment: "), environment)).otherwise("")
     return F.concat(F.lit("Task: "), task, F.lit(" Solution: "), solution, env)
+
+
+# Letters whose one-letter upper case isn't the first choice of Java, which writes several letters.
+_SMALL = "ß" + "".join(chr(b + i) for b in (0x1F80, 0x1F90, 0x1FA0) for i in range(8)) + "ᾳῃῳ"
+_LARGE = "ẞ" + "".join(chr(b + i) for b in (0x1F88, 0x1F98, 0x1FA8) for i in range(8)) + "ᾼῌῼ"
+
+
+def upper(text: Column) -> Column:
+    """Upper case letter by letter: a letter that only several ones stand for in upper case stays."""
+    chars = F.split(F.translate(text, _SMALL, _LARGE), "(?!^)")
+    return F.array_join(F.transform(chars, lambda c: F.when(F.length(F.upper(c)) == F.length(c), F.upper(c)).otherwise(c)), "")

@@ -52,11 +52,11 @@ def ingest_rows(spark: SparkSession, d: str) -> DataFrame:
     return ingest.accepted(e).select("id", "content", "origin", "extract_wanted")
 
 
-@query(_q("SELECT id, CASE WHEN layer = 'l4_summary' AND dead = 0 AND id % 2 = 0 THEN translate(left(content, 40), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE content END AS content, layer = 'l4_summary' AND dead = 0 AND id % 2 = 0 AS embed_again FROM mem"))
+@query(_q("SELECT id, CASE WHEN layer = 'l4_summary' AND dead = 0 AND id % 2 = 0 THEN upper(left(content, 40)) ELSE content END AS content, layer = 'l4_summary' AND dead = 0 AND id % 2 = 0 AS embed_again FROM mem"))
 def rewrite_layer(spark: SparkSession, d: str) -> DataFrame:
     """Live rows of one layer get a new content and are marked to be embedded again; id and the rest stay."""
     m = X.mem(spark, d)
-    new = m.filter("id % 2 = 0").select("id", F.translate(F.substring("content", 1, 40), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("new"))
+    new = m.filter("id % 2 = 0").select("id", T.upper(F.substring("content", 1, 40)).alias("new"))
     return ingest.rewrite(m, new, "l4_summary").select("id", "content", "embed_again")
 
 
