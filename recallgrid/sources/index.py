@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +36,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """owner, term, id, dl, tf of rows with lists of terms: a row's terms are counted where it is, a few rows at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            s = b.slice(at, 256)
+            sizes = pc.fill_null(pc.list_value_length(s.column("terms")), 0).to_numpy()
+            terms = s.column("terms").flatten().dictionary_encode()
+            n = max(1, len(terms.dictionary))
+            key, tf = np.unique(np.repeat(np.arange(s.num_rows), sizes) * n + terms.indices.to_numpy(), return_counts=True)
+            row = pa.array(key // n)
+            yield pa.RecordBatch.from_arrays([s.column("owner").take(row), terms.dictionary.take(pa.array(key % n)), s.column("id").take(row), s.column("dl").take(row), pa.array(tf.astype(np.int64))], ["owner", "term", "id", "dl", "tf"])
+
+
 def write_postings(rows: DataFrame, terms: F.Column, path: str) -> None:
-    """rows: owner, id and what terms reads; writes postings (owner, term, id, tf, dl) and sizes (owner, n, total)."""
+    """rows: owner, id (one row each) and what terms reads; writes postings (owner, term, id, tf, dl) and sizes (owner, n, total)."""
     t = rows.select("owner", "id", terms.alias("terms"))
-    p = t.select("owner", "id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term")).groupBy("owner", "term", "id", "dl").agg(F.count("*").alias("tf"))
+    p = t.select("owner", "id", F.size("terms").cast("long").alias("dl"), "terms").mapInArrow(counted, "owner string, term string, id long, dl long, tf long")
     p.repartition("owner", "term").sortWithinPartitions("owner", "term").write.parquet(f"{path}/postings")
     t.groupBy("owner").agg(F.count("*").alias("n"), F.sum(F.size("terms")).cast("long").alias("total")).write.parquet(f"{path}/sizes")
 
