@@ -1,4 +1,4 @@
-"""Text functions as Column expressions (no Python at run time).
+"""Text functions as Column expressions (no Python at run time but for term()).
 
 Scalars that both engines can run are kept as SQL templates with {t} for the argument, so that a
 query and its check share the rule but not the engine.
@@ -58,6 +58,34 @@ def tokens_sql(text: str) -> str:
     return f"list_transform(list_filter(regexp_split_to_array(lower({text}), '{WORD_GAP}'), lambda x: length(x) >= 2 AND x NOT IN ({_STOP})), lambda x: {stem_sql('x')})"
 
 
+def words(text: str) -> Column:
+    """Runs of letters and digits in lower case, before term() makes terms of them; tokens() is both at once."""
+    return F.split(F.lower(text), WORD_GAP)
+
+
+_STOPPED, _PLAIN = frozenset(STOPWORDS), frozenset(LETTERS)
+
+
+def term(word: str) -> str | None:
+    """The search term of a word, None if it is too short or common: STEM's rule for a word at a time, for tasks that meet each word once."""
+    if len(word) < 2 or word in _STOPPED:
+        return None
+    if word in IRREGULAR:
+        return IRREGULAR[word]
+    if len(word) < 5 or not _PLAIN.issuperset(word):
+        return word
+    once = lambda s: s[:-1] if len(s) >= 2 and s[-1] == s[-2] and s[-1] not in "aeioulsz" else s
+    if word.endswith("ies"):
+        return word[:-3] + "y"
+    if word.endswith("ing") and len(word) >= 6:
+        return once(word[:-3])
+    if word.endswith("ed"):
+        return once(word[:-2])
+    if word.endswith(("sses", "xes", "ches", "shes")):
+        return word[:-2]
+    return word[:-1] if word.endswith("s") and not word.endswith(("ss", "us", "is")) else word
+
+
 def digit_runs(text: Column) -> Column:
     """The set of runs of ASCII digits, leading zeros kept."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("([0-9]+)"), 1)))

@@ -49,21 +49,25 @@ def required_terms(n: Column) -> Column:
 def bm25(terms: DataFrame, postings: DataFrame, sizes: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, id, kscore, kpos. terms: query_id, owner, term (distinct); postings: owner, term, id, tf, dl; sizes: owner, n, total.
 
-    A query's scope is its owner's rows and nobody's. Only asked terms are read; how many rows of the scope hold a
-    term is counted among those, and the number and mean length of the scope's rows come from sizes, a row an owner.
+    A query's scope is its owner's rows and nobody's. Only asked terms are read, once to count the rows of the scope that hold
+    them and once to score; the number and mean length of the scope's rows come from sizes, a row an owner.
     """
     need = terms.groupBy("query_id").agg(required_terms(F.count("*")).alias("need"))
     scope = scoped(terms.select("query_id", "owner").distinct()).join(sizes.withColumnRenamed("owner", "scope"), "scope")
     scope = scope.groupBy("query_id").agg(F.sum("n").alias("N"), (F.sum("total") / F.sum("n")).alias("avgdl"))
-    hit = scoped(terms).join(postings.withColumnRenamed("owner", "scope"), ["scope", "term"])
-    hit = hit.withColumn("df", F.count("*").over(Window.partitionBy("query_id", "term"))).join(F.broadcast(scope), "query_id")
+    asked, held = scoped(terms), postings.withColumnRenamed("owner", "scope")
+    # counted where the postings lie: no row of a term is shuffled for it
+    df = held.join(asked.select("scope", "term").distinct(), ["scope", "term"], "left_semi").groupBy("scope", "term").agg(F.count("*").alias("n"))
+    df = asked.join(df, ["scope", "term"]).groupBy("query_id", "term").agg(F.sum("n").alias("df"))
+    hit = asked.join(held, ["scope", "term"]).join(F.broadcast(df), ["query_id", "term"]).join(F.broadcast(scope), "query_id")
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     avg = F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl"))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avg))
     sums = hit.groupBy("query_id", "id").agg(F.sum(part).alias("s"), F.count("*").alias("m")).join(F.broadcast(need), "query_id").filter("m >= need")
     sums = sums.select("query_id", "id", F.round("s", 9).alias("kscore"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("kscore"), "id")
-    return sums.withColumn("kpos", F.row_number().over(w) - 1).filter(F.col("kpos") < k)
+    # the number itself is compared, so that each task passes on no more than k rows of a query
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("kscore"), "id"))
+    return sums.withColumn("n", n).filter(F.col("n") <= k).select("query_id", "id", "kscore", (F.col("n") - 1).alias("kpos"))
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, floor: float) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from recallgrid.functions import text as T
 from recallgrid.functions.vector import dot, unit
 from recallgrid.operators import rank as R
+from recallgrid.operators.nearest import nearest
 
 
 @dataclass(frozen=True)
@@ -49,8 +50,8 @@ class Rules:
 
 @dataclass(frozen=True)
 class Store:
-    """What a search reads. rows: live rows with embedding; clauses: parent, user_id, embedding; usage: id, shown, used, last;
-    links: id, k, to (in the order of k); evidence: id, owner, ts, fact."""
+    """What a search reads. rows: live rows with embedding; clauses: parent, n, user_id, embedding; usage: id, shown, used, last;
+    links: id, k, to (in the order of k); evidence: id, owner, ts, fact; texts: id, content, where rows have no content."""
 
     rows: DataFrame
     postings: DataFrame
@@ -59,6 +60,7 @@ class Store:
     usage: DataFrame
     links: DataFrame
     evidence: DataFrame
+    texts: DataFrame | None = None
 
 
 def by() -> WindowSpec:
@@ -70,10 +72,15 @@ def place(*order: Column) -> Column:
 
 
 def clause_hits(queries: DataFrame, clauses: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score: rows by their best clause; rows of nobody have none for others."""
-    q = queries.select("query_id", F.col("owner").alias("user_id"), unit(F.col("q_embedding")).alias("q"))
-    s = q.join(clauses.select("user_id", F.col("parent").alias("id"), unit(F.col("embedding")).alias("v")), "user_id").withColumn("score", F.round(dot(F.col("q"), F.col("v")), 9))
-    best = s.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    """query_id, id, score: rows by their best clause; rows of nobody have none for others. clauses: parent, n, user_id, embedding.
+
+    The best clauses of the first k rows are among the first k times as many clauses as a row has at most, so blocks of clauses
+    meet the queries (operators/nearest.py) and no clause is a row for each query. n tells a row's clauses apart, from 0.
+    """
+    most = (clauses.agg(F.max("n")).first()[0] or 0) + 1
+    q = queries.select(F.col("query_id").alias("id"), F.col("owner").alias("user_id"), F.col("q_embedding").alias("embedding"))
+    near = nearest(q, clauses.select((F.col("parent") * most + F.col("n")).alias("id"), "user_id", "embedding"), k * most, ("user_id",), own=True)
+    best = near.groupBy(F.col("x").alias("query_id"), F.floor(F.col("y") / most).cast("long").alias("id")).agg(F.max("score").alias("score"))
     return best.withColumn("n", F.row_number().over(by().orderBy(F.desc("score"), "id"))).filter(F.col("n") <= k).drop("n")
 
 
@@ -106,8 +113,10 @@ def names_any(tokens: Column, names: Column) -> Column:
 
 
 def described(found: DataFrame, queries: DataFrame, s: Store) -> DataFrame:
-    """found with what the stages need of rows, queries and usage. A row's text is read once, and only a digest and its numbers go on."""
-    rows = dated(s.rows.join(found.select("id").distinct(), "id", "left_semi"))
+    """found with what the stages need of rows, queries and usage. A found row's text is read once, and only a digest and its numbers go on."""
+    ids = found.select("id").distinct()
+    rows = dated(s.rows.join(ids, "id", "left_semi"))
+    rows = rows if s.texts is None else rows.join(s.texts.join(ids, "id", "left_semi"), "id")
     key = F.md5(F.lower(F.trim(F.regexp_replace("content", "\\s+", " "))))
     rows = rows.select("id", "layer", "user_id", "ts", "label", "event_at", "session_id", "rf", "rt", unit(F.col("embedding")).alias("u"), key.alias("key"), T.digit_runs(F.col("content")).alias("nums"), T.tokens("content").alias("toks"))
     q = queries.select("query_id", "owner", "session", "wv", "wk", "f", "t", "identifiers", "names", "neighbours", unit(F.col("q_embedding")).alias("q"))

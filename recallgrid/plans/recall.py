@@ -47,8 +47,8 @@ rrf AS (SELECT query_id, id, score, round(coalesce(wv / (61 + vr), 0) + coalesce
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, coalesce(score, 0) DESC, id) - 1 AS pos FROM rrf)"""
 
 
-def live(spark: SparkSession, d: str, vectors: bool = False) -> DataFrame:
-    return X.mem(spark, d, vectors).filter("dead = 0")
+def live(spark: SparkSession, d: str, vectors: bool = False, only: DataFrame | None = None) -> DataFrame:
+    return X.mem(spark, d, vectors, only).filter("dead = 0")
 
 
 def inputs(d: str) -> tuple[str, ...]:
@@ -59,13 +59,18 @@ def inputs(d: str) -> tuple[str, ...]:
 def postings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The index of the live rows but the raw ones, which a search over all layers leaves out."""
     rows = lambda: live(spark, d).filter("layer <> 'l2_raw'").withColumnRenamed("user_id", "owner")
-    return index.postings(spark, f"rows of {d}", rows, T.tokens("content"), inputs(d))
+    return index.postings(spark, f"rows of {d}", rows, T.words("content"), inputs(d), T.term)
 
 
 def query_terms(q: DataFrame) -> DataFrame:
     return q.select("query_id", "owner", F.explode(F.array_distinct(T.tokens("query"))).alias("term"))
 
 
+def asked_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The terms of all queries as a table, whose size decides how the postings are joined: few terms are broadcast."""
+    return index.saved(query_terms(X.asked(spark, d)), "terms")
+
+
 @query(X.with_views("mem", sql=f"+{POSTINGS} SELECT id, term, tf, dl FROM postings JOIN lengths USING (owner, id)"))
 def postings_index(spark: SparkSession, d: str) -> DataFrame:
     """Term counts of each row."""
@@ -73,7 +78,7 @@ def postings_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _keyword(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25(query_terms(X.asked(spark, d)), *postings(spark, d), k=10 * LIMIT)
+    return R.bm25(asked_terms(spark, d), *postings(spark, d), k=10 * LIMIT)
 
 
 @query(X.with_views("mem", "asked", sql=f"+{BM25} SELECT query_id, id, round(kscore, 6) AS kscore, kpos FROM kw"))
@@ -89,7 +94,7 @@ RAW_KW = _postings_sql("layer = 'l2_raw'", "_raw") + ", " + _bm25_sql("_raw")
 def keyword_with_raw(spark: SparkSession, d: str) -> DataFrame:
     """Where raw rows are searched too they are ranked by themselves, and both lists are merged by score."""
     raw = lambda: live(spark, d).filter("layer = 'l2_raw'").withColumnRenamed("user_id", "owner")
-    other = R.bm25(query_terms(X.asked(spark, d)), *index.postings(spark, f"raw rows of {d}", raw, T.tokens("content"), inputs(d)), k=10 * LIMIT)
+    other = R.bm25(asked_terms(spark, d), *index.postings(spark, f"raw rows of {d}", raw, T.words("content"), inputs(d), T.term), k=10 * LIMIT)
     both = R.renumber(_keyword(spark, d).unionByName(other).drop("kpos"), F.desc("kscore"))
     return both.filter(F.col("pos") < 10 * LIMIT).select("query_id", "id", F.round("kscore", 6).alias("kscore"))
 
@@ -125,9 +130,11 @@ def recall_minimum(spark: SparkSession, d: str) -> DataFrame:
     return _fused(spark, d).filter(F.col("pos") < LIMIT).select("query_id", "id", F.round("rrf", 6).alias("rrf"), "pos")
 
 
-def candidates(spark: SparkSession, d: str) -> DataFrame:
-    cols = ["id", "layer", "content", "user_id", "agent_id", "ts", "session_id", "embedding"]
-    return R.text_dedupe(_fused(spark, d).select("query_id", "id", "score", "pos").join(live(spark, d, True).select(*cols), "id"))
+def candidates(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """The fused hits with their rows, one of each text. The hits are stored first, so that only their rows are looked up, before any join of the tables."""
+    cols = ["id", "layer", "content", "user_id", "agent_id", "ts", "session_id", "embedding", *more]
+    hits = index.saved(_fused(spark, d).select("query_id", "id", "score", "pos"), "fused")
+    return R.text_dedupe(hits.join(live(spark, d, True, hits).select(*cols), "id"))
 
 
 DEDUPED = f"""{FUSED}, hit AS (SELECT f.query_id, f.score, f.pos AS pos0, m.* FROM fused f JOIN mem m USING (id)),
