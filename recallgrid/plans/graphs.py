@@ -71,9 +71,8 @@ def graph_counts(spark: SparkSession, d: str) -> DataFrame:
 @query(_q("+x AS (SELECT src, relation, dst, sources, list_filter(sources, lambda s: s % 3 <> 0) AS kept FROM edges) SELECT src, relation, dst, len(kept) AS kept FROM x WHERE len(kept) > 0 OR len(sources) = 0"))
 def remove_sources(spark: SparkSession, d: str) -> DataFrame:
     """M5: an edge goes with its last source."""
-    e = X.edges(spark, d)
-    gone = e.select(F.explode("sources").alias("s")).filter("s % 3 = 0").distinct()
-    return G.remove_sources(e, gone).select("src", "relation", "dst", F.size("sources").cast("long").alias("kept"))
+    gone = X.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("s")).filter("s % 3 = 0")
+    return G.remove_sources(X.edges(spark, d), gone).select("src", "relation", "dst", F.size("sources").cast("long").alias("kept"))
 
 
 @query(_q("SELECT concat('l5-', substr(sha256(concat_ws(chr(31), lower(src), lower(relation), lower(dst))), 1, 16)) AS id, concat_ws(' ', src, replace(relation, '_', ' '), dst) AS content FROM edges WHERE valid_to > 10600"))
