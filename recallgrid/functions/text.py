@@ -58,11 +58,6 @@ def tokens_sql(text: str) -> str:
     return f"list_transform(list_filter(regexp_split_to_array(lower({text}), '{WORD_GAP}'), lambda x: length(x) >= 2 AND x NOT IN ({_STOP})), lambda x: {stem_sql('x')})"
 
 
-def words(text: str) -> Column:
-    """Runs of letters and digits in lower case, before term() makes terms of them; tokens() is both at once."""
-    return F.split(F.lower(text), WORD_GAP)
-
-
 _STOPPED, _PLAIN = frozenset(STOPWORDS), frozenset(LETTERS)
 
 
@@ -95,10 +90,21 @@ def one_spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "\\s+", " "))
 
 
+#: What an identifier holds: a digit, an underscore, or a sign other than an apostrophe between letters or digits. Outer punctuation has no part in it.
+SIGNED = "[\\p{Nd}_]|[\\p{L}\\p{Nd}][^\\p{L}\\p{Nd}\\s'’][\\p{L}\\p{Nd}]"
+
+
 def looks_like_identifier(word: Column) -> Column:
     """A digit, an underscore, or a sign other than an apostrophe between letters or digits."""
-    w = F.regexp_replace(word, "^[.,;:!?\"'()\\[\\]{}]+|[.,;:!?\"'()\\[\\]{}]+$", "")
-    return w.rlike("[\\p{Nd}_]") | w.rlike("[\\p{L}\\p{Nd}][^\\p{L}\\p{Nd}\\s'’][\\p{L}\\p{Nd}]")
+    return word.rlike(SIGNED)
+
+
+def first_identifier(text: Column) -> Column:
+    """The first word (between spaces) that looks like an identifier, null without one: the one that the first match in the text lies in, as no match holds a space."""
+    pieces = F.split(text, SIGNED, 2)
+    before = F.get(pieces, F.lit(0))
+    start = F.length(before) - F.length(F.substring_index(before, " ", -1)) + 1
+    return F.when(F.size(pieces) > 1, F.substring_index(F.substring(text, start, F.length(text)), " ", 1))
 
 
 def name_tokens(name: Column) -> Column:

@@ -59,7 +59,7 @@ def inputs(d: str) -> tuple[str, ...]:
 def postings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The index of the live rows but the raw ones, which a search over all layers leaves out."""
     rows = lambda: live(spark, d).filter("layer <> 'l2_raw'").withColumnRenamed("user_id", "owner")
-    return index.postings(spark, f"rows of {d}", rows, T.words("content"), inputs(d), T.term)
+    return index.postings(spark, f"rows of {d}", rows, F.lower("content"), inputs(d), T.term)
 
 
 def query_terms(q: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ RAW_KW = _postings_sql("layer = 'l2_raw'", "_raw") + ", " + _bm25_sql("_raw")
 def keyword_with_raw(spark: SparkSession, d: str) -> DataFrame:
     """Where raw rows are searched too they are ranked by themselves, and both lists are merged by score."""
     raw = lambda: live(spark, d).filter("layer = 'l2_raw'").withColumnRenamed("user_id", "owner")
-    other = R.bm25(asked_terms(spark, d), *index.postings(spark, f"raw rows of {d}", raw, T.words("content"), inputs(d), T.term), k=10 * LIMIT)
+    other = R.bm25(asked_terms(spark, d), *index.postings(spark, f"raw rows of {d}", raw, F.lower("content"), inputs(d), T.term), k=10 * LIMIT)
     both = R.renumber(_keyword(spark, d).unionByName(other).drop("kpos"), F.desc("kscore"))
     return both.filter(F.col("pos") < 10 * LIMIT).select("query_id", "id", F.round("kscore", 6).alias("kscore"))
 

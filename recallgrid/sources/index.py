@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recallgrid.functions.text import WORD_GAP
+
 _BUILT: dict[tuple, str] = {}
 
 
@@ -41,7 +43,7 @@ WORDS, SHARE = 1 << 18, 8 << 20
 
 
 def counting(term: Callable[[str], str | None] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """owner, term, id, dl, tf of rows with lists of words: a row's terms are counted where it is, a few rows at once.
+    """owner, term, id, dl, tf of rows with words (lists, or texts of them): a row's terms are counted where it is, a few rows at once.
 
     term gives the term of a word, or None where it is none (without it words are terms); it is asked once for each different word.
     """
@@ -51,9 +53,11 @@ def counting(term: Callable[[str], str | None] | None = None) -> Callable[[Itera
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 s = b.slice(at, 256)
-                sizes = pc.fill_null(pc.list_value_length(s.column("words")), 0).to_numpy()
+                lists = s.column("words")
+                lists = lists if pa.types.is_list(lists.type) else pc.split_pattern_regex(lists, WORD_GAP)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
                 row = np.repeat(np.arange(s.num_rows), sizes)
-                words = s.column("words").flatten().dictionary_encode()
+                words = lists.flatten().dictionary_encode()
                 terms, place = words.dictionary, words.indices.to_numpy()
                 if term and len(terms):
                     known = known if len(known) < WORDS else {}
