@@ -6,7 +6,8 @@ reach over an end of line, of at most as many bigrams as the template's threshol
 begins and ends with a bigram of the template, as others only lower the coefficient. A template
 is only compared where the sizes of the two sets allow the threshold, and a set that no template's
 size allows isn't compared at all. Sets are only made of lines that hold, for some template, a word of each of
-two lists: without a word of a list the template has too few bigrams left to reach the threshold.
+two lists: without a word of a list the template has too few bigrams left to reach the threshold. Texts are
+only cut into lines if they hold bigrams of a template in the same way, as whole words.
 
 n_lines counts the lines that state a licence alone, 0 where only windows over several lines do; dice
 is that of the best line, or of the best window where no line does.
@@ -75,10 +76,12 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, UPPER, UPPER.lower()), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def wrapped(texts: DataFrame, sets: list[tuple[str, list[str]]]) -> DataFrame:
-    """doc_id, license, wdice: windows over several lines that reach DICE; texts has doc_id and text."""
-    # a text that shares less than the smallest allowed set with a template has no window of it: it must hold
-    # one of any n - low + 1 of the template's n bigrams, so one of each such list
+def _stated(sets: list[tuple[str, list[str]]], text: Column) -> Column:
+    """Whether the text holds so many bigrams of a template as any line or window of it needs.
+
+    What reaches DICE shares the smallest allowed set with the template: it must hold one of any n - low + 1
+    of the template's n bigrams, so one of each such list.
+    """
     lists = []
     for _, own in sets:
         k, long = len(own) - _allowed(len(own))[0] + 1, sorted(own, key=lambda b: (-len(b), b))
@@ -87,8 +90,13 @@ def wrapped(texts: DataFrame, sets: list[tuple[str, list[str]]]) -> DataFrame:
     def holds(t: Column) -> Column:
         return reduce(or_, [reduce(and_, [reduce(or_, [F.contains(t, F.lit(f" {b} ")) for b in bs]) for bs in of]) for of in lists])
 
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.translate("text", UPPER, UPPER.lower()), "[^a-z0-9]+", " "), F.lit(" "))
-    texts = texts.filter(F.contains(F.col("text"), F.lit("\n")) & F.exists(F.array(spaced), holds))
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.translate(text, UPPER, UPPER.lower()), "[^a-z0-9]+", " "), F.lit(" "))
+    return F.exists(F.array(spaced), holds)
+
+
+def wrapped(texts: DataFrame, sets: list[tuple[str, list[str]]]) -> DataFrame:
+    """doc_id, license, wdice: windows over several lines that reach DICE; texts has doc_id and text."""
+    texts = texts.filter(F.contains(F.col("text"), F.lit("\n")))
     places = F.flatten(F.transform(F.split("text", "\n", -1), lambda t, i: F.transform(_words(t), lambda w: F.struct(w.alias("w"), i.alias("i")))))
     t = texts.select("doc_id", places.alias("w"))
     size = F.greatest(F.size("w") - 1, F.lit(0))
@@ -120,8 +128,8 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None)
 
         return F.exists(F.array(F.lower(text)), holds)
 
-    # the few texts with anchor words are read twice, all texts once
-    texts = stage(docs.filter(anchored(F.col("text"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "anchored")
+    # the few texts that may state a licence are read twice, all texts once; bigrams are only sought in those with anchor words
+    texts = stage(docs.filter(anchored(F.col("text")) & _stated(sets, F.col("text"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "anchored")
     lines = texts.select("doc_id", F.explode(F.filter(F.split("text", "\n", -1), anchored)).alias("line"))
     # a bound before any set is made: a bigram takes a space and, with it, at least a letter
     lines = lines.filter(F.length("line") >= 2 * low)

@@ -216,6 +216,21 @@ def test_license_anchors_lose_nothing(spark):
     assert got == want and 0 < len({i for i, _ in want}) < len(lines)
 
 
+def test_license_texts_without_bigrams_go_first(spark, monkeypatch):
+    """Texts that only hold parts of the anchor words aren't cut into lines; those that state a licence, alone or over lines, are."""
+    staged, stage = [], licenses.stage
+
+    def counted(df, *more):
+        staged.append(stage(df, *more))
+        return staged[-1]
+
+    monkeypatch.setattr(licenses, "stage", counted)
+    rows = [(1, "under the bay\nsaid Acca"), (2, "Licensed under CC BY-SA 4.0."), (3, "a\nLicensed under\nCC BY-SA\n4.0\nb"), (4, "licensed, by succour of the sand, under"), (5, "x\nReleased\u00e9under the\u00a0MIT-License.\ny")]
+    got = {(r["doc_id"], r["license"]) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2, "CC-BY-SA-4.0"), (3, "CC-BY-SA-4.0"), (5, "MIT")}
+    assert {r["doc_id"] for r in staged[0].collect()} == {2, 3, 5}
+
+
 def test_licenses_wrapped(spark):
     import textwrap
 
