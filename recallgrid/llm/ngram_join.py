@@ -12,7 +12,8 @@ Order of the work: (1) a fixed-size counter sketch over all shingles gives the o
 become one class; (3) prefixes are dealt by shingle, those alone in a shingle go; (4) each class is
 held against the leaders of its shingles, which links the bulk of a group of near copies in linear
 time; (5) pairs of different components that still meet are held against each other, the most
-frequent component of a shingle never against itself. Every pair that could link is either verified
+frequent component of a shingle never against itself; before they meet, rounds join up such components,
+as long as a round leaves clearly fewer pairs. Every pair that could link is either verified
 or already connected. Shingles are known by 64 bits throughout.
 
 Hot keys: a shingle that the sketch counts far above the others is dealt in parts (whose leaders are
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallgrid.llm.common import attach, chunks, components, documents, hashed_words, id_filter, in_filter, mix64, numbered, small_batches, stage
@@ -46,6 +47,8 @@ TRIE_SETS = 256
 HOT_CELL, MEETING = 1000, 5000
 #: Rounds at most that join up components which meet often, before all pairs left are held against each other.
 ROUNDS = 6
+#: A round that leaves more than this share of the pairs that would meet was the last; longs of the parities that pairs are held against each other by where they meet.
+WORTH, FOLDED = 0.75, 4
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -168,17 +171,27 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
 
 
+def _differ(x: str, y: str) -> Column:
+    """In how many places two sets' parities differ."""
+    # similar sizes have as many bits or twice as many, which fold by halves
+    half = F.least(F.size(x), F.size(y))
+    folded = [F.when(F.size(c) == half, F.col(c)).otherwise(F.zip_with(F.slice(c, 1, half), F.slice(c, half + 1, half), lambda p, q: p.bitwiseXOR(q))) for c in (x, y)]
+    return F.aggregate(F.zip_with(*folded, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
+
+
+def _folded(bits: str) -> Column:
+    """The parities folded to FOLDED longs at most; they differ in no more places than the whole."""
+    size = F.least(F.size(bits), F.lit(FOLDED))
+    return F.transform(F.sequence(F.lit(0), size - 1), lambda j: F.aggregate(F.filter(bits, lambda _, i: F.pmod(i, size) == j), F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(x)))
+
+
 def _close(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b, token) but those whose parities differ in more places than similar sets can."""
     asked = _ids(pairs)
     bits = rows.select(F.col("row").alias("id"), "n", "bits").join(asked, "id", "left_semi")
     x, y = (bits.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
-    # similar sizes have as many bits or twice as many, which fold by halves
-    half = F.least(F.size("bitsa"), F.size("bitsb"))
-    folded = [F.when(F.size(c) == half, F.col(c)).otherwise(F.zip_with(F.slice(c, 1, half), F.slice(c, half + 1, half), lambda p, q: p.bitwiseXOR(q))) for c in ("bitsa", "bitsb")]
-    differ = F.aggregate(F.zip_with(*folded, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
     # n + m - 2 i >= differ and 7 i >= 3 (n + m)
-    return pairs.join(x, "a").join(y, "b").filter(7 * differ <= F.col("na") + F.col("nb")).select("a", "b", "token")
+    return pairs.join(x, "a").join(y, "b").filter(7 * _differ("bitsa", "bitsb") <= F.col("na") + F.col("nb")).select("a", "b", "token")
 
 
 def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, counts, words: int) -> DataFrame:
@@ -267,7 +280,7 @@ def _links(docs: DataFrame, rows: DataFrame, counts, words: int) -> DataFrame:
     links = _verified(docs, rows, _best(stars), counts, words)
     known = stage(components(links), "known")
 
-    rows_met = met.count()
+    rows_met, before = met.count(), None
     for r in range(ROUNDS + 1):
         named = met.join(known, "id", "left").select("token", "id", "n", "pos", "band", F.coalesce("component", "id").alias("comp"))
         sizes = named.groupBy("token", "comp").agg(F.count("*").alias("k"))
@@ -275,17 +288,19 @@ def _links(docs: DataFrame, rows: DataFrame, counts, words: int) -> DataFrame:
         tops = tops.select("token", F.col("t.comp").alias("top"), F.ceil(F.col("c") / MEETING).cast("int").alias("split"), ((F.col("c") - F.col("t.k")) * F.col("c")).alias("pairs"), "c")
         mixed = stage(attach(named, tops, ["token"], "c", rows_met).filter("top is not null"), "mixed", (mixed,) if r else ())
         left = mixed.groupBy("token").agg(F.first("pairs").alias("p")).agg(F.coalesce(F.sum("p"), F.lit(0))).first()[0]
-        if r == ROUNDS or left <= 4 * rows_met:
+        if r == ROUNDS or left <= 4 * rows_met or (before is not None and left > WORTH * before):
             break
+        before = left
         # while many pairs of components would meet: those outside a token's largest component are held against one member of it, another one each round
         one = mixed.filter("comp = top").groupBy("token", "band").agg(F.min_by(F.struct("id", "n", "pos"), F.xxhash64("id", F.lit(r))).alias("l"), F.count("*").alias("c"))
         ask = attach(mixed.filter("comp <> top").select("token", "band", "id", "n", "pos"), one, ["token", "band"], "c", rows_met).filter("l is not null").filter(_enough("n", "pos", "l.n", "l.pos"))
         more = _verified(docs, rows, _best(ask), counts, words)
         links = stage(links.unionByName(more), "links", (links, more))
         known = stage(components(links), "known", (known,))
-    x = mixed.filter("comp <> top").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.explode(F.sequence(F.lit(0), F.col("split") - 1)).alias("part"))
-    y = mixed.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), (F.col("comp") == F.col("top")).alias("in_top"), F.pmod(F.xxhash64("id"), F.col("split")).cast("int").alias("part"))
-    rest = x.join(y, ["token", "part"]).filter(F.expr("ca <> cb and (in_top or a < b)") & _enough("na", "pa", "nb", "pb")).groupBy("a", "b").agg(F.min("token").alias("token"))
+    mixed = stage(mixed.join(rows.select(F.col("row").alias("id"), _folded("bits").alias("bits")), "id"), "mixed", (mixed,))
+    x = mixed.filter("comp <> top").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("bits").alias("bitsa"), F.explode(F.sequence(F.lit(0), F.col("split") - 1)).alias("part"))
+    y = mixed.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("bits").alias("bitsb"), (F.col("comp") == F.col("top")).alias("in_top"), F.pmod(F.xxhash64("id"), F.col("split")).cast("int").alias("part"))
+    rest = x.join(y, ["token", "part"]).filter(F.expr("ca <> cb and (in_top or a < b)") & _enough("na", "pa", "nb", "pb") & (7 * _differ("bitsa", "bitsb") <= F.col("na") + F.col("nb"))).groupBy("a", "b").agg(F.min("token").alias("token"))
     more = _verified(docs, rows, rest, counts, words)
     return stage(components(links.unionByName(more)), "linked", (met, known, mixed, links, more))
 

@@ -116,6 +116,36 @@ def test_ngram_join_near_copies(spark, monkeypatch):
         assert {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(d).collect()} == comp
 
 
+def test_ngram_join_ends_rounds_that_join_nothing(spark, monkeypatch):
+    """Unlike texts that share a frequent passage: after a round that leaves as many pairs no other one follows, and parities part most pairs where they meet."""
+    rng = random.Random(17)
+    passage = [rng.choice(WORDS) for _ in range(12)]
+    rows = [(i, " ".join(passage + [f"v{i % 60}u{rng.randrange(10**6)}" for _ in range(20)])) for i in range(60)]
+    rows += [(100 + i, t + f" e{i}") for i, t in rows[:10]]
+    asked, verified = [], ngram_join._verified
+
+    def counted(docs, sets, pairs, *more):
+        asked.append(pairs.count())
+        return verified(docs, sets, pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    monkeypatch.setattr(ngram_join, "shingle_counts", lambda docs, words: np.zeros(1 << ngram_join.SKETCH_BITS, np.int32))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - 100 if i >= 100 else i for i, _ in rows}
+    assert len(asked) <= 4, asked
+
+
+def test_folded_parities_bound_differences(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for n, m, k in [(3, 3, 1), (30, 33, 5), (90, 120, 80), (300, 300, 250), (2000, 1600, 1500)]:
+        x = rng.integers(0, 2**64, n + m - k, dtype=np.uint64)
+        rows.append(([int(v) for v in ngram_join._parities(x[:n]).view(np.int64)], [int(v) for v in ngram_join._parities(x[n - k :]).view(np.int64)], n + m - 2 * k))
+    d = spark.createDataFrame(rows, "x array<long>, y array<long>, apart long").select("apart", "x", "y", ngram_join._folded("x").alias("fx"), ngram_join._folded("y").alias("fy"))
+    for r in d.select("apart", ngram_join._differ("x", "y").alias("all"), ngram_join._differ("fx", "fy").alias("folded"), F.size("fx").alias("longs")).collect():
+        assert r["folded"] <= r["all"] <= r["apart"] and r["folded"] > 0 and r["longs"] <= ngram_join.FOLDED
+
+
 def test_components_and_attach(spark, monkeypatch):
     """Both ways of joining links up agree, and so do attach() with and without hot keys."""
     rng = random.Random(12)
