@@ -13,7 +13,9 @@ become one class; (3) prefixes are dealt by shingle, those alone in a shingle go
 held against the leaders of its shingles, which links the bulk of a group of near copies in linear
 time; (5) pairs of different components that still meet are held against each other, the most
 frequent component of a shingle never against itself; before they meet, rounds join up such components,
-as long as a round leaves clearly fewer pairs. Every pair that could link is either verified
+as long as a round leaves clearly fewer pairs. Where many would meet a large component, they are held
+against one member of it, the centre, and those near it meet at shingles in which they differ from the
+centre, not at those that the whole group has. Every pair that could link is either verified
 or already connected. Shingles are known by 64 bits throughout.
 
 Hot keys: a shingle that the sketch counts far above the others is dealt in parts (whose leaders are
@@ -34,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +50,8 @@ TRIE_SETS = 256
 HOT_CELL, MEETING = 1000, 5000
 #: Rounds at most that join up components which meet often, before all pairs left are held against each other.
 ROUNDS = 6
+#: A shingle where more rows than this would meet a component of more than this is refined by what its texts differ in from a centre.
+OUTSIDE = 16
 #: A round that leaves more than this share of the pairs that would meet was the last; longs of the parities that pairs are held against each other by where they meet.
 WORTH, FOLDED = 0.75, 4
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -194,11 +199,9 @@ def _close(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").filter(7 * _differ("bitsa", "bitsb") <= F.col("na") + F.col("nb")).select("a", "b", "token")
 
 
-def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, counts, words: int) -> DataFrame:
-    """Links (u, v) among the pairs (a, b, token), by whole sets: the a that meet at a token form a trie, all their b walk it."""
-    pairs = stage(pairs, "pairs")
-    pairs = stage(_close(rows, pairs), "close", (pairs,))
-    bitmap = pairs.sparkSession.sparkContext.broadcast(id_filter(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), "id"))
+def _paths(docs: DataFrame, asked: DataFrame, counts, words: int) -> tuple[DataFrame, Broadcast]:
+    """id, path (the set in global order) of the rows with an id in asked; the broadcast is to be destroyed once they are used."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(asked, "id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def needed():
@@ -208,8 +211,15 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, counts, words:
         for b, texts in chunks(needed()):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([_ordered(s, counts.value).tobytes() for s in shingle_sets(texts, words)], pa.binary())], ["id", "path"])
 
-    asked = _ids(pairs)
-    paths = docs.select(F.col("row").alias("id"), "text", F.pmod(F.xxhash64("row"), F.lit(1 << 22)).alias("bit")).mapInArrow(sets, "id long, path binary").join(asked, "id", "left_semi")
+    paths = docs.select(F.col("row").alias("id"), "text", F.pmod(F.xxhash64("row"), F.lit(1 << 22)).alias("bit")).mapInArrow(sets, "id long, path binary")
+    return paths.join(asked, "id", "left_semi"), bitmap
+
+
+def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, counts, words: int) -> DataFrame:
+    """Links (u, v) among the pairs (a, b, token), by whole sets: the a that meet at a token form a trie, all their b walk it."""
+    pairs = stage(pairs, "pairs")
+    pairs = stage(_close(rows, pairs), "close", (pairs,))
+    paths, bitmap = _paths(docs, _ids(pairs), counts, words)
     many = pairs.groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > TRIE_SETS).select("token", F.ceil(F.col("c") / TRIE_SETS).alias("blocks"), "c")
     dealt = attach(pairs, many, ["token"], "c", pairs.count())
     dealt = stage(dealt.select("a", "b", "token", F.pmod(F.xxhash64("a"), F.coalesce("blocks", F.lit(1))).cast("int").alias("blk")), "dealt")
@@ -233,9 +243,9 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, counts, words:
     return links
 
 
-def _enough(na: str, pa_: str, nb: str, pb: str):
-    """Sizes and places of a shared shingle allow the needed overlap."""
-    return F.expr(f"4 * least({na}, {nb}) >= 3 * greatest({na}, {nb}) and 7 * least({na} - {pa_}, {nb} - {pb}) >= 3 * ({na} + {nb})")
+def _enough(na: str, ma: str, pa_: str, nb: str, mb: str, pb: str):
+    """Sizes n and places p of the first shingle that two lists of m share (the sets, or what they differ in from a centre) allow the needed overlap."""
+    return F.expr(f"4 * least({na}, {nb}) >= 3 * greatest({na}, {nb}) and 7 * ({pa_} + {pb} + abs({ma} - {pa_} - {mb} + {pb})) <= {na} + {nb}")
 
 
 def _sets(docs: DataFrame, counts, words: int) -> DataFrame:
@@ -264,45 +274,124 @@ def _best(meetings: DataFrame) -> DataFrame:
     return p.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("k"), "b"))).filter("k <= 2").select("a", "b", "token")
 
 
+def _band(n: str) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(4 / 3))).cast("int").alias("band")
+
+
+def _hot() -> Column:
+    """Of rows of _mixed(): their token is to be refined."""
+    return F.least("out", "k") > OUTSIDE
+
+
+def _mixed(met: DataFrame, known: DataFrame, total: int) -> DataFrame:
+    """The rows of met at tokens of several components, with their component, the most frequent one of the token (top, that k rows have), how many rows ask there and how many pairs that makes."""
+    named = met.join(known, "id", "left").select("token", "id", "n", "m", "pos", "core", "far", "band", F.coalesce("component", "id").alias("comp"))
+    sizes = named.groupBy("token", "comp").agg(F.count("*").alias("k"), F.sum(F.col("far").cast("int")).alias("f"))
+    tops = sizes.groupBy("token").agg(F.sum("k").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("k", "comp")).alias("t"), F.sum("f").alias("f")).filter("lo <> hi")
+    tops = tops.select("token", F.col("t.comp").alias("top"), F.col("t.k").alias("k"), F.ceil(F.col("c") / MEETING).cast("int").alias("split"), F.coalesce("f", F.col("c") - F.col("t.k")).alias("out"), "c")
+    return attach(named, tops.withColumn("pairs", F.col("out") * F.col("c")), ["token"], "c", total).filter("top is not null")
+
+
+def _deltas(docs: DataFrame, pairs: DataFrame, counts, words: int) -> DataFrame:
+    """For rows (id, top, center): n, apart (in how many shingles id differs from its centre), near, linked, tokens (the first of those shingles in global order) and core.
+
+    Let D be what x differs in from the centre c. Two texts differ in |D(x) ^ D(y)| shingles, (n + m) / 7 at
+    most if they link, so |D(x) & D(y)| is at least |D(x)| - n / 3, and more than (7 |D(y)| - m + |c|) / 14 if x isn't
+    linked with c; D without so many of its last ones (core: by the latter) still holds a shared one. Pairs of
+    texts that are both linked with c needn't meet.
+    """
+    many = pairs.groupBy("center").agg(F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("c") / TRIE_SETS))
+    dealt = stage(attach(pairs, many, ["center"], "c", pairs.count()).select("id", "center", "top", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("blk")), "dealt")
+    sides = dealt.withColumn("probe", F.lit(True)).unionByName(dealt.select(F.col("center").alias("id"), "center", "top", "blk", F.lit(False).alias("probe")).distinct())
+    paths, bitmap = _paths(docs, _ids(dealt.select(F.col("id").alias("a"), F.col("center").alias("b"))), counts, words)
+
+    def apart(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = np.frombuffer(pdf["path"][~pdf["probe"]].iloc[0], np.uint64)
+        out = []
+        for name, path in zip(pdf["id"][pdf["probe"]], pdf["path"][pdf["probe"]]):
+            x = np.frombuffer(path, np.uint64)
+            d = _ordered(np.setxor1d(x, c, assume_unique=True), counts.value)
+            near, linked = 7 * len(d) <= 2 * (len(x) + len(c)), 7 * len(d) <= len(x) + len(c)
+            core = len(d) - (7 * len(d) - len(x) + len(c)) // 14
+            keep = core if linked else max(core, len(x) // 3 + 1)
+            out.append((name, len(x), len(d), near, linked, d[: keep if near else 0].view(np.int64), core))
+        return pd.DataFrame(out, columns=["id", "n", "apart", "near", "linked", "tokens", "core"]).assign(center=pdf["center"].iloc[0], top=pdf["top"].iloc[0])
+
+    out = stage(sides.join(paths, "id").groupBy("center", "blk").applyInPandas(apart, "id long, n long, apart long, near boolean, linked boolean, tokens array<long>, core long, center long, top long"), "deltas", (dealt,))
+    bitmap.destroy()
+    return out
+
+
+def _refined(mixed: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Rows to meet instead of mixed's: at its hot tokens only those far from the centre ask, those near it meet each other at what they differ in from it."""
+    columns = ["token", "id", "n", "m", "pos", "core", "far", "band"]
+    hot = mixed.filter(_hot()).drop("far").join(deltas.select("id", "top", (~F.col("near")).alias("far")), ["id", "top"])
+    asked = hot.groupBy("token").agg(F.bool_or("far").alias("asked"), F.count("*").alias("c")).filter("asked")
+    hot = attach(hot, asked, ["token"], "c", mixed.count()).filter("asked")
+    near = deltas.filter("near").select("id", "n", F.col("apart").alias("m"), F.col("core").alias("first"), "center", F.posexplode("tokens").alias("pos", "d"))
+    near = near.select(F.xxhash64("center", "d").alias("token"), "id", "n", "m", "pos", (F.col("pos") < F.col("first")).alias("core"), F.lit(None).cast("boolean").alias("far"), _band("n"))
+    own = Window.partitionBy("token")
+    near = near.withColumn("c", F.count("*").over(own)).withColumn("any", F.bool_or("core").over(own)).filter("c > 1 and any")
+    return mixed.filter(~_hot()).select(columns).unionByName(hot.select(columns)).unionByName(near.select(columns))
+
+
 def _links(docs: DataFrame, rows: DataFrame, counts, words: int) -> DataFrame:
     """id, component of all classes that link with another; a class is known by the least row of its copies."""
     classes = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("id"), F.first("head").alias("head"), F.first("parts").alias("parts"))
     met = classes.select("id", "n", "parts", F.posexplode("head").alias("pos", "token"))
     met = met.select("id", "n", "token", "pos", F.get("parts", F.col("pos")).alias("parts")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    met = met.withColumn("c", F.count("*").over(Window.partitionBy("token", "part"))).filter("c > 1 or parts > 1").drop("c")
+    # who meets nobody that fits goes: by size the next smaller and the next larger one are the likeliest, and of only two both places count
+    by_size = Window.partitionBy("token", "part").orderBy("n")
+    met = met.select("*", *[f(c, k).over(by_size).alias(f"{c}_{at}{k}") for c, k in (("n", 1), ("pos", 1), ("n", 2)) for f, at in ((F.lag, "b"), (F.lead, "a"))])
+    one_of_two = F.when(F.expr("n_b1 is null and n_a2 is null"), _enough("n", "n", "pos", "n_a1", "n_a1", "pos_a1")).when(F.expr("n_a1 is null and n_b2 is null"), _enough("n", "n", "pos", "n_b1", "n_b1", "pos_b1")).otherwise(True)
+    met = met.filter("parts > 1 or 4 * n_b1 >= 3 * n or (4 * n >= 3 * n_a1 and 7 * (n - pos) >= 3 * (n + n_a1))").filter((F.col("parts") > 1) | one_of_two)
+    met = met.select("id", "n", F.col("n").alias("m"), "token", "pos", "parts", "part")
     # the leader of a token and a range of sizes: rows dealt by token already lie together
-    met = met.withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
-    met = stage(met.withColumn("l", F.min(F.struct("id", "n", "pos")).over(Window.partitionBy("token", "part", "band"))), "met")
+    met = met.withColumn("band", _band("n"))
+    met = stage(met.withColumn("l", F.min(F.struct("id", "n", "m", "pos")).over(Window.partitionBy("token", "part", "band"))), "met")
     leaders = met.filter("parts > 1").select("token", "band", "l").distinct()
     first = leaders.groupBy("token", "band").agg(F.min("l").alias("f"))
-    above = leaders.join(first, ["token", "band"]).select("token", F.col("l.id").alias("id"), F.col("l.n").alias("n"), F.col("l.pos").alias("pos"), F.col("f").alias("l"))
-    stars = met.select("token", "id", "n", "pos", "l").unionByName(above).filter("id <> l.id").filter(_enough("n", "pos", "l.n", "l.pos"))
+    above = leaders.join(first, ["token", "band"]).select("token", "l.id", "l.n", "l.m", "l.pos", F.col("f").alias("l"))
+    stars = met.select("token", "id", "n", "m", "pos", "l").unionByName(above).filter("id <> l.id").filter(_enough("n", "m", "pos", "l.n", "l.m", "l.pos"))
     links = _verified(docs, rows, _best(stars), counts, words)
     known = stage(components(links), "known")
 
-    rows_met, before = met.count(), None
+    plain = met.withColumn("core", F.lit(True)).withColumn("far", F.lit(None).cast("boolean"))
+    mixed = stage(_mixed(plain, known, met.count()), "mixed", (met,))
+    # the centre of a component is the member that most of its hot tokens have
+    seats = mixed.filter(_hot() & (F.col("comp") == F.col("top"))).groupBy("top", "id").agg(F.count("*").alias("k"))
+    centers = seats.groupBy("top").agg(F.max_by("id", F.struct("k", -F.col("id"))).alias("center"))
+    asked = stage(mixed.filter(_hot()).select("id", "top").distinct(), "asked")
+    if not asked.isEmpty():
+        centers = centers.join(asked.groupBy("top").agg(F.count("*").alias("c")), "top")
+        deltas = _deltas(docs, attach(asked, centers, ["top"], "c", asked.count()), counts, words)
+        near = deltas.filter("linked and id <> center").select(F.col("center").alias("u"), F.col("id").alias("v"))
+        links = stage(links.unionByName(near), "links", (links,))
+        known = stage(components(links), "known", (known,))
+        refined = stage(_refined(mixed, deltas), "refined", (mixed, deltas))
+        mixed = stage(_mixed(refined, known, refined.count()), "mixed", (refined,))
+    rows_met, before = mixed.count(), None
     for r in range(ROUNDS + 1):
-        named = met.join(known, "id", "left").select("token", "id", "n", "pos", "band", F.coalesce("component", "id").alias("comp"))
-        sizes = named.groupBy("token", "comp").agg(F.count("*").alias("k"))
-        tops = sizes.groupBy("token").agg(F.sum("k").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("k", "comp")).alias("t")).filter("lo <> hi")
-        tops = tops.select("token", F.col("t.comp").alias("top"), F.ceil(F.col("c") / MEETING).cast("int").alias("split"), ((F.col("c") - F.col("t.k")) * F.col("c")).alias("pairs"), "c")
-        mixed = stage(attach(named, tops, ["token"], "c", rows_met).filter("top is not null"), "mixed", (mixed,) if r else ())
         left = mixed.groupBy("token").agg(F.first("pairs").alias("p")).agg(F.coalesce(F.sum("p"), F.lit(0))).first()[0]
         if r == ROUNDS or left <= 4 * rows_met or (before is not None and left > WORTH * before):
             break
         before = left
         # while many pairs of components would meet: those outside a token's largest component are held against one member of it, another one each round
-        one = mixed.filter("comp = top").groupBy("token", "band").agg(F.min_by(F.struct("id", "n", "pos"), F.xxhash64("id", F.lit(r))).alias("l"), F.count("*").alias("c"))
-        ask = attach(mixed.filter("comp <> top").select("token", "band", "id", "n", "pos"), one, ["token", "band"], "c", rows_met).filter("l is not null").filter(_enough("n", "pos", "l.n", "l.pos"))
+        one = mixed.filter("comp = top").groupBy("token", "band").agg(F.min_by(F.struct("id", "n", "m", "pos"), F.xxhash64("id", F.lit(r))).alias("l"), F.count("*").alias("c"))
+        ask = attach(mixed.filter("comp <> top and coalesce(far, true)").select("token", "band", "id", "n", "m", "pos"), one, ["token", "band"], "c", mixed.count()).filter("l is not null").filter(_enough("n", "m", "pos", "l.n", "l.m", "l.pos"))
         more = _verified(docs, rows, _best(ask), counts, words)
         links = stage(links.unionByName(more), "links", (links, more))
         known = stage(components(links), "known", (known,))
-    mixed = stage(mixed.join(rows.select(F.col("row").alias("id"), _folded("bits").alias("bits")), "id"), "mixed", (mixed,))
-    x = mixed.filter("comp <> top").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("bits").alias("bitsa"), F.explode(F.sequence(F.lit(0), F.col("split") - 1)).alias("part"))
-    y = mixed.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("bits").alias("bitsb"), (F.col("comp") == F.col("top")).alias("in_top"), F.pmod(F.xxhash64("id"), F.col("split")).cast("int").alias("part"))
-    rest = x.join(y, ["token", "part"]).filter(F.expr("ca <> cb and (in_top or a < b)") & _enough("na", "pa", "nb", "pb") & (7 * _differ("bitsa", "bitsb") <= F.col("na") + F.col("nb"))).groupBy("a", "b").agg(F.min("token").alias("token"))
+        # tokens of one component stay such, so only the others are looked at again
+        mixed = stage(_mixed(mixed, known, mixed.count()), "mixed", (mixed,))
+    mixed = stage(mixed.join(rows.select(F.col("row").alias("id"), _folded("bits").alias("bits")), "id").withColumn("asks", F.coalesce("far", F.col("comp") != F.col("top"))), "mixed", (mixed,))
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "m", "pos", "comp", "core", "asks", "bits")]
+    x = mixed.filter("asks").select("token", *side("a"), F.explode(F.sequence(F.lit(0), F.col("split") - 1)).alias("part"))
+    y = mixed.select("token", *side("b"), F.pmod(F.xxhash64("id"), F.col("split")).cast("int").alias("part"))
+    meet = F.expr("comp_a <> comp_b and (not asks_b or id_a < id_b) and (core_a or core_b)") & _enough("n_a", "m_a", "pos_a", "n_b", "m_b", "pos_b")
+    rest = x.join(y, ["token", "part"]).filter(meet & (7 * _differ("bits_a", "bits_b") <= F.col("n_a") + F.col("n_b"))).groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.min("token").alias("token"))
     more = _verified(docs, rows, rest, counts, words)
-    return stage(components(links.unionByName(more)), "linked", (met, known, mixed, links, more))
+    return stage(components(links.unionByName(more)), "linked", (known, mixed, links, more))
 
 
 def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:

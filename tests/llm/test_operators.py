@@ -135,6 +135,51 @@ def test_ngram_join_ends_rounds_that_join_nothing(spark, monkeypatch):
     assert len(asked) <= 4, asked
 
 
+def test_ngram_join_large_group_of_near_copies(spark):
+    """Near copies of which many differ too much from most of their group get the components of brute force."""
+    rng = random.Random(23)
+    base = [rng.choice(WORDS) for _ in range(150)]
+    rows = []
+    for i in range(300):
+        t = list(base)
+        for _ in range(rng.randrange(1, 8)):
+            t[rng.randrange(len(t))] = f"y{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    for i in range(300, 330):  # near copies of near copies
+        t = rows[rng.randrange(300)][1].split()
+        t[rng.randrange(len(t))] = f"z{i}"
+        rows.append((i, " ".join(t)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(146)} for i, t in rows}
+    comp = {i: i for i in sets}
+    for a, b in combinations(sets, 2):
+        n = len(sets[a] & sets[b])
+        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n) and comp[a] != comp[b]:
+            lo, hi = sorted((comp[a], comp[b]))
+            comp = {k: lo if v == hi else v for k, v in comp.items()}
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == comp
+
+
+def test_ngram_join_keeps_no_rows_that_fit_nobody(spark, monkeypatch):
+    """Texts that share a rare shingle but can't link by their sizes, or by its places, go before the first stage table."""
+    rng = random.Random(29)
+    rows = []
+    for i in range(20):
+        passage = [f"p{i}w{k}" for k in range(5)]
+        rows += [(10 * i + k, " ".join([f"q{rng.randrange(10**9)}" for _ in range(size)] + passage)) for k, size in enumerate((20, 60))]
+    staged, stage = [], ngram_join.stage
+
+    def counted(df, name, spent=()):
+        out = stage(df, name, spent)
+        staged.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "stage", counted)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i, _ in rows}
+    assert ("met", 0) in staged, staged
+
+
 def test_folded_parities_bound_differences(spark):
     rng = np.random.default_rng(3)
     rows = []
