@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recallgrid import fixtures as X
 from recallgrid.operators import graph as G
+from recallgrid.operators.cluster import FEW_VECTORS, Named, held
 from recallgrid.registry import query
 from recallgrid.sources.index import shared_folder
 
@@ -123,12 +124,14 @@ SELECT x AS id, y AS "by" FROM wk WHERE y IS NOT NULL"""
 def restated_edges(spark: SparkSession, d: str) -> DataFrame:
     """Edges recorded from some day on are new; those that restate what their supplier's nearest indexed edge says, with dealt vectors of a topic for each group of parts."""
     s, p, c = F.substring("src", 2, 20).cast("long"), F.substring("dst", 2, 20).cast("long"), F.instr(F.lit("ANR"), F.col("relation")) - 1
-    e = X.edges(spark, d).select("src", "dst", "relation", "n", "recorded_at", s.alias("s"), p.alias("p"), c.cast("long").alias("c"))
-    own = X.with_vectors(e, spark, d, F.col("s") * 31 + F.col("p") * 7 + F.col("c"))
-    t = X.table(spark, d, "embeddings").filter("vec_id < 40").select(F.col("vec_id").alias("_t"), F.col("embedding").alias("_e"))
+    e = X.edges(spark, d, dealt=True).select("src", "dst", "relation", "n", "recorded_at", s.alias("s"), p.alias("p"), c.cast("long").alias("c"))
+    v = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
+    heads = {r["v"]: r["embedding"] for r in v.filter("v < 40").collect()}
     w = F.get(F.array(*map(F.lit, X.APART)), ((F.col("p") + F.col("c")) % 3).cast("int"))
-    docs = own.join(t, F.col("p") % 40 == F.col("_t")).select(
+    many = v.count()
+    docs = e.select(
         ((F.col("s") * 10000000 + F.col("p")) * 3 + F.col("c")).alias("id"), F.col("src").alias("user_id"), F.lit("").alias("agent_id"), F.concat("dst", F.when(F.col("relation") == "R", F.concat(F.lit(" v"), (F.col("n") % 3 + 1).cast("string"))).otherwise("")).alias("src"),
-        "relation", F.col("src").alias("dst"), F.zip_with("_e", "embedding", lambda a, b: a.cast("double") + w * b.cast("double")).alias("embedding"), (F.col("recorded_at") >= 9500).alias("fresh"),
-    )
-    return G.restatements(docs)
+        "relation", F.col("src").alias("dst"), F.pmod(F.col("s") * 31 + F.col("p") * 7 + F.col("c"), F.lit(max(1, many))).alias("v"), (F.col("p") % 40).alias("t"), w.alias("w"), (F.col("recorded_at") >= 9500).alias("fresh"),
+    ).filter(F.col("t").isin(*heads))
+    named = Named(v, heads)
+    return G.restatements(docs, named=named) if many <= FEW_VECTORS else G.restatements(held(docs, named))
